@@ -39,52 +39,61 @@ def exact_quantiles(
 ) -> DataFrame:
     """Long frame ``(col STRING, value DOUBLE)``: the exact ``p``-quantile of each
     column (linear interpolation; NULL for an all-NULL column)."""
+    return exact_quantiles_multi(df, cols, [p], accuracy).select("col", "value")
+
+
+def exact_quantiles_multi(
+    df: DataFrame, cols: list[str], ps: list[float], accuracy: int = DEFAULT_ACCURACY
+) -> DataFrame:
+    """Long frame ``(col, p, value)`` for every column and probability."""
     eps = 1.0 / accuracy
     margin = 5.0 * eps
-    lo_p, hi_p = max(0.0, p - margin), min(1.0, p + margin)
+    cuts = sorted({min(1.0, max(0.0, x)) for p in ps for x in (p - margin, p + margin)})
+    idx = {x: i for i, x in enumerate(cuts)}
 
-    # Pass 1: bounded sketch + count, one row.
+    # Pass 1: one bounded sketch per column (all cut points at once) + counts.
     sketch = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), [lo_p, hi_p], accuracy).alias(f"b_{i}")
+        *[F.percentile_approx(F.col(c).cast("double"), cuts, accuracy).alias(f"b_{i}")
           for i, c in enumerate(cols)],
         *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
     )
-    brackets = sketch.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("col"),
-                        F.col(f"b_{i}")[0].alias("lo"),
-                        F.col(f"b_{i}")[1].alias("hi"),
-                        F.col(f"n_{i}").alias("n"),
-                    )
-                    for i, c in enumerate(cols)
-                ]
+    structs = []
+    for i, c in enumerate(cols):
+        for p in ps:
+            lo = idx[min(1.0, max(0.0, p - margin))]
+            hi = idx[min(1.0, max(0.0, p + margin))]
+            structs.append(
+                F.struct(
+                    F.lit(c).alias("col"),
+                    F.lit(float(p)).alias("p"),
+                    F.col(f"b_{i}")[lo].alias("lo"),
+                    F.col(f"b_{i}")[hi].alias("hi"),
+                    F.col(f"n_{i}").alias("n"),
+                )
             )
-        ).alias("s")
-    ).select("s.*").withColumn(
+    brackets = sketch.select(F.explode(F.array(*structs)).alias("s")).select("s.*").withColumn(
         # The sketch's rank error is <= eps * n; require >= 2 ranks of slack.
         "bracketed", F.col("n") * F.lit(eps) >= 2
     )
 
-    # Pass 2: exact count below the bracket, value counts inside it.
-    # ``brackets`` has one row per column (a proven size bound) -> broadcast.
+    # Pass 2: exact count below each bracket, value counts inside it.
+    # ``brackets`` has one row per (column, p) — a proven size bound — so it
+    # is broadcast.
     vals = _long_values(df, cols, "double").join(F.broadcast(brackets), "col")
     inside = ~F.col("bracketed") | F.col("v").between(F.col("lo"), F.col("hi"))
-    below = vals.groupBy("col").agg(
+    below = vals.groupBy("col", "p").agg(
         F.count_if(F.col("bracketed") & (F.col("v") < F.col("lo"))).alias("below")
     )
-    cand = vals.filter(inside).groupBy("col", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    cand = vals.filter(inside).groupBy("col", "p", "v").agg(F.count(F.lit(1)).alias("cnt"))
 
-    w = Window.partitionBy("col").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("col", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
         cand.withColumn("run", F.sum("cnt").over(w))
-        .join(F.broadcast(below), "col", "left")
-        .join(F.broadcast(brackets.select("col", "n")), "col")
+        .join(F.broadcast(below), ["col", "p"], "left")
+        .join(F.broadcast(brackets.select("col", "p", "n")), ["col", "p"])
         .withColumn("end", F.coalesce(F.col("below"), F.lit(0)) + F.col("run"))
         .withColumn("start", F.col("end") - F.col("cnt"))
-        .withColumn("pos", (F.col("n") - 1).cast("double") * F.lit(float(p)))
+        .withColumn("pos", (F.col("n") - 1).cast("double") * F.col("p"))
         .withColumn("k_lo", F.floor("pos"))
         .withColumn("k_hi", F.ceil("pos"))
     )
@@ -92,7 +101,7 @@ def exact_quantiles(
     def at(k: str):
         return F.max(F.when((F.col("start") <= F.col(k)) & (F.col(k) < F.col("end")), F.col("v")))
 
-    picked = ranked.groupBy("col").agg(
+    picked = ranked.groupBy("col", "p").agg(
         at("k_lo").alias("v_lo"),
         at("k_hi").alias("v_hi"),
         F.first("pos").alias("pos"),
@@ -102,8 +111,8 @@ def exact_quantiles(
     value = F.when(F.col("k_lo") == F.col("k_hi"), F.col("v_lo")).otherwise(
         (F.col("k_hi") - F.col("pos")) * F.col("v_lo") + (F.col("pos") - F.col("k_lo")) * F.col("v_hi")
     )
-    return brackets.select("col").join(picked, "col", "left").select(
-        "col", value.cast("double").alias("value")
+    return brackets.select("col", "p").join(picked, ["col", "p"], "left").select(
+        "col", "p", value.cast("double").alias("value")
     )
 
 

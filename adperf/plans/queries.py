@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from adperf.functions import npround
 from adperf.operators import aggregate as A
 from adperf.operators import clean as C
+from adperf.operators import features as FE
+from adperf.operators import insights as I
+from adperf.operators import profile as P
 from adperf.plans.frames import kpi_frame, raw_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +31,14 @@ def _impute_values(spark: SparkSession, sf: str) -> DataFrame:
     return fl.select("col", npround("value_double", 6).alias("value_double"), "value_text")
 
 
+def _class_distribution(kpi: DataFrame) -> DataFrame:
+    parts = [
+        A.class_distribution(FE.add_target(kpi, t)).select(F.lit(t).alias("target_name"), "label", "n")
+        for t in ("high_roi", "high_conversion")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 REGISTRY: dict[str, Query] = {
     # cleaning
     "clean_dedup": lambda s, sf: C.dedupe(raw_frame(s, sf)),
@@ -52,6 +63,35 @@ REGISTRY: dict[str, Query] = {
     "correlation": _kpi(A.correlation),
     "spend_revenue_points": _kpi(A.spend_revenue_points),
     "distinct_values": _kpi(A.distinct_values),
+    "class_distribution": _kpi(lambda d: _class_distribution(d)),
+    "target_range": _kpi(lambda d: A.target_range(FE.add_target(d, "revenue"))),
+    # profiling (raw table)
+    "profile_shape": lambda s, sf: P.shape(raw_frame(s, sf)),
+    "profile_missing": lambda s, sf: P.missing(raw_frame(s, sf)),
+    "profile_duplicates": lambda s, sf: P.duplicates(raw_frame(s, sf)),
+    "profile_describe": lambda s, sf: P.describe(raw_frame(s, sf)),
+    "schema_profile": lambda s, sf: P.dtypes(raw_frame(s, sf)),
+    # insights
+    "channel_efficiency": _kpi(I.channel_efficiency),
+    "channel_extremes": _kpi(I.channel_extremes),
+    "campaign_score": _kpi(I.campaign_scores),
+    "campaign_profit": _kpi(I.campaign_profit),
+    "budget": _kpi(I.budget_allocation),
+    "device_stats": _kpi(I.device_stats),
+    "best_device": _kpi(I.best_device),
+    "weekday_stats": _kpi(I.weekday_stats),
+    "best_weekday": _kpi(I.best_weekday),
+    "executive_summary": _kpi(I.executive_summary),
+    # features
+    "target_high_conversion": _kpi(lambda d: FE.add_target(d, "high_conversion")),
+    "target_revenue": _kpi(lambda d: FE.add_target(d, "revenue")),
+    "target_high_roi": _kpi(lambda d: FE.add_target(d, "high_roi")),
+    "derived_features": _kpi(FE.add_derived),
+    "interactions": _kpi(FE.add_interactions),
+    "time_features": _kpi(FE.add_time),
+    "feature_frame": _kpi(lambda d: FE.feature_frame(d, "high_roi")),
+    "split_exact": _kpi(lambda d: FE.prepare_features(d, "high_roi", exact=True).frame),
+    "split_hash": _kpi(lambda d: FE.prepare_features(d, "high_roi", exact=False).frame),
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.sql import BASE, CATS, NUMS, R, with_base
+from oracle.sql import BASE, CATS, KPI_SQL, NUMS, R, with_base
 
 Q: dict[str, str] = {}
 
@@ -132,3 +132,197 @@ q(
     "distinct_values",
     " UNION ALL ".join(f"SELECT DISTINCT '{k}' AS dimension, {k} AS value FROM kpi" for k in CATS),
 )
+
+_CLS = {
+    "high_roi": "CAST(roi > 0 AS INTEGER)",
+    "high_conversion": "CAST(conversions > (SELECT quantile_cont(conversions, 0.5) FROM kpi) AS INTEGER)",
+}
+q(
+    "class_distribution",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS target_name, {e} AS label, CAST(count(*) AS BIGINT) AS n FROM kpi GROUP BY 2"
+        for t, e in _CLS.items()
+    ),
+)
+q(
+    "target_range",
+    f"SELECT {R('min(revenue)', 4)} AS target_min, {R('max(revenue)', 4)} AS target_max, "
+    f"{R('avg(revenue)', 4)} AS target_mean FROM kpi",
+)
+
+# ---------------------------------------------------------------- profiling
+RAW_COLS = ["date"] + CATS + NUMS
+q("profile_shape", f"SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST({len(RAW_COLS)} AS BIGINT) AS n_columns FROM ad_facts_raw")
+q(
+    "profile_missing",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS missing, "
+        f"{R(f'count(*) FILTER (WHERE {c} IS NULL)*100.0/count(*)', 2)} AS missing_pct FROM ad_facts_raw"
+        for c in RAW_COLS
+    ),
+)
+q(
+    "profile_duplicates",
+    "SELECT CAST((SELECT count(*) FROM ad_facts_raw) - (SELECT count(*) FROM dedup) AS BIGINT) AS duplicates",
+)
+
+
+def _describe(c: str, is_date: bool) -> str:
+    v = f"CAST(date_diff('day', DATE '1970-01-01', {c}) AS DOUBLE)" if is_date else f"CAST({c} AS DOUBLE)"
+    std = "CAST(NULL AS DOUBLE)" if is_date else R(f"stddev_samp({v})", 6)
+    return (
+        f"SELECT '{c}' AS column_name, CAST(count({v}) AS BIGINT) AS count, {R(f'avg({v})', 6)} AS mean, "
+        f"{std} AS std, {R(f'min({v})', 6)} AS min, {R(f'quantile_cont({v}, 0.25)', 6)} AS p25, "
+        f"{R(f'quantile_cont({v}, 0.5)', 6)} AS p50, {R(f'quantile_cont({v}, 0.75)', 6)} AS p75, "
+        f"{R(f'max({v})', 6)} AS max FROM ad_facts_raw"
+    )
+
+
+q("profile_describe", " UNION ALL ".join([_describe(c, False) for c in NUMS] + [_describe("date", True)]))
+
+# ---------------------------------------------------------------- insights
+_CH_STATS = f"""ch AS (SELECT channel, sum(spend) AS s, sum(revenue) AS r, sum(clicks) AS k, sum(conversions) AS v,
+ avg(ctr) AS a_ctr, avg(cpc) AS a_cpc, avg(roas) AS a_roas, count(spend) AS n,
+ {R('sum(revenue)/nullif(sum(spend),0)', 4)} AS roas_actual, {R('sum(revenue)-sum(spend)', 2)} AS profit
+ FROM kpi GROUP BY channel)"""
+q(
+    "channel_efficiency",
+    f"""SELECT channel, {R('s', 4)} AS total_spend, {R('r', 4)} AS total_revenue, CAST(k AS BIGINT) AS total_clicks,
+ CAST(v AS BIGINT) AS total_conversions, {R('a_ctr', 6)} AS avg_ctr, {R('a_cpc', 6)} AS avg_cpc,
+ {R('a_roas', 6)} AS avg_roas, CAST(n AS BIGINT) AS count, roas_actual, profit,
+ CASE WHEN roas_actual >= 1.5 THEN 'good' WHEN roas_actual >= 1.0 THEN 'warn' ELSE 'bad' END AS efficiency_band,
+ CAST(profit > 0 AS BIGINT) AS is_profitable FROM ch""",
+    _CH_STATS,
+)
+q(
+    "channel_extremes",
+    f"""SELECT b.channel AS best_channel, {R('b.roas_actual', 2)} AS best_roas,
+ w.channel AS worst_channel, {R('w.roas_actual', 2)} AS worst_roas
+FROM (SELECT * FROM ch ORDER BY a_roas DESC, channel ASC LIMIT 1) b,
+     (SELECT * FROM ch ORDER BY a_roas ASC, channel DESC LIMIT 1) w""",
+    _CH_STATS,
+)
+_CAMP = f"""cg AS (SELECT campaign, sum(spend) AS s, sum(revenue) AS r, sum(conversions) AS v,
+  avg(ctr) AS avg_ctr, avg(conversion_rate) AS avg_conversion_rate, avg(roas) AS avg_roas FROM kpi GROUP BY campaign),
+cm AS (SELECT max(avg_ctr) AS m1, max(avg_conversion_rate) AS m2, max(avg_roas) AS m3 FROM cg),
+cs AS (SELECT cg.*, CASE WHEN m1 > 0 THEN avg_ctr/m1 ELSE 0 END AS n1,
+  CASE WHEN m2 > 0 THEN avg_conversion_rate/m2 ELSE 0 END AS n2, CASE WHEN m3 > 0 THEN avg_roas/m3 ELSE 0 END AS n3
+  FROM cg, cm),
+sc AS (SELECT campaign, {R('s', 4)} AS total_spend, {R('r', 4)} AS total_revenue, CAST(v AS BIGINT) AS total_conversions,
+  {R('avg_ctr', 6)} AS avg_ctr, {R('avg_conversion_rate', 6)} AS avg_conversion_rate, {R('avg_roas', 6)} AS avg_roas,
+  {R('n1', 6)} AS avg_ctr_norm, {R('n2', 6)} AS avg_conversion_rate_norm, {R('n3', 6)} AS avg_roas_norm,
+  {R('n1*0.2 + n2*0.3 + n3*0.5', 4)} AS efficiency_score FROM cs)"""
+q("campaign_score", "SELECT * FROM sc", _CAMP)
+q(
+    "campaign_profit",
+    f"""SELECT campaign, total_spend, total_revenue, {R('total_revenue - total_spend', 2)} AS profit,
+ CAST(campaign = (SELECT campaign FROM sc ORDER BY efficiency_score DESC, campaign LIMIT 1) AS BIGINT) AS is_top FROM sc""",
+    _CAMP,
+)
+_BUDGET = f"""bg AS (SELECT channel, sum(spend) AS s, sum(revenue) AS r FROM kpi GROUP BY channel),
+bg2 AS (SELECT *, {R('r/nullif(s,0)', 4)} AS roas FROM bg),
+bt AS (SELECT sum(s) AS total_budget, sum(greatest(roas, 0.0)) AS pos FROM bg2),
+b1 AS (SELECT bg2.*, total_budget, {R('s/nullif(total_budget,0)*100', 1)} AS current_pct,
+  {R('greatest(roas,0.0)/nullif(pos,0)*100', 1)} AS recommended_pct FROM bg2, bt),
+b2 AS (SELECT *, {R('recommended_pct - current_pct', 1)} AS shift_pct FROM b1),
+budget AS (SELECT channel, {R('s', 4)} AS total_spend, {R('r', 4)} AS total_revenue, roas, {R('r - s', 4)} AS profit,
+  current_pct, recommended_pct, shift_pct, {R('shift_pct/100*total_budget', 0)} AS shift_amount,
+  CASE WHEN shift_pct > 0 THEN 'INCREASE' WHEN shift_pct < 0 THEN 'DECREASE' ELSE 'KEEP' END AS direction,
+  {R('total_budget', 4)} AS total_budget FROM b2)"""
+q("budget", "SELECT * FROM budget", _BUDGET)
+q(
+    "device_stats",
+    f"""SELECT device, {R('sum(spend)', 4)} AS total_spend, {R('sum(revenue)', 4)} AS total_revenue,
+ {R('avg(ctr)', 6)} AS avg_ctr, {R('avg(conversion_rate)', 6)} AS avg_conversion_rate, {R('avg(roas)', 6)} AS avg_roas,
+ {R('avg(bounce_rate)', 6)} AS avg_bounce, CAST(count(spend) AS BIGINT) AS count,
+ {R('sum(revenue)/nullif(sum(spend),0)', 4)} AS roas_actual FROM kpi GROUP BY device""",
+)
+q(
+    "best_device",
+    f"""SELECT device AS best_device, {R('r/nullif(s,0)', 4)} AS roas_actual FROM
+ (SELECT device, avg(roas) AS a, sum(spend) AS s, sum(revenue) AS r FROM kpi GROUP BY device)
+ ORDER BY a DESC, device ASC LIMIT 1""",
+)
+_WD = "wd AS (SELECT isodow(date)-1 AS w, dayname(date) AS weekday, avg(roas) AS a_roas, avg(ctr) AS a_ctr, sum(conversions) AS v FROM kpi GROUP BY 1, 2)"
+q(
+    "weekday_stats",
+    f"SELECT weekday, CAST(w AS BIGINT) AS weekday_index, {R('a_roas', 6)} AS avg_roas, {R('a_ctr', 6)} AS avg_ctr, "
+    "CAST(v AS BIGINT) AS total_conversions FROM wd",
+    _WD,
+)
+q("best_weekday", f"SELECT weekday AS best_day, {R('a_roas', 6)} AS avg_roas FROM wd ORDER BY a_roas DESC, w ASC LIMIT 1", _WD)
+q(
+    "executive_summary",
+    f"""SELECT {R('t.s', 2)} AS total_spend, {R('t.r', 2)} AS total_revenue, {R('t.r - t.s', 2)} AS net_profit,
+ {R('(t.r - t.s)/nullif(t.s,0)', 6)} AS overall_roi,
+ b.channel AS best_channel, {R('b.roas_actual', 2)} AS best_roas, w.channel AS worst_channel, {R('w.roas_actual', 2)} AS worst_roas,
+ (SELECT campaign FROM sc ORDER BY efficiency_score DESC, campaign LIMIT 1) AS top_campaign,
+ i.channel AS increase_channel, i.shift_pct AS increase_pct, d.channel AS decrease_channel, d.shift_pct AS decrease_pct,
+ (SELECT weekday FROM wd ORDER BY a_roas DESC, w ASC LIMIT 1) AS best_day
+FROM (SELECT sum(spend) AS s, sum(revenue) AS r FROM kpi) t,
+ (SELECT * FROM ch ORDER BY a_roas DESC, channel ASC LIMIT 1) b,
+ (SELECT * FROM ch ORDER BY a_roas ASC, channel DESC LIMIT 1) w,
+ (SELECT * FROM budget ORDER BY shift_pct DESC, roas DESC, channel ASC LIMIT 1) i,
+ (SELECT * FROM budget ORDER BY shift_pct ASC, roas DESC, channel ASC LIMIT 1) d""",
+    _CH_STATS, _CAMP, _BUDGET, _WD,
+)
+
+# ---------------------------------------------------------------- features
+KPI_COLS = ["date"] + CATS + NUMS + list(KPI_SQL)
+DERIVED = {
+    "cost_per_conversion": R("CASE WHEN conversions>0 THEN spend/conversions ELSE 0 END", 4),
+    "revenue_per_click": R("CASE WHEN clicks>0 THEN revenue/clicks ELSE 0 END", 4),
+    "bounce_click_ratio": R("bounce_rate*ln(1+clicks)", 4),
+    "impression_conversion_rate": R("CASE WHEN impressions>0 THEN conversions/impressions ELSE 0 END", 8),
+}
+INTER = {
+    "campaign_channel": "campaign || '_' || channel",
+    "channel_device": "channel || '_' || device",
+    "campaign_device": "campaign || '_' || device",
+}
+TIME = {
+    "day": "CAST(day(date) AS INTEGER)",
+    "month": "CAST(month(date) AS INTEGER)",
+    "weekday": "CAST(isodow(date)-1 AS INTEGER)",
+    "is_weekend": "CAST(isodow(date) >= 6 AS INTEGER)",
+    "day_of_year": "CAST(dayofyear(date) AS INTEGER)",
+    "week_of_year": "CAST(week(date) AS INTEGER)",
+}
+
+
+def _sel(d: dict[str, str]) -> str:
+    return ", ".join(f"{v} AS {k}" for k, v in d.items())
+
+
+q("target_high_conversion", f"SELECT *, {_CLS['high_conversion']} AS target FROM kpi")
+q("target_revenue", "SELECT *, CAST(revenue AS DOUBLE) AS target FROM kpi")
+q("target_high_roi", f"SELECT *, {_CLS['high_roi']} AS target FROM kpi")
+q("derived_features", f"SELECT *, {_sel(DERIVED)} FROM kpi")
+q("interactions", f"SELECT *, {_sel(INTER)} FROM kpi")
+q("time_features", f"SELECT *, {_sel(TIME)} FROM kpi")
+
+FULL_COLS = KPI_COLS + ["target"] + list(DERIVED) + list(INTER) + list(TIME)
+_DROP_HIGH_ROI = {"date", "roi", "roas", "revenue", "revenue_per_conversion", "target"}
+FEATURES_HIGH_ROI = [c for c in FULL_COLS if c not in _DROP_HIGH_ROI]
+_FULL = f"feat AS (SELECT *, {_CLS['high_roi']} AS target, {_sel(DERIVED)}, {_sel(INTER)}, {_sel(TIME)} FROM kpi)"
+_KEY = (
+    "md5(concat_ws('|', CAST(date AS VARCHAR), campaign, channel, device, CAST(impressions AS VARCHAR), "
+    "CAST(clicks AS VARCHAR), CAST(conversions AS VARCHAR), "
+    + ", ".join(f"CAST(CAST(round_even({c}*1e4, 0) AS BIGINT) AS VARCHAR)"
+                for c in ("spend", "revenue", "bounce_rate", "avg_session_duration"))
+    + "))"
+)
+q("feature_frame", f"SELECT {', '.join(FEATURES_HIGH_ROI)}, target FROM feat", _FULL)
+q(
+    "split_exact",
+    f"""SELECT {', '.join(FEATURES_HIGH_ROI)}, target,
+ CAST(row_number() OVER (PARTITION BY target ORDER BY {_KEY}, {', '.join(FULL_COLS)})
+      <= (count(*) OVER (PARTITION BY target) * 200000 + 999999) // 1000000 AS INTEGER) AS is_test
+FROM feat""",
+    _FULL,
+)
+q(
+    "split_hash",
+    f"SELECT {', '.join(FEATURES_HIGH_ROI)}, target, CAST(substr({_KEY}, 1, 8) < '33333333' AS INTEGER) AS is_test FROM feat",
+    _FULL,
+)

@@ -16,7 +16,11 @@ from adperf.operators import aggregate as A
 from adperf.operators import clean as C
 from adperf.operators import features as FE
 from adperf.operators import insights as I
+from adperf.operators import attribute as X
+from adperf.operators import diagnostics as D
+from adperf.operators import evaluate as E
 from adperf.operators import profile as P
+from adperf.plans import scorer as S
 from adperf.plans.frames import kpi_frame, raw_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +43,85 @@ def _class_distribution(kpi: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+# ------------------------------------------------------------ ML tables
+ZSCORE_COLUMNS = [
+    "impressions", "clicks", "spend", "conversions", "bounce_rate",
+    "avg_session_duration", "ctr", "cpc", "cpm", "conversion_rate",
+]
+RARE_COLUMNS = ["campaign", "channel", "device", "campaign_channel", "channel_device", "campaign_device"]
+
+
+def zscore(train: DataFrame, cols: list[str]) -> DataFrame:
+    """M1 (DataFrame form): ``(x - mean) / std_pop`` with a broadcast stats row."""
+    st = train.agg(
+        *[F.avg(c).alias(f"mu_{c}") for c in cols], *[F.stddev_pop(c).alias(f"sd_{c}") for c in cols]
+    )
+    z = {c: npround(F.try_divide(F.col(c) - F.col(f"mu_{c}"), F.col(f"sd_{c}")), 6).alias(f"z_{c}") for c in cols}
+    return train.crossJoin(F.broadcast(st)).select("row_id", *z.values())
+
+
+def rare_categories(train: DataFrame, cols: list[str], min_frequency: int = 2) -> DataFrame:
+    """M2: category table — levels seen fewer than ``min_frequency`` times map
+    to one ``__infrequent__`` level."""
+    long = train.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
+        ids=[], values=cols, variableColumnName="feature", valueColumnName="value"
+    )
+    g = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    return g.select(
+        "feature", "value", F.col("n").cast("bigint").alias("n"),
+        F.when(F.col("n") >= min_frequency, F.col("value")).otherwise(F.lit("__infrequent__")).alias("level"),
+    )
+
+
+def linear_importance(train: DataFrame) -> DataFrame:
+    """Importance of the deterministic linear scorer: |w| * std_pop(x)."""
+    w = S.LINEAR_WEIGHTS
+    row = train.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in w])
+    return row.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.lit(abs(v)) * F.col(c)).alias("importance"))
+                            for c, v in w.items()])).alias("s")
+    ).select("s.*")
+
+
+def _times(spark: SparkSession, task: str = "classification") -> DataFrame:
+    return spark.createDataFrame(S.train_times(task), "model string, train_time_s double")
+
+
+def _cls(fn):
+    return _kpi(lambda d: fn(S.scored_classification(d)))
+
+
+def _reg(fn):
+    return _kpi(lambda d: fn(S.scored_regression(d)))
+
+
+def _attr(fn):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        kpi = kpi_frame(spark, sf)
+        return fn(X.linear_attribution(S.test_rows(kpi), S.train_rows(kpi), S.LINEAR_WEIGHTS))
+
+    return run
+
+
+def _model_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    kpi = kpi_frame(spark, sf)
+    return E.model_comparison(S.scored_classification(kpi), S.fold_scores(kpi), _times(spark))
+
+
+def _best_model(spark: SparkSession, sf: str) -> DataFrame:
+    return E.best_model(_model_comparison(spark, sf), "f1_score")
+
+
+def _score_order(spark: SparkSession, sf: str) -> DataFrame:
+    return D.score_order(S.scored_classification(kpi_frame(spark, sf)), _times(spark))
+
+
+def _rare(kpi: DataFrame) -> DataFrame:
+    from adperf.operators.features import add_interactions
+
+    return rare_categories(add_interactions(S.train_rows(kpi)), RARE_COLUMNS)
+
+
 REGISTRY: dict[str, Query] = {
     # cleaning
     "clean_dedup": lambda s, sf: C.dedupe(raw_frame(s, sf)),
@@ -92,6 +175,36 @@ REGISTRY: dict[str, Query] = {
     "feature_frame": _kpi(lambda d: FE.feature_frame(d, "high_roi")),
     "split_exact": _kpi(lambda d: FE.prepare_features(d, "high_roi", exact=True).frame),
     "split_hash": _kpi(lambda d: FE.prepare_features(d, "high_roi", exact=False).frame),
+    # ML tables
+    "zscore": _kpi(lambda d: zscore(S.train_rows(d), ZSCORE_COLUMNS)),
+    "rare_categories": _kpi(_rare),
+    "cv_summary": _kpi(lambda d: E.cv_summary(S.fold_scores(d))),
+    "importance_share": _kpi(lambda d: E.importance_share(linear_importance(S.train_rows(d)))),
+    # evaluation
+    "classification_metrics": _cls(E.classification_metrics),
+    "roc_auc": _cls(E.roc_auc),
+    "regression_metrics": _reg(E.regression_metrics),
+    "model_comparison": _model_comparison,
+    "best_model": _best_model,
+    "confusion": _cls(E.confusion),
+    "cv_box": _kpi(lambda d: E.cv_box(S.fold_scores(d))),
+    "top_importance": _kpi(lambda d: E.top_importance(linear_importance(S.train_rows(d)))),
+    # attribution
+    "linear_attribution": _attr(lambda a: a.select("row_id", "feature", npround("shap", 8).alias("shap"), "feature_value")),
+    "attr_importance": _attr(X.importance),
+    "attr_direction": _attr(X.direction),
+    "attr_extremes": _attr(X.extremes),
+    "attr_top10": _attr(X.top_features),
+    "attr_summary": _attr(X.summary_points),
+    "attr_waterfall": _attr(X.waterfall),
+    # diagnostics
+    "best_unrounded": _cls(D.best_unrounded),
+    "pred_vs_actual": _reg(D.pred_vs_actual),
+    "residual_band": _reg(D.residual_band),
+    "residual_hist": _reg(D.residual_hist),
+    "correct_split": _cls(D.correct_split),
+    "accuracy_by_model": _cls(D.accuracy_by_model),
+    "score_order": _score_order,
 }
 
 

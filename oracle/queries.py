@@ -326,3 +326,132 @@ q(
     f"SELECT {', '.join(FEATURES_HIGH_ROI)}, target, CAST(substr({_KEY}, 1, 8) < '33333333' AS INTEGER) AS is_test FROM feat",
     _FULL,
 )
+
+# ---------------------------------------------------------------- scorer (FIXTURES F3)
+_SPLIT = f"""split AS (SELECT *, {_KEY} AS row_id, CAST(substr({_KEY}, 1, 8) < '33333333' AS INTEGER) AS is_test FROM kpi),
+te AS (SELECT * FROM split WHERE is_test = 1),
+tr AS (SELECT * FROM split WHERE is_test = 0)"""
+_CLF = [("m1", "ctr", "ctr > 0.03"), ("m2", "-cpc", "cpc < 0.5"), ("m3", "conversion_rate", "conversion_rate > 0.02")]
+_REG = [("r1", "spend*1.2"), ("r2", "CAST(conversions AS DOUBLE)*30.0"), ("r3", "25.0")]
+_SCC = "scc AS (" + " UNION ALL ".join(
+    f"SELECT row_id, '{m}' AS model, CAST(roi > 0 AS INTEGER) AS label, CAST({p} AS INTEGER) AS prediction, "
+    f"CAST({s} AS DOUBLE) AS score FROM te" for m, s, p in _CLF) + ")"
+_SCR = "scr AS (" + " UNION ALL ".join(
+    f"SELECT row_id, '{m}' AS model, CAST(revenue AS DOUBLE) AS label, CAST({p} AS DOUBLE) AS prediction FROM te"
+    for m, p in _REG) + ")"
+_FOLDS = "folds AS (SELECT model, fold, avg(CAST(label = prediction AS DOUBLE)) AS score FROM (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS model, CAST(instr('0123456789abcdef', substr(row_id, 9, 1)) % 5 AS INTEGER) AS fold, "
+    f"CAST(roi > 0 AS INTEGER) AS label, CAST({p} AS INTEGER) AS prediction FROM tr" for m, s, p in _CLF) + ") GROUP BY 1, 2)"
+_TIMES = "times AS (SELECT * FROM (VALUES ('m1', CAST(1.0 AS DOUBLE)), ('m2', CAST(2.0 AS DOUBLE)), ('m3', CAST(3.0 AS DOUBLE))) t(model, train_time_s))"
+_CM = """cnt AS (SELECT model, label, prediction, count(*) AS n FROM scc GROUP BY 1, 2, 3),
+sup AS (SELECT model, label AS cls, sum(n) AS support, sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS tp FROM cnt GROUP BY 1, 2),
+prd AS (SELECT model, prediction AS cls, sum(n) AS predicted FROM cnt GROUP BY 1, 2),
+pc AS (SELECT s.model, s.cls, CAST(support AS DOUBLE) AS support, CAST(tp AS DOUBLE) AS tp,
+  CASE WHEN coalesce(predicted, 0) > 0 THEN CAST(tp AS DOUBLE)/predicted ELSE 0 END AS p,
+  CASE WHEN support > 0 THEN CAST(tp AS DOUBLE)/support ELSE 0 END AS r FROM sup s LEFT JOIN prd USING (model, cls)),
+pcf AS (SELECT *, CASE WHEN p + r > 0 THEN 2*p*r/(p + r) ELSE 0 END AS f FROM pc),
+cm AS (SELECT model, sum(tp)/sum(support) AS accuracy, sum(p*support)/sum(support) AS precision,
+  sum(r*support)/sum(support) AS recall, sum(f*support)/sum(support) AS f1_score FROM pcf GROUP BY model)"""
+_AUC = """ra AS (SELECT model, label, rank() OVER (PARTITION BY model ORDER BY score)
+   + (count(*) OVER (PARTITION BY model, score) - 1) / CAST(2 AS DOUBLE) AS ar FROM scc),
+auc AS (SELECT model, (sum(ar) FILTER (WHERE label = 1)
+   - CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) * (count(*) FILTER (WHERE label = 1) + 1) / 2)
+   / nullif(CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) * count(*) FILTER (WHERE label <> 1), 0) AS roc_auc
+  FROM ra GROUP BY model)"""
+_RM = """rm AS (SELECT model, sqrt(avg((label - prediction)*(label - prediction))) AS rmse, avg(abs(label - prediction)) AS mae,
+  1 - sum((label - prediction)*(label - prediction)) / nullif(count(*)*var_pop(label), 0) AS r2_score FROM scr GROUP BY model)"""
+_CV = f"cv AS (SELECT model, {R('avg(score)', 4)} AS cv_mean, {R('stddev_pop(score)', 4)} AS cv_std FROM folds GROUP BY model)"
+_W = {"ctr": 2.0, "cpc": -0.5, "conversion_rate": 1.0, "bounce_rate": -0.25, "spend": 0.01}
+_IMP = "imp AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({abs(w)} AS DOUBLE) * stddev_pop(CAST({c} AS DOUBLE)) AS importance FROM tr"
+    for c, w in _W.items()) + ")"
+_IMPS = f"""imps AS (SELECT feature, {R('importance', 6)} AS importance,
+  CASE WHEN (SELECT sum(importance) FROM imp) > 0 THEN {R('importance/(SELECT sum(importance) FROM imp)*100', 2)} END AS importance_pct FROM imp)"""
+_MU = "mu AS (SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS mu_{c}" for c in _W) + " FROM tr)"
+_ATTR = "attr AS (" + " UNION ALL ".join(
+    f"SELECT row_id, '{c}' AS feature, CAST({w} AS DOUBLE) * (CAST({c} AS DOUBLE) - mu_{c}) AS shap, "
+    f"CAST({c} AS DOUBLE) AS feature_value FROM te, mu" for c, w in _W.items()) + ")"
+_FS = """fs AS (SELECT feature, avg(abs(shap)) AS mas, avg(shap) AS ms FROM attr GROUP BY feature),
+fi AS (SELECT feature, mas, ms, CASE WHEN (SELECT sum(mas) FROM fs) > 0
+  THEN """ + R("mas/(SELECT sum(mas) FROM fs)*100", 2) + """ ELSE 0 END AS importance_pct FROM fs)"""
+_CLS_BASE = (_SPLIT, _SCC)
+_REG_BASE = (_SPLIT, _SCR)
+_ATTR_BASE = (_SPLIT, _MU, _ATTR, _FS)
+
+q("zscore", "SELECT row_id, " + ", ".join(
+    f"{R(f'(CAST({c} AS DOUBLE) - (SELECT avg({c}) FROM tr)) / nullif((SELECT stddev_pop({c}) FROM tr), 0)', 6)} AS z_{c}"
+    for c in ["impressions", "clicks", "spend", "conversions", "bounce_rate", "avg_session_duration", "ctr", "cpc", "cpm",
+              "conversion_rate"]) + " FROM tr", _SPLIT)
+_RARE_COLS = {"campaign": "campaign", "channel": "channel", "device": "device", **INTER}
+q("rare_categories", " UNION ALL ".join(
+    f"SELECT '{k}' AS feature, {v} AS value, CAST(count(*) AS BIGINT) AS n, "
+    f"CASE WHEN count(*) >= 2 THEN {v} ELSE '__infrequent__' END AS level FROM tr GROUP BY {v}"
+    for k, v in _RARE_COLS.items()), _SPLIT)
+q("cv_summary", "SELECT * FROM cv", _SPLIT, _FOLDS, _CV)
+q("importance_share", "SELECT * FROM imps", _SPLIT, _IMP, _IMPS)
+q("classification_metrics", "SELECT model, " + ", ".join(
+    f"{R(c, 4)} AS {c}" for c in ("accuracy", "precision", "recall", "f1_score")) + " FROM cm", *_CLS_BASE, _CM)
+q("roc_auc", f"SELECT model, {R('roc_auc', 4)} AS roc_auc FROM auc", *_CLS_BASE, _AUC)
+q("regression_metrics", "SELECT model, " + ", ".join(f"{R(c, 4)} AS {c}" for c in ("rmse", "mae", "r2_score")) + " FROM rm",
+  *_REG_BASE, _RM)
+_COMP = "comp AS (SELECT cm.model, " + ", ".join(
+    f"{R(c, 4)} AS {c}" for c in ("accuracy", "precision", "recall", "f1_score")) + f""", {R('roc_auc', 4)} AS roc_auc,
+  cv_mean, cv_std, train_time_s FROM cm LEFT JOIN auc USING (model) LEFT JOIN cv USING (model) LEFT JOIN times USING (model))"""
+_COMP_BASE = (*_CLS_BASE, _CM, _AUC, _FOLDS, _CV, _TIMES, _COMP)
+q("model_comparison", "SELECT * FROM comp", *_COMP_BASE)
+q("best_model", "SELECT model AS best_model, f1_score AS score FROM comp ORDER BY f1_score DESC, model LIMIT 1", *_COMP_BASE)
+q("confusion", """SELECT m.model, l.label, p.prediction, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM (SELECT DISTINCT model FROM scc) m CROSS JOIN (SELECT CAST(range AS INTEGER) AS label FROM range(2)) l
+CROSS JOIN (SELECT CAST(range AS INTEGER) AS prediction FROM range(2)) p
+LEFT JOIN (SELECT model, label, prediction, count(*) AS n FROM scc GROUP BY 1, 2, 3) c
+  ON c.model = m.model AND c.label = l.label AND c.prediction = p.prediction""", *_CLS_BASE)
+q("cv_box", f"""SELECT model, {R('min(score)', 6)} AS min, {R('quantile_cont(score, 0.25)', 6)} AS q1,
+ {R('quantile_cont(score, 0.5)', 6)} AS median, {R('quantile_cont(score, 0.75)', 6)} AS q3, {R('max(score)', 6)} AS max,
+ {R('avg(score)', 6)} AS mean FROM folds GROUP BY model""", _SPLIT, _FOLDS)
+q("top_importance", "SELECT * FROM imps WHERE importance_pct IS NOT NULL ORDER BY importance DESC, feature LIMIT 15",
+  _SPLIT, _IMP, _IMPS)
+
+q("linear_attribution", f"SELECT row_id, feature, {R('shap', 8)} AS shap, feature_value FROM attr", _SPLIT, _MU, _ATTR)
+_BAND = "CASE WHEN importance_pct >= 10 THEN 'high' WHEN importance_pct >= 5 THEN 'medium' ELSE 'low' END"
+q("attr_importance", f"SELECT feature, {R('mas', 6)} AS mean_abs_shap, importance_pct, {_BAND} AS band FROM fi", *_ATTR_BASE)
+q("attr_direction", f"SELECT feature, {R('ms', 6)} AS mean_shap, CASE WHEN ms > 0 THEN 'Positive' ELSE 'Negative' END AS direction FROM fs",
+  *_ATTR_BASE)
+q("attr_extremes", f"""SELECT * FROM (SELECT 'positive' AS side, feature, {R('ms', 6)} AS mean_shap FROM fs WHERE ms > 0 ORDER BY ms DESC, feature LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'negative' AS side, feature, {R('ms', 6)} AS mean_shap FROM fs WHERE ms < 0 ORDER BY ms ASC, feature LIMIT 5)""",
+  *_ATTR_BASE)
+q("attr_top10", f"SELECT feature, {R('mas', 6)} AS mean_abs_shap, importance_pct, {_BAND} AS band FROM fi "
+  f"ORDER BY {R('mas', 6)} DESC, feature LIMIT 10", *_ATTR_BASE)
+q("attr_summary", f"""SELECT a.row_id, a.feature, {R('a.shap', 6)} AS shap,
+ {R('CASE WHEN b.vmax > b.vmin THEN (a.feature_value - b.vmin)/(b.vmax - b.vmin) ELSE 0.5 END', 6)} AS norm_value
+FROM attr a JOIN (SELECT feature, min(feature_value) AS vmin, max(feature_value) AS vmax FROM attr GROUP BY feature) b USING (feature)
+WHERE a.feature IN (SELECT feature FROM fi ORDER BY {R('mas', 6)} DESC, feature LIMIT 15)""", *_ATTR_BASE)
+q("attr_waterfall", f"""SELECT row_id, feature, {R('shap', 6)} AS shap, CASE WHEN shap > 0 THEN 'up' ELSE 'down' END AS effect
+FROM attr WHERE row_id = (SELECT row_id FROM attr GROUP BY row_id ORDER BY sum(abs(shap)) DESC, row_id LIMIT 1)
+ORDER BY abs(shap) DESC, feature LIMIT 12""", *_ATTR_BASE)
+
+q("best_unrounded", f"SELECT model AS best_model, {R('f1_score', 6)} AS score FROM cm ORDER BY f1_score DESC, model LIMIT 1",
+  *_CLS_BASE, _CM)
+_BESTR = "bestr AS (SELECT * FROM scr WHERE model = (SELECT model FROM rm ORDER BY r2_score DESC, model LIMIT 1))"
+q("pred_vs_actual", f"""SELECT model, label AS actual, prediction AS predicted,
+ (SELECT least(min(label), min(prediction)) FROM bestr) AS lim_lo, (SELECT greatest(max(label), max(prediction)) FROM bestr) AS lim_hi,
+ (SELECT {R('r2_score', 6)} FROM rm WHERE rm.model = bestr.model) AS r2, (SELECT {R('rmse', 6)} FROM rm WHERE rm.model = bestr.model) AS rmse
+FROM bestr""", *_REG_BASE, _RM, _BESTR)
+q("residual_band", f"""SELECT first(model) AS model, {R('first(sd)', 6)} AS residual_std, {R('-2*first(sd)', 6)} AS band_lo,
+ {R('2*first(sd)', 6)} AS band_hi, CAST(count(*) FILTER (WHERE abs(label - prediction) > 2*sd) AS BIGINT) AS outliers,
+ CAST(count(*) AS BIGINT) AS total
+FROM bestr, (SELECT stddev_pop(label - prediction) AS sd FROM bestr)""", *_REG_BASE, _RM, _BESTR)
+q("residual_hist", f"""SELECT g.bin, {R('st.rmin + g.bin*st.w', 6)} AS edge_lo, {R('st.rmin + (g.bin + 1)*st.w', 6)} AS edge_hi,
+ CAST(coalesce(c.n, 0) AS BIGINT) AS n, {R('st.rmean', 6)} AS mean, {R('st.rstd', 6)} AS std
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(30)) g CROSS JOIN st
+LEFT JOIN (SELECT CAST(CASE WHEN w > 0 THEN least(floor((label - prediction - rmin)/w), 29) ELSE 0 END AS INTEGER) AS bin,
+  count(*) AS n FROM bestr, st GROUP BY 1) c ON c.bin = g.bin""",
+  *_REG_BASE, _RM, _BESTR,
+  "st AS (SELECT min(label - prediction) AS rmin, max(label - prediction) AS rmax, avg(label - prediction) AS rmean, "
+  "stddev_pop(label - prediction) AS rstd, (max(label - prediction) - min(label - prediction))/30 AS w FROM bestr)")
+_BESTC = "bestc AS (SELECT * FROM scc WHERE model = (SELECT model FROM cm ORDER BY f1_score DESC, model LIMIT 1))"
+q("correct_split", f"""SELECT CASE WHEN label = prediction THEN 'correct' ELSE 'incorrect' END AS outcome, CAST(count(*) AS BIGINT) AS n,
+ {R('count(*)*100.0/(SELECT count(*) FROM bestc)', 4)} AS pct FROM bestc GROUP BY 1""", *_CLS_BASE, _CM, _BESTC)
+q("accuracy_by_model", f"SELECT model, {R('avg(CAST(label = prediction AS DOUBLE))', 6)} AS accuracy FROM scc GROUP BY model",
+  *_CLS_BASE)
+q("score_order", f"SELECT model, {R('f1_score', 6)} AS score, train_time_s FROM cm LEFT JOIN times USING (model)",
+  *_CLS_BASE, _CM, _TIMES)

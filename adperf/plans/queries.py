@@ -122,6 +122,35 @@ def _rare(kpi: DataFrame) -> DataFrame:
     return rare_categories(add_interactions(S.train_rows(kpi)), RARE_COLUMNS)
 
 
+def _train_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Quick random search of the three classifiers, test metrics +
+    CV mean / std + time per model."""
+    from adperf.ml.train import cv_frame, scored_frame, times_frame, train_all_models
+
+    prep = FE.prepare_features(kpi_frame(spark, sf), "high_roi", mode="strict")
+    trained = train_all_models(prep, cv_folds=3, n_iter=2, space="quick")
+    scored = scored_frame(trained)
+    return (
+        E.classification_metrics(scored)
+        .join(E.roc_auc(scored), "model", "left")
+        .join(cv_frame(spark, trained), "model", "left")
+        .join(times_frame(spark, trained), "model", "left")
+    )
+
+
+def _shapley(spark: SparkSession, sf: str) -> DataFrame:
+    """Sampled Shapley values of a fitted logistic pipeline for every
+    test row."""
+    from adperf.ml.shapley import sampled_shapley
+    from adperf.ml.train import train_all_models
+
+    prep = FE.prepare_features(kpi_frame(spark, sf), "high_roi", mode="strict")
+    t = train_all_models(prep, cv_folds=2, n_iter=1, space="quick", models=["Logistic Regression"])
+    lr = t["Logistic Regression"]
+    feats = prep.numeric + prep.categorical
+    return sampled_shapley(lr.model, lr.test_rows, lr.train_rows, feats, task="classification", n_samples=4)
+
+
 REGISTRY: dict[str, Query] = {
     # cleaning
     "clean_dedup": lambda s, sf: C.dedupe(raw_frame(s, sf)),
@@ -173,8 +202,8 @@ REGISTRY: dict[str, Query] = {
     "interactions": _kpi(FE.add_interactions),
     "time_features": _kpi(FE.add_time),
     "feature_frame": _kpi(lambda d: FE.feature_frame(d, "high_roi")),
-    "split_exact": _kpi(lambda d: FE.prepare_features(d, "high_roi", exact=True).frame),
-    "split_hash": _kpi(lambda d: FE.prepare_features(d, "high_roi", exact=False).frame),
+    "split_exact": _kpi(lambda d: FE.prepare_features(d, "high_roi", exact=True).frame.drop("row_id")),
+    "split_hash": _kpi(lambda d: FE.prepare_features(d, "high_roi", exact=False).frame.drop("row_id")),
     # ML tables
     "zscore": _kpi(lambda d: zscore(S.train_rows(d), ZSCORE_COLUMNS)),
     "rare_categories": _kpi(_rare),
@@ -205,6 +234,9 @@ REGISTRY: dict[str, Query] = {
     "correct_split": _cls(D.correct_split),
     "accuracy_by_model": _cls(D.accuracy_by_model),
     "score_order": _score_order,
+    # model training and sampled Shapley (no SQL oracle: rows / invariants only)
+    "train_compare": lambda s, sf: _train_compare(s, sf),
+    "shapley_sampled": lambda s, sf: _shapley(s, sf),
 }
 
 

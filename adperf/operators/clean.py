@@ -119,7 +119,13 @@ def clean_data(raw: DataFrame, approx: bool = False) -> DataFrame:
     return drop_invalid(imputed(raw, approx=approx))
 
 
-def cleaning_report(raw: DataFrame, approx: bool = False) -> DataFrame:
+def cleaning_report(
+    raw: DataFrame,
+    approx: bool = False,
+    std: DataFrame | None = None,
+    fills: DataFrame | None = None,
+    clean: DataFrame | None = None,
+) -> DataFrame:
     """``(step, column_name, n, fill_value, fill_text)``.
 
     Steps: ``input`` rows, ``duplicates`` removed, ``fill`` per column with
@@ -127,15 +133,16 @@ def cleaning_report(raw: DataFrame, approx: bool = False) -> DataFrame:
     rows removed, ``output`` rows.  Built from a few global aggregates.
     """
     raw = raw.select(*REQUIRED_COLUMNS)
-    std = standardized(raw)
+    std = std if std is not None else standardized(raw)
     cols = NUMERIC_COLUMNS + CATEGORICAL_COLUMNS
     n_in = raw.agg(F.count(F.lit(1)).alias("n"))
     nulls = std.agg(
         F.count(F.lit(1)).alias("n_std"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in cols],
     )
-    fills = fill_values_long(std, approx=approx)
-    clean = drop_invalid(fix_types(impute(std, fills_row(fills, std.columns))))
+    fills = fills if fills is not None else fill_values_long(std, approx=approx)
+    if clean is None:
+        clean = drop_invalid(fix_types(impute(std, fills_row(fills, std.columns))))
     n_out = clean.agg(F.count(F.lit(1)).alias("n_out"))
 
     stats = n_in.crossJoin(nulls).crossJoin(n_out)

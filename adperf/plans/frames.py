@@ -1,11 +1,21 @@
-"""Standard frames every query starts from (all lazy)."""
+"""Standard frames every query starts from.
+
+Each call derives the cleaned table from the raw driver tables once and
+materialises its reuse points — de-duplicated rows, fill values, cleaned
+rows — as reliable checkpoints in the shared checkpoint folder.  Without
+that, every branch of a report (median sketch, candidate counts, modes, the
+main path) re-runs the fixture join and the de-duplication shuffle; with it,
+reports read the checkpoint.  Nothing is cached across calls: every query
+does its whole work from the given tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adperf.operators.clean import clean_data
+from adperf.operators import clean as C
 from adperf.operators.kpi import compute_kpis
+from adperf.session import materialize
 from adperf.sources.fixture import ad_facts_raw
 
 
@@ -13,9 +23,20 @@ def raw_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad_facts_raw(spark, sf_dir)
 
 
+def clean_stages(raw: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
+    """``std`` (C1-C2), ``fills`` (C3/C4 long form), ``imputed`` (C5, lazy),
+    ``clean`` (C6-C8) — the first two and the last materialised."""
+    std = materialize(C.standardized(raw))
+    fills = materialize(C.fill_values_long(std, approx=approx))
+    imputed = C.fix_types(C.impute(std, C.fills_row(fills, std.columns)))
+    clean = materialize(C.drop_invalid(imputed))
+    return {"std": std, "fills": fills, "imputed": imputed, "clean": clean}
+
+
 def clean_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_data(raw_frame(spark, sf_dir))
+    return clean_stages(raw_frame(spark, sf_dir))["clean"]
 
 
 def kpi_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1-K7 over the cleaned rows (a projection of the checkpoint)."""
     return compute_kpis(clean_frame(spark, sf_dir))

@@ -28,12 +28,13 @@ def build_kpi_table(raw: DataFrame, approx: bool = False, checkpoint: bool = Tru
 
 
 def build_clean_stages(raw: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
-    """De-duplicated + standardised rows, fill values and the KPI table, each
-    materialised once (reliable checkpoints) so later reports reuse them."""
-    std = materialize(C.standardized(raw))
-    fills = materialize(C.fill_values_long(std, approx=approx))
-    kpi = materialize(compute_kpis(C.drop_invalid(C.fix_types(C.impute(std, C.fills_row(fills, std.columns))))))
-    return {"std": std, "fills": fills, "kpi": kpi}
+    """De-duplicated rows, fill values and cleaned rows, each materialised
+    once (reliable checkpoints), plus the KPI projection over them."""
+    from adperf.plans.frames import clean_stages
+
+    st = clean_stages(raw, approx=approx)
+    st["kpi"] = materialize(compute_kpis(st["clean"]))
+    return st
 
 
 def run_analysis(raw: DataFrame, approx: bool = False, stages: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:

@@ -21,7 +21,7 @@ from adperf.operators import diagnostics as D
 from adperf.operators import evaluate as E
 from adperf.operators import profile as P
 from adperf.plans import scorer as S
-from adperf.plans.frames import kpi_frame, raw_frame
+from adperf.plans.frames import clean_stages, kpi_frame, raw_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,10 +31,16 @@ def _kpi(fn):
 
 
 def _impute_values(spark: SparkSession, sf: str) -> DataFrame:
-    fl = C.fill_values_long(C.standardized(raw_frame(spark, sf)))
+    fl = clean_stages(raw_frame(spark, sf))["fills"]
     return fl.select("col", npround("value_double", 6).alias("value_double"), "value_text")
 
 
+def _clean_report(spark: SparkSession, sf: str) -> DataFrame:
+    raw = raw_frame(spark, sf)
+    st = clean_stages(raw)
+    return C.cleaning_report(raw, std=st["std"], fills=st["fills"], clean=st["clean"])
+
+
 def _class_distribution(kpi: DataFrame) -> DataFrame:
     parts = [
         A.class_distribution(FE.add_target(kpi, t)).select(F.lit(t).alias("target_name"), "label", "n")
@@ -156,9 +162,9 @@ REGISTRY: dict[str, Query] = {
     "clean_dedup": lambda s, sf: C.dedupe(raw_frame(s, sf)),
     "clean_standardize": lambda s, sf: C.standardized(raw_frame(s, sf)),
     "impute_values": _impute_values,
-    "clean_impute": lambda s, sf: C.imputed(raw_frame(s, sf)),
-    "clean_valid": lambda s, sf: C.clean_data(raw_frame(s, sf)),
-    "clean_report": lambda s, sf: C.cleaning_report(raw_frame(s, sf)),
+    "clean_impute": lambda s, sf: clean_stages(raw_frame(s, sf))["imputed"],
+    "clean_valid": lambda s, sf: clean_stages(raw_frame(s, sf))["clean"],
+    "clean_report": _clean_report,
     # KPIs
     "kpis": lambda s, sf: kpi_frame(s, sf),
     # aggregates

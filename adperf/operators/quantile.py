@@ -23,7 +23,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 500_000
+# Sketch accuracy: candidates are about 12 * n / accuracy values; raise it with
+# the row count to keep the per-column candidate window small.
+DEFAULT_ACCURACY = 50_000
 
 
 def _long_values(df: DataFrame, cols: list[str], dtype: str) -> DataFrame:
@@ -76,15 +78,37 @@ def exact_quantiles_multi(
         "bracketed", F.col("n") * F.lit(eps) >= 2
     )
 
-    # Pass 2: exact count below each bracket, value counts inside it.
-    # ``brackets`` has one row per (column, p) — a proven size bound — so it
-    # is broadcast.
-    vals = _long_values(df, cols, "double").join(F.broadcast(brackets), "col")
-    inside = ~F.col("bracketed") | F.col("v").between(F.col("lo"), F.col("hi"))
-    below = vals.groupBy("col", "p").agg(
-        F.count_if(F.col("bracketed") & (F.col("v") < F.col("lo"))).alias("below")
+    # Pass 2: exact count below each bracket, value counts inside it.  The
+    # brackets of one column travel as one row (broadcast: one row per
+    # column, a proven size bound), so every value is read once for all ps.
+    k = len(ps)
+    per_col = brackets.groupBy("col").agg(
+        F.first("n").alias("n"),
+        F.first("bracketed").alias("bracketed"),
+        *[F.max(F.when(F.col("p") == float(p), F.col("lo"))).alias(f"lo_{j}") for j, p in enumerate(ps)],
+        *[F.max(F.when(F.col("p") == float(p), F.col("hi"))).alias(f"hi_{j}") for j, p in enumerate(ps)],
+    )
+    vals = _long_values(df, cols, "double").join(F.broadcast(per_col), "col")
+    inside = [~F.col("bracketed") | F.col("v").between(F.col(f"lo_{j}"), F.col(f"hi_{j}")) for j in range(k)]
+    below_wide = vals.groupBy("col").agg(
+        *[F.count_if(F.col("bracketed") & (F.col("v") < F.col(f"lo_{j}"))).alias(f"below_{j}") for j in range(k)]
+    )
+    below = below_wide.select(
+        "col",
+        F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(f"below_{j}").alias("below"))
+                            for j, p in enumerate(ps)])).alias("b"),
+    ).select("col", "b.p", "b.below")
+    any_inside = inside[0]
+    for c in inside[1:]:
+        any_inside = any_inside | c
+    flags = F.array(*[F.struct(F.lit(float(p)).alias("p"), inside[j].alias("ok")) for j, p in enumerate(ps)])
+    cand = (
+        vals.filter(any_inside)                      # plain predicate on every value
+        .select("col", "v", F.explode(flags).alias("h"))   # only candidates get here
+        .filter(F.col("h.ok"))
+        .groupBy("col", F.col("h.p").alias("p"), "v")
+        .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    cand = vals.filter(inside).groupBy("col", "p", "v").agg(F.count(F.lit(1)).alias("cnt"))
 
     w = Window.partitionBy("col", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (

@@ -59,3 +59,19 @@ def test_shapley_additivity(spark, trained):
     for k, s in sums.items():
         assert math.isclose(s, fx[k] - fz, abs_tol=1e-9)
     assert shap.select("feature").distinct().count() == len(feats)
+
+
+def test_run_ml_regression_end_to_end(spark, tmpdir_path):
+    """Revenue target: three regressors, comparison, saved model, attribution
+    and residual diagnostics all build and run."""
+    from adperf.plans.pipeline import run_ml
+
+    out = run_ml(kpi_frame(spark, SF_SMALL), "revenue", cv_folds=2, n_iter=1, space="quick",
+                 model_path=tmpdir_path)
+    comp = {r["model"]: r for r in out["comparison"].collect()}
+    assert set(comp) == {"Ridge Regression", "Random Forest", "Gradient Boosting"}
+    assert all(r["rmse"] >= 0 for r in comp.values())
+    assert out["best_model"] in comp
+    assert len(out["residual_hist"].collect()) == 30
+    assert out["attr_importance"].count() > 0
+    assert load_model(f"{tmpdir_path}/best_model_revenue") is not None

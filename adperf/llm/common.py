@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
@@ -72,41 +73,32 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
 
 
 class WordIds(dict):
-    """word -> row of ``high``/``low``, the halves of the word's 128-bit hash.
+    """word -> number of its 128-bit hash, of which ``hashes`` gives the two halves.
 
-    Filled on first sight and bounded: ``trim()`` between documents forgets
-    all words beyond ``most``; hashes do not depend on the cache.
+    Filled on first sight and bounded: ``trim()`` between slices forgets all
+    words beyond ``most``; hashes do not depend on what is remembered.
     """
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
-        self.most, self.high, self.low = most, [], []
-        self._arrays = None
+        self.most, self.new = most, []
+        self.halves = np.empty((0, 2), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_128_intdigest(word)
-        self[word] = at = len(self.high)
-        self.high.append(value >> 64)
-        self.low.append(value & 0xFFFFFFFFFFFFFFFF)
+        self[word] = at = len(self)
+        self.new.append(xxhash.xxh3_128_digest(word))
         return at
 
     def trim(self) -> None:
         if len(self) > self.most:
             self.clear()
-            self.high.clear()
-            self.low.clear()
-            self._arrays = None
-
-    def hashes(self, ids):
-        """The hash halves of words given by their rows, as two uint64 arrays."""
-        import numpy as np
-
-        if self._arrays is None:
-            self._arrays = (np.empty(0, np.uint64), np.empty(0, np.uint64))
-        known = len(self._arrays[0])
-        if known < len(self.high):
-            self._arrays = tuple(
-                np.concatenate([a, np.array(x[known:], np.uint64)])
-                for a, x in zip(self._arrays, (self.high, self.low), strict=True)
-            )
-        return self._arrays[0][ids], self._arrays[1][ids]
+            self.new.clear()
+            self.halves = self.halves[:0]
+
+    def hashes(self, words: Iterable[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash halves of n words, as two uint64 arrays."""
+        at = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        if self.new:
+            self.halves = np.concatenate([self.halves, np.frombuffer(b"".join(self.new), "<u8").reshape(-1, 2)])
+            self.new.clear()
+        return self.halves[at, 0], self.halves[at, 1]

@@ -56,8 +56,7 @@ def shingles(text: bytes, words: WordIds, k: int) -> np.ndarray:
     found = text.lower().split()  # bytes: A-Z, and ASCII white space
     if not found:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
-    high, low = words.hashes(ids)
+    high, low = words.hashes(found, len(found))
     n = min(k, len(found))
     out = mix(high[: len(high) - n + 1] ^ low[: len(low) - n + 1])
     for i in range(1, n):

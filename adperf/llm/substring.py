@@ -30,6 +30,7 @@ extent's 64 bits count together).  Windows without a representative go to step 2
 from __future__ import annotations
 
 import hashlib
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -281,7 +282,7 @@ def _exchange(rows: DataFrame, entries_of, make, settle, buckets: int) -> DataFr
     def send(batches):
         tools = (WordIds(), Powers())
         parts, file, base, held = [], None, 0, 0
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 1 << 20):
             files, numbers = b.column("file").to_numpy(), b.column("row").to_numpy()
             for part in np.split(np.arange(len(files)), np.flatnonzero(files[1:] != files[:-1]) + 1):
                 if parts and (files[part[0]] != file or held > CHUNK or numbers[part[-1]] - base >= 1 << 32):
@@ -316,8 +317,7 @@ def _tokens(texts: list[bytes], ids: WordIds):
     """(words of each text, high and low hash halves of all, first and last place of each word's text, first place of each text)."""
     words = [t.split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((ids[w] for x in words for w in x), np.int64, int(sizes.sum()))
-    high, low = ids.hashes(flat)
+    high, low = ids.hashes(chain.from_iterable(words), int(sizes.sum()))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     return words, high, low, np.repeat(starts[:-1], sizes), np.repeat(starts[1:], sizes), starts
 
@@ -335,19 +335,26 @@ def _span_entries(window: int, rounds: int):
     return entries
 
 
+def _lists(column: pa.Array, *fields: str):
+    """Bounds of each row's list, and the flat values (of the fields, if any) as arrays; null is an empty list."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()
+    flat = column.flatten()
+    values = [pa.compute.struct_field(flat, f).to_numpy() for f in fields] or [flat.to_numpy()]
+    return np.concatenate([[0], np.cumsum(sizes)]), *values
+
+
 def _window_entries(window: int):
     def entries(batch, ids, powers):
         _, high, low, _, _, starts = _tokens(binary_values(batch.column("text")), ids)
-        row, at, shown = [], [], []
-        for i, found in enumerate(batch.column("spans").to_pylist()):
-            for s in found or ():
-                if s["status"] != REPEATED:
-                    row.append(np.full(s["n"], i))
-                    at.append(np.arange(s["at"], s["at"] + s["n"]))
-                    shown.append(np.full(s["n"], s["status"] == SHOWN))
-        if not row:
+        bounds, at, n, status = _lists(batch.column("spans"), "at", "n", "status")
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        wait = status != REPEATED
+        if not wait.any():
             return np.zeros(0, ENTRY)
-        row, at, shown = map(np.concatenate, (row, at, shown))
+        at, n, row, shown = at[wait].astype(np.int64), n[wait], row[wait], status[wait] == SHOWN
+        # every window of the spans
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at, row, shown = np.repeat(at, n) + step, np.repeat(row, n), np.repeat(shown, n)
         begin = starts[row] + at
         one, two = (digests(h, powers)(begin, begin + window) for h in (high, low))
         return _entries(k1=one, k2=two, row=row, at=at, n=1, f=np.where(shown, NOWHERE, 0))
@@ -355,19 +362,15 @@ def _window_entries(window: int):
     return entries
 
 
-def _cover(words: list[bytes], covered: list[tuple[int, int]], window: int) -> tuple[int, bytes]:
-    """(words removed, kept words joined by a blank) for spans (first window, number of windows)."""
-    if not covered:
+def _cover(words: list[bytes], at: np.ndarray, n: np.ndarray, window: int) -> tuple[int, bytes]:
+    """(words removed, kept words joined by a blank) for spans of n windows from ``at`` on."""
+    if not len(at):
         return 0, b" ".join(words)
     change = np.zeros(len(words) + 1, np.int64)
-    for at, n in covered:
-        change[at] += 1
-        change[at + n + window - 1] -= 1
-    gone = np.cumsum(change[:-1]) > 0
-    return int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-
-
-RESULT = "id long, n_words long, n_removed long, kept_text string"
+    np.add.at(change, at, 1)
+    np.add.at(change, at + n + window - 1, -1)
+    keep = np.cumsum(change[:-1]) == 0
+    return len(words) - int(keep.sum()), b" ".join(compress(words, keep.tolist()))
 
 
 def remove_repeats(
@@ -397,18 +400,21 @@ def remove_repeats(
     def settle(batches):
         """Texts whose spans are all settled are done; the others keep their text."""
         for b in slices(batches, "text"):
-            n, removed, kept, left, spans_left = [], [], [], [], []
-            for text, found in zip(binary_values(b.column("text")), b.column("spans").to_pylist(), strict=True):
+            n, removed, kept, left = [], [], [], []
+            bounds, at, size, status = _lists(b.column("spans"), "at", "n", "status")
+            open_before = np.concatenate([[0], np.cumsum(status != REPEATED)])
+            waits = (open_before[bounds[1:]] > open_before[bounds[:-1]]).tolist()
+            for i, (text, wait) in enumerate(zip(binary_values(b.column("text")), waits, strict=True)):
                 words = text.split()
+                mine = slice(bounds[i], bounds[i + 1])
+                cut, rest = (0, b"") if wait else _cover(words, at[mine], size[mine], window)
                 n.append(len(words))
-                wait = any(s["status"] != REPEATED for s in found or ())
-                cut, rest = (0, b"") if wait else _cover(words, [(s["at"], s["n"]) for s in found or ()], window)
                 removed.append(cut)
                 kept.append(None if wait else out(rest))
                 left.append(text if wait else None)
-                spans_left.append(found if wait else None)
+            spans_left = pa.compute.if_else(pa.array(waits, pa.bool_()), b.column("spans"), pa.scalar(None, b.schema.field("spans").type))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(left, pa.binary()), pa.array(spans_left, b.schema.field("spans").type)],
+                [b.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(left, pa.binary()), spans_left],
                 names=["id", "n_words", "n_removed", last, "text", "spans"],
             )
 
@@ -422,10 +428,14 @@ def remove_repeats(
     def finish(batches):
         for b in slices(batches, "text"):
             n, removed, kept = [], [], []
-            for text, found, more in zip(binary_values(b.column("text")), b.column("spans").to_pylist(), b.column("windows").to_pylist(), strict=True):
+            bounds, at, size, status = _lists(b.column("spans"), "at", "n", "status")
+            more, single = _lists(b.column("windows"))
+            for i, text in enumerate(binary_values(b.column("text"))):
                 words = text.split()
-                covered = [(s["at"], s["n"]) for s in found if s["status"] != COMPARE] + [(at, 1) for at in more or ()]
-                cut, rest = _cover(words, covered, window)
+                mine = slice(bounds[i], bounds[i + 1])
+                sure, found = status[mine] != COMPARE, single[more[i] : more[i + 1]]
+                starts = np.concatenate([at[mine][sure], found])
+                cut, rest = _cover(words, starts, np.concatenate([size[mine][sure], np.ones(len(found), np.int64)]), window)
                 n.append(len(words))
                 removed.append(cut)
                 kept.append(out(rest))

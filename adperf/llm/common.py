@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adperf.session import ensure_checkpoint_dir, materialize
+from adperf.session import ensure_checkpoint_dir
 
 #: White space that separates words, as a character class body (fixed value of the contracts).
 SPACE = r"\x20\x09-\x0D"
@@ -26,27 +27,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back."""
-    return materialize(df)
+    path = shared_path(df.sparkSession, "adperf-tables", uuid.uuid4().hex)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), *parts])
 
 
+def scanned(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a plain scan of files, else its rows written once and read back."""
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return stored(df)
+    return df
+
+
 def located(df: DataFrame) -> DataFrame:
-    """``df`` with a locator of each row: (file, row number in it).
+    """A plain scan with a locator of each row: (file, row number in it).
 
     The locator names the stored content, so it is the same in every scan and
-    after a lost task.  A frame that is not a plain file scan is written to the
-    shared folder first.
+    after a lost task.
     """
-    for at in (df, None):
-        at = stored(df) if at is None else at
-        try:
-            return at.withColumns({FILE: F.col("_metadata.file_path"), ROW: F.col("_metadata.row_index")})
-        except AnalysisException:
-            continue
-    raise ValueError("rows cannot be located")
+    return df.withColumns({FILE: F.col("_metadata.file_path"), ROW: F.col("_metadata.row_index")})
 
 
 def binary_values(column: pa.Array) -> list[bytes]:

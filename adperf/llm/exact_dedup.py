@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adperf.llm.common import FILE, ROW, binary_values, located, shared_path, stored
+from adperf.llm.common import FILE, ROW, binary_values, located, scanned, shared_path, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -123,7 +123,7 @@ def exact_dedup(
     of repeated rows (same id, same text) the one with the largest locator.  An
     empty table gives no rows.  Other columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, scanned(docs)
     came = stored(arrivals(docs, id_col, text_col, digest))
     if came.isEmpty():
         return came.select("id", FILE, ROW, "digest").withColumns(
@@ -169,5 +169,6 @@ def exact_dedup(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` does not keep; all columns unchanged."""
+    docs = scanned(docs)
     gone = stored(exact_dedup(docs, id_col, text_col).where("not kept").select(FILE, ROW))
     return located(docs).join(gone, [FILE, ROW], "left_anti").select(*docs.columns)

@@ -10,12 +10,14 @@
    star: candidate edges go from members to the centre, so a bucket of n units
    has n - 1 edges, not n squared.
 4. Candidates are confirmed on the full shingle sets, and confirmed links are joined
-   into components.
-5. A bucket whose members are not all in one component goes on: centres that were
-   compared with the whole bucket retire and the next members become centres (2, 4,
-   8, ... of them), until each bucket has one component or no member left.  So
-   every pair that shares a bucket is compared, unless its members are already in
-   one component; there is no cap.
+   into components: first one centre for each unit, then the other centres of
+   the units that are not in their component yet.
+5. Buckets whose members are still in several components are searched whole.  The
+   bucket's most common component is a family, and the bucket's other members are
+   its strangers; the strangers are compared with the family and with each other, in
+   blocks of bounded size that hold the sets.  So every pair that shares a bucket
+   is compared unless its members are in one component already; there is no cap,
+   and no row per pair.
 
 At a similarity of 0.8 the chance that two units share no band is (1 - 0.8^5)^48,
 about 5e-9.
@@ -26,14 +28,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adperf.llm.common import FILE, ROW, WordIds, binary_values, located, slices, stored
+from adperf.llm.common import FILE, ROW, WordIds, binary_values, located, scanned, slices, stored
 
 BANDS, ROWS = 48, 5
 SIMILARITY = 80  # percent
 SHINGLE = 5
+#: Shingles of a part in the search of whole buckets; bounds a task's memory.
+PART = 400_000
 #: Units without any document id take numbers from here up.
 NO_ID = 1 << 62
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -170,6 +174,68 @@ def confirmed(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.mapInArrow(run, "a long, b long")
 
 
+def searched(members: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components within the buckets (key, unit, label), a spanning forest of each block.
+
+    Families and strangers are dealt into parts of about ``PART`` shingles; each
+    pair of parts with a stranger part is a block, and a task's work.
+    """
+    kinds = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    family = kinds.groupBy("key").agg(F.max("c").alias("c"), F.max_by("label", F.col("c")).alias("family"), F.count(F.lit(1)).alias("kinds"))
+    family = family.where("kinds > 1").select("key", "family")
+    strangers = stored(members.join(family, "key").where("label <> family").select("family", "unit").distinct())
+    own = labels.join(strangers.select(F.col("family").alias("label")).distinct(), "label").select(F.col("label").alias("family"), "unit")
+    rows = strangers.withColumn("stranger", F.lit(True)).unionByName(own.withColumn("stranger", F.lit(False))).join(sizes, "unit")
+    parts = rows.groupBy("family").agg(*[
+        F.ceil(F.sum(F.when(F.col("stranger") == x, F.col("n")).otherwise(0)) / PART).cast("int").alias(c) for x, c in ((True, "xs"), (False, "ys"))
+    ])
+    count = F.when(F.col("stranger"), F.col("xs")).otherwise(F.col("ys"))
+    rows = rows.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("unit"), count).cast("int"))
+    # blocks are (x, y) with a stranger part x and a family part y, or stranger parts (x, -1 - y) with x <= y
+    block = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    part, each = F.col("part"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = F.concat(F.transform(each("ys"), lambda y: block(part, y)), F.transform(each("xs"), lambda x: block(F.least(part, x), -1 - F.greatest(part, x))))
+    theirs = F.transform(each("xs"), lambda x: block(x, part))
+    rows = rows.withColumn("block", F.explode(F.when(F.col("stranger"), mine).otherwise(theirs)))
+    rows = rows.select("family", "block.x", "block.y", "stranger", "part", "unit").join(texts, "unit")
+
+    def compare(table: pa.Table) -> pa.Table:
+        words = WordIds()
+        unit, part, stranger = (table.column(c).to_numpy() for c in ("unit", "part", "stranger"))
+        sets = [shingles(t, words, k) for t in binary_values(table.column("text"))]
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        one = np.flatnonzero(stranger & (part == x))
+        two = np.flatnonzero(~stranger if y >= 0 else part == -1 - y)
+        # postings of the second part: shingle -> sets that have it
+        size = np.array([len(s) for s in sets])
+        flat, of = np.concatenate([sets[i] for i in two]), np.repeat(np.arange(len(two)), size[two])
+        order = np.argsort(flat, kind="stable")
+        flat, of = flat[order], of[order]
+        root = {int(u): int(u) for u in unit}
+
+        def top(u: int) -> int:
+            while root[u] != u:
+                root[u] = root[root[u]]
+                u = root[u]
+            return u
+
+        out = []
+        for i in one.tolist():
+            lo, hi = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], "right")
+            n = hi - lo
+            hits = of[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            common = np.bincount(hits, minlength=len(two))
+            for j in np.flatnonzero(100 * common >= percent * (size[i] + size[two] - common)).tolist():
+                a, b = top(int(unit[i])), top(int(unit[two[j]]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(unit[i]), int(unit[two[j]])))
+        a, b = ([p[z] for p in out] for z in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("family", "x", "y").applyInArrow(compare, "a long, b long")
+
+
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(unit, label): the least label that is reachable over ``links`` (a, b).
 
@@ -210,6 +276,7 @@ def near_duplicates(
     the id is the component's, or both are null.  An empty table gives no rows;
     other columns are not read.
     """
+    docs = scanned(docs)
     found = stored(sketched(docs, id_col, text_col, shingle, bands, rows))
     unit = units(found)
     sizes = unit.select("unit", "n")
@@ -219,33 +286,21 @@ def near_duplicates(
     members = stored(members.join(buckets.select("key", "centre"), "key"))
     stars = members.where("unit <> centre").select(F.col("centre").alias("a"), F.col("unit").alias("b")).distinct()
     edges = stored(_possible(stars, sizes, percent))
-    members = members.select("key", "unit")
+    centre = members.select("key", "unit", "centre")
 
-    wanted = unit.join(members.select("unit").distinct(), "unit").select("unit", FILE, ROW)
+    wanted = unit.join(centre.select("unit").distinct(), "unit").select("unit", FILE, ROW)
     source = located(docs).select(FILE, ROW, F.col(text_col).alias("text"))
     texts = stored(source.join(wanted, [FILE, ROW]).select("unit", "text"))
 
     labels = unit.select("unit", F.col("unit").alias("label"))
-    compared, centres = edges, 1
-    while True:
-        links = stored(confirmed(edges, texts, shingle, percent))
-        labels = stored(components(labels, links))
-        # buckets with members in several components go on, without the centres that are done
-        marked = members.join(labels, "unit")
-        alive = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        place = F.row_number().over(Window.partitionBy("key").orderBy("unit"))
-        rest = stored(marked.join(alive, "key").select("key", "unit").withColumn("place", place).where(F.col("place") > centres))
-        members = rest.select("key", "unit")
-        centres *= 2
-        if rest.isEmpty():
-            break
-        heads = rest.withColumn("place", place).where(F.col("place") <= centres).select("key", F.col("unit").alias("a"))
-        pairs = members.withColumnRenamed("unit", "b").join(heads, "key").where("a < b").select("a", "b").distinct()
-        pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        la, lb = (labels.select(F.col("unit").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-        pairs = pairs.join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
-        edges = stored(_possible(pairs, sizes, percent))
-        compared = compared.union(edges)
+    nearest = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    labels = stored(components(labels, stored(confirmed(nearest, texts, shingle, percent))))
+    la, lb = (labels.select(F.col("unit").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    apart = edges.join(nearest, ["a", "b"], "left_anti").join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
+    labels = stored(components(labels, stored(confirmed(stored(apart), texts, shingle, percent))))
+    left = stored(centre.where("unit <> centre").join(labels, "unit").select("key", "unit", "label"))
+    links = stored(searched(left, labels, sizes, texts, shingle, percent))
+    labels = stored(components(labels, links))
 
     named = unit.select("digest", "unit", "id").join(labels, "unit")
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -271,6 +326,7 @@ def drop_near_copies(
     The row with the smallest id stays, of repeated rows the first by locator;
     rows without words all stay.
     """
+    docs = scanned(docs)
     rows = stored(near_duplicates(docs, id_col, text_col, shingle, percent))
     wordless = F.col("n_shingles") == 0
     # a component without any id is not told apart from others: its rows all stay

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adperf.llm.common import FILE, ROW, WordIds, binary_values, located, slices, stored
+from adperf.llm.common import FILE, ROW, WordIds, binary_values, located, scanned, slices, stored
 from adperf.llm.neardup import mix
 
 WINDOW = 35
@@ -386,7 +386,7 @@ def remove_repeats(
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = "kept_sha256" if digest else "kept_text"
-    rows = located(docs).select(
+    rows = located(scanned(docs)).select(
         F.xxhash64(FILE).alias("file"), F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
     )
 
@@ -398,21 +398,22 @@ def remove_repeats(
     joined = rows.join(found, ["file", "row"], "left").select("id", "text", "spans")
 
     def settle(batches):
-        """Texts whose spans are all settled are done; the others keep their text."""
+        """Texts whose spans are all settled are done; those with windows to compare or to show keep their text."""
         for b in slices(batches, "text"):
             n, removed, kept, left = [], [], [], []
             bounds, at, size, status = _lists(b.column("spans"), "at", "n", "status")
-            open_before = np.concatenate([[0], np.cumsum(status != REPEATED)])
-            waits = (open_before[bounds[1:]] > open_before[bounds[:-1]]).tolist()
-            for i, (text, wait) in enumerate(zip(binary_values(b.column("text")), waits, strict=True)):
+            waits, shows = (
+                (np.diff(np.concatenate([[0], np.cumsum(some)])[bounds]) > 0).tolist() for some in (status == COMPARE, status != REPEATED)
+            )
+            for i, (text, wait, show) in enumerate(zip(binary_values(b.column("text")), waits, shows, strict=True)):
                 words = text.split()
                 mine = slice(bounds[i], bounds[i + 1])
                 cut, rest = (0, b"") if wait else _cover(words, at[mine], size[mine], window)
                 n.append(len(words))
                 removed.append(cut)
                 kept.append(None if wait else out(rest))
-                left.append(text if wait else None)
-            spans_left = pa.compute.if_else(pa.array(waits, pa.bool_()), b.column("spans"), pa.scalar(None, b.schema.field("spans").type))
+                left.append(text if show else None)
+            spans_left = pa.compute.if_else(pa.array(shows, pa.bool_()), b.column("spans"), pa.scalar(None, b.schema.field("spans").type))
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(left, pa.binary()), spans_left],
                 names=["id", "n_words", "n_removed", last, "text", "spans"],
@@ -421,7 +422,7 @@ def remove_repeats(
     kinds = f"id long, n_words long, n_removed long, {last} string, text binary, spans array<struct<at:int,n:int,status:int>>"
     first = stored(joined.mapInArrow(settle, kinds))
     waiting = located(first.where("text is not null"))
-    waiting = waiting.select(F.xxhash64(FILE).alias("file"), F.col(ROW).alias("row"), "id", "text", "spans")
+    waiting = waiting.select(F.xxhash64(FILE).alias("file"), F.col(ROW).alias("row"), "id", "text", "spans", last)
     windows = _exchange(waiting.select("file", "row", "text", "spans"), _window_entries(window), window_entries, window_results, buckets)
     windows = windows.groupBy("file", "row").agg(F.collect_list("at").alias("windows"))
 
@@ -442,5 +443,5 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", last])
 
     schema = f"id long, n_words long, n_removed long, {last} string"
-    rest = waiting.join(windows, ["file", "row"], "left").select("id", "text", "spans", "windows").mapInArrow(finish, schema)
-    return first.where("text is null").select("id", "n_words", "n_removed", last).unionByName(rest)
+    rest = waiting.where(F.col(last).isNull()).join(windows, ["file", "row"], "left").select("id", "text", "spans", "windows").mapInArrow(finish, schema)
+    return first.where(F.col(last).isNotNull()).select("id", "n_words", "n_removed", last).unionByName(rest)

@@ -16,8 +16,10 @@ to their final name, so a task that runs twice leaves one whole file.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ MAGIC = b"TOKZSTD1"
 NULL_ID = -(1 << 63)
 LEVEL = 3
 #: Words remembered by a task.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 def _filesystem(path: str):
@@ -42,41 +44,60 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
 
 
+class _Words(dict):
+    """word -> its number, given on first sight; ``new`` has the words not encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class Tokenizer:
     """Ids of whole texts from the tokenizers library, word by word.
 
     The model lower-cases, drops white space and never joins across it, so the
     ids of a text are those of its words one after the other.  A word is encoded
-    by the library on first sight; a bounded number is remembered.  With a
-    tokenizer that keeps white space, ``by_word=False`` encodes whole texts.
+    by the library on first sight; a bounded number is remembered.  ASCII words
+    that differ in case only are encoded once.  With a tokenizer that keeps white
+    space or case, ``by_word=False`` encodes whole texts.
     """
 
     def __init__(self, path: str, by_word: bool = True):
+        # one thread: the cores belong to Spark's tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
         self.library, self.by_word = Library.from_file(path), by_word
-        self.number: dict[bytes, int] = {}
+        self.number = _Words()
         self.ids: list[bytes] = []
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        got = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
+    def _encoded(self, texts: list[bytes]) -> Iterator[bytes]:
+        for lo in range(0, len(texts), 2000):
+            part = [t.decode("utf-8", "replace") for t in texts[lo : lo + 2000]]
+            for x in self.library.encode_batch_fast(part, add_special_tokens=False):
+                yield np.array(x.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         last = np.array([end], "<u4").tobytes()
         if not self.by_word:
-            return [np.frombuffer(x + last, "<u4") for x in self._encoded([t.decode("utf-8", "replace") for t in texts])]
+            return [np.frombuffer(x + last, "<u4") for x in self._encoded(texts)]
         if len(self.ids) > REMEMBERED:
             self.number.clear()
             self.ids.clear()
-        number = self.number
-        words = [t.split() for t in texts]  # bytes.split() cuts at ASCII white space only
-        new = list({w for x in words for w in x} - number.keys())
-        for w in new:
-            number[w] = len(number)
-        self.ids += self._encoded([w.decode("utf-8", "replace") for w in new])
-        ids = self.ids
-        return [np.frombuffer(b"".join([ids[number[w]] for w in x] + [last]), "<u4") for x in words]
+        number = self.number.__getitem__
+        words = [list(map(number, t.split())) for t in texts]  # bytes.split() cuts at ASCII white space only
+        plain = [w.lower() if w.isascii() and b"<|" not in w else w for w in self.number.new]
+        kinds = list(dict.fromkeys(plain))
+        known = dict(zip(kinds, self._encoded(kinds), strict=True))
+        self.ids += [known[w] for w in plain]
+        self.number.new.clear()
+        ids = self.ids.__getitem__
+        return [np.frombuffer(b"".join([*map(ids, x), last]), "<u4") for x in words]
 
 
 class Writer:
@@ -163,7 +184,7 @@ def write_tokens(
 
     def run(batches):
         tokenizer, writer, number = None, None, 0
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             if writer is None:
                 number = b.column("file")[0].as_py()
                 path = f"{folder.rstrip('/')}/tokens-{number:06d}.tokz"

@@ -17,9 +17,13 @@ to their final name, so a task that runs twice leaves one whole file.
 from __future__ import annotations
 
 import os
+import sys
+import types
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ MAGIC = b"TOKZSTD1"
 NULL_ID = -(1 << 63)
 LEVEL = 3
 #: Words remembered by a task.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def _filesystem(path: str):
@@ -56,15 +60,31 @@ class _Words(dict):
         self.new.append(word)
         return at
 
+    def forget(self, kept: int) -> None:
+        """Forget all but the first ``kept`` words."""
+        for word in list(self)[kept:]:
+            del self[word]
+
+
+def _tokenizer(path: str, by_word: bool) -> Tokenizer:
+    """The tokenizer of this Python worker, kept between the tasks that it runs."""
+    store = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    key = (path, by_word)
+    if store.get("key") != key:
+        store.update(key=key, tokenizer=Tokenizer(path, by_word))
+    return store["tokenizer"]
+
 
 class Tokenizer:
     """Ids of whole texts from the tokenizers library, word by word.
 
     The model lower-cases, drops white space and never joins across it, so the
     ids of a text are those of its words one after the other.  A word is encoded
-    by the library on first sight; a bounded number is remembered.  ASCII words
-    that differ in case only are encoded once.  With a tokenizer that keeps white
-    space or case, ``by_word=False`` encodes whole texts.
+    by the library on first sight; the first REMEMBERED words stay, later ones are
+    forgotten together when they are as many again.  ASCII words that differ in
+    case only are encoded once, and points or commas after letters apart from them,
+    as the model splits them there.  With a tokenizer that keeps white space or
+    case or splits otherwise, ``by_word=False`` encodes whole texts.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -76,6 +96,17 @@ class Tokenizer:
         self.number = _Words()
         self.ids: list[bytes] = []
 
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
+        """The parts of a word whose ids, one after the other, are the word's."""
+        stem = word.rstrip(b".,")
+        ascii_ = stem.isascii()
+        # letters as the model sees them: some become a letter and a mark, which a point would join
+        if stem.isalpha() if ascii_ else unicodedata.normalize("NFC", stem.decode("utf-8", "replace")).lower().isalpha():
+            stem = stem.lower() if ascii_ else stem
+            return (stem, word[len(stem) :]) if len(stem) < len(word) else (stem,)
+        return (word,)
+
     def _encoded(self, texts: list[bytes]) -> Iterator[bytes]:
         for lo in range(0, len(texts), 2000):
             part = [t.decode("utf-8", "replace") for t in texts[lo : lo + 2000]]
@@ -86,15 +117,15 @@ class Tokenizer:
         last = np.array([end], "<u4").tobytes()
         if not self.by_word:
             return [np.frombuffer(x + last, "<u4") for x in self._encoded(texts)]
-        if len(self.ids) > REMEMBERED:
-            self.number.clear()
-            self.ids.clear()
+        if len(self.ids) > 2 * REMEMBERED:
+            self.number.forget(REMEMBERED)
+            del self.ids[REMEMBERED:]
         number = self.number.__getitem__
         words = [list(map(number, t.split())) for t in texts]  # bytes.split() cuts at ASCII white space only
-        plain = [w.lower() if w.isascii() and b"<|" not in w else w for w in self.number.new]
-        kinds = list(dict.fromkeys(plain))
+        parts = [self._parts(w) for w in self.number.new]
+        kinds = list(dict.fromkeys(chain.from_iterable(parts)))
         known = dict(zip(kinds, self._encoded(kinds), strict=True))
-        self.ids += [known[w] for w in plain]
+        self.ids += [b"".join([known[x] for x in p]) for p in parts]
         self.number.new.clear()
         ids = self.ids.__getitem__
         return [np.frombuffer(b"".join([*map(ids, x), last]), "<u4") for x in words]
@@ -188,7 +219,7 @@ def write_tokens(
             if writer is None:
                 number = b.column("file")[0].as_py()
                 path = f"{folder.rstrip('/')}/tokens-{number:06d}.tokz"
-                tokenizer, writer = Tokenizer(tokenizer_path, by_word), Writer(path, width)
+                tokenizer, writer = _tokenizer(tokenizer_path, by_word), Writer(path, width)
             for doc_id, ids in zip(b.column("id").to_pylist(), tokenizer.encode(binary_values(b.column("text")), end_id), strict=True):
                 writer.add(doc_id, ids)
         if writer is not None:

@@ -38,7 +38,7 @@ def _number(v: int | float) -> str:
     mantissa, e, power = text.partition("e")
     if not e:
         return text
-    if -7 <= int(power) < 0:  # written out down to 1e-6
+    if -7 < int(power) < 0:  # written out down to 1e-6
         text = f"{v:.{len(mantissa.replace('.', '').lstrip('-')) - 1 - int(power)}f}"
         return text
     return f"{mantissa}e{'+' if int(power) > 0 else '-'}{abs(int(power))}"

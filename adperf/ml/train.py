@@ -86,8 +86,7 @@ def build_pipeline_stages(numeric: list[str], categorical: list[str], estimator)
         ohe_cols.append(f"_ohe_{c}")
     if categorical:
         stages.append(
-            OneHotEncoder(inputCols=[f"_idx_{c}" for c in categorical], outputCols=ohe_cols, dropLast=True,
-                          handleInvalid="keep")
+            OneHotEncoder(inputCols=[f"_idx_{c}" for c in categorical], outputCols=ohe_cols, dropLast=True)
         )
     stages.append(VectorAssembler(inputCols=["_num_scaled"] + ohe_cols, outputCol="features"))
     stages.append(estimator)
@@ -156,7 +155,7 @@ def draw_params(name: str, est, n_iter: int, n_train: int, space: Space, seed: i
 def estimators(task: str, label: str = "target") -> dict:
     if task == "classification":
         return {
-            "Logistic Regression": LogisticRegression(labelCol=label, maxIter=200, standardization=False),
+            "Logistic Regression": LogisticRegression(labelCol=label, maxIter=2000, standardization=False),
             "Random Forest": RandomForestClassifier(labelCol=label, seed=42),
             "Gradient Boosting": GBTClassifier(labelCol=label, seed=42),
         }
@@ -285,8 +284,9 @@ def feature_importance(model: PipelineModel, spark) -> DataFrame:
         vals = np.abs(est.coefficients.toArray())
     else:
         vals = np.zeros(len(names))
-    n = min(len(names), len(vals))
-    return spark.createDataFrame([(names[i], float(vals[i])) for i in range(n)], "feature string, importance double")
+    if len(names) != len(vals):
+        raise ValueError(f"{len(names)} feature names for {len(vals)} values")
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, vals)], "feature string, importance double")
 
 
 def _vector_names(model: PipelineModel) -> list[str]:
@@ -298,7 +298,7 @@ def _vector_names(model: PipelineModel) -> list[str]:
         if st.__class__.__name__ == "StringIndexerModel":
             col = st.getInputCol()
             labels = list(st.labels)
-            # dropLast=True + handleInvalid="keep": k slots for the k seen levels.
+            # The indexer adds a slot for unseen levels, which dropLast removes: k slots for k levels.
             names.extend(f"{col}={lv}" for lv in labels)
     return names
 

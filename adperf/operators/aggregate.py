@@ -185,22 +185,13 @@ def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson matrix, lower triangle with diagonal, long form
     ``(col_a, col_b, corr)``; absent columns skipped; NULL for a constant column.
 
-    Two passes of plain sums (cheap, code-generated, exactly mergeable):
-    column means as one broadcast row, then the centred cross products
-    ``sum((a - mean_a) * (b - mean_b))`` for every pair — numerically as
-    stable as the one-pass co-moment aggregates, and ``try_divide`` turns a
-    zero variance into NULL instead of an ANSI divide-by-zero.
+    Each pair uses the rows where both columns are present.  One pass of mergeable
+    co-moments, so the rows meet as one partial row per task.
     """
     cols = [c for c in (cols or CORRELATION_COLUMNS) if c in df.columns]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[: i + 1]]
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    means = x.agg(*[F.avg(c).alias(f"m_{c}") for c in cols])
-    centred = x.crossJoin(F.broadcast(means)).select(*[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in cols])
-    sq = {c: f"s_{c}" for c in cols}
-    row = centred.agg(
-        *[F.sum(F.col(c) * F.col(c)).alias(sq[c]) for c in cols],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
-    )
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    row = x.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(
         F.explode(
             F.array(
@@ -208,7 +199,7 @@ def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                     F.struct(
                         F.lit(a).alias("col_a"),
                         F.lit(b).alias("col_b"),
-                        npround(F.try_divide(F.col(f"p{i}"), F.sqrt(F.col(sq[a]) * F.col(sq[b]))), 6).alias("corr"),
+                        npround(F.col(f"p{i}"), 6).alias("corr"),
                     )
                     for i, (a, b) in enumerate(pairs)
                 ]

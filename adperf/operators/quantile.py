@@ -135,8 +135,11 @@ def exact_quantiles_multi(
     value = F.when(F.col("k_lo") == F.col("k_hi"), F.col("v_lo")).otherwise(
         (F.col("k_hi") - F.col("pos")) * F.col("v_lo") + (F.col("pos") - F.col("k_lo")) * F.col("v_hi")
     )
-    return brackets.select("col", "p").join(picked, ["col", "p"], "left").select(
-        "col", "p", value.cast("double").alias("value")
+    # A rank outside its bracket must never pass as an empty column.
+    missed = (F.col("n") > 0) & (F.col("v_lo").isNull() | F.col("v_hi").isNull())
+    found = F.when(missed, F.raise_error(F.lit("a quantile's rank lies outside its bracket"))).otherwise(value)
+    return brackets.select("col", "p", "n").join(picked, ["col", "p"], "left").select(
+        "col", "p", found.cast("double").alias("value")
     )
 
 

@@ -11,7 +11,7 @@ from adperf.schema import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, REQUIRED_COLUMNS
 
 def _reader_error(path: str, err: AnalysisException) -> Exception:
     if "PATH_NOT_FOUND" in str(err) or "Path does not exist" in str(err):
-        return FileNotFoundError(f"Data file not found: {path}")
+        return FileNotFoundError(f"nothing to read at {path}")
     return err
 
 
@@ -19,7 +19,7 @@ def validate_columns(df: DataFrame) -> DataFrame:
     """Every required column must be present; extra columns are allowed."""
     missing = sorted(set(REQUIRED_COLUMNS) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table lacks the columns {missing}")
     return df
 
 

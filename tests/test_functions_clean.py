@@ -108,7 +108,7 @@ def test_missing_column_and_path(spark, tmpdir_path):
     path = f"{tmpdir_path}/bad.csv"
     with open(path, "w") as fh:
         fh.write("date,campaign\n2025-07-01,A\n")
-    with pytest.raises(ValueError, match="Missing required columns"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         files.load_csv(spark, path)
     with pytest.raises(FileNotFoundError):
         files.load_csv(spark, f"{tmpdir_path}/nope.csv")

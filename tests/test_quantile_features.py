@@ -49,7 +49,7 @@ def test_time_features_sunday(spark):
 
 def test_unknown_target_raises(spark):
     df = spark.createDataFrame([(1.0,)], "roi double")
-    with pytest.raises(ValueError, match="Unknown target_type"):
+    with pytest.raises(ValueError, match="no such target"):
         FE.add_target(df, "nope")
 
 

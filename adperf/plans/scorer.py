@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from adperf.operators.features import hash_split, row_key
 
 # The deterministic classifiers / regressors and their
-# "training seconds" (label, score, prediction per FIXTURES F3).
+# "training seconds" (label, score, prediction per FIXTURES F3), as SQL, so
+# that importing this module needs no session.
 CLASSIFIERS = [
-    ("m1", F.col("ctr"), F.col("ctr") > 0.03, 1.0),
-    ("m2", -F.col("cpc"), F.col("cpc") < 0.5, 2.0),
-    ("m3", F.col("conversion_rate"), F.col("conversion_rate") > 0.02, 3.0),
+    ("m1", "ctr", "ctr > 0.03D", 1.0),
+    ("m2", "-cpc", "cpc < 0.5D", 2.0),
+    ("m3", "conversion_rate", "conversion_rate > 0.02D", 3.0),
 ]
 REGRESSORS = [
-    ("r1", F.col("spend") * 1.2, 1.0),
-    ("r2", F.col("conversions") * 30.0, 2.0),
-    ("r3", F.lit(25.0), 3.0),
+    ("r1", "spend * 1.2D", 1.0),
+    ("r2", "conversions * 30.0D", 2.0),
+    ("r3", "25.0D", 3.0),
 ]
 # Linear attribution weights.
 LINEAR_WEIGHTS = {"ctr": 2.0, "cpc": -0.5, "conversion_rate": 1.0, "bounce_rate": -0.25, "spend": 0.01}
@@ -47,7 +48,7 @@ def scored_classification(kpi: DataFrame) -> DataFrame:
     t = test_rows(kpi)
     models = F.array(
         *[
-            F.struct(F.lit(m).alias("model"), pred.cast("int").alias("prediction"), score.cast("double").alias("score"))
+            F.struct(F.lit(m).alias("model"), F.expr(pred).cast("int").alias("prediction"), F.expr(score).cast("double").alias("score"))
             for m, score, pred, _ in CLASSIFIERS
         ]
     )
@@ -60,7 +61,7 @@ def scored_regression(kpi: DataFrame) -> DataFrame:
     """``(row_id, model, label DOUBLE, prediction DOUBLE)`` on test rows."""
     t = test_rows(kpi)
     models = F.array(
-        *[F.struct(F.lit(m).alias("model"), pred.cast("double").alias("prediction")) for m, pred, _ in REGRESSORS]
+        *[F.struct(F.lit(m).alias("model"), F.expr(pred).cast("double").alias("prediction")) for m, pred, _ in REGRESSORS]
     )
     return t.select("row_id", F.col("revenue").cast("double").alias("label"), F.explode(models).alias("m")).select(
         "row_id", "m.model", "label", "m.prediction"
@@ -78,7 +79,7 @@ def fold_scores(kpi: DataFrame) -> DataFrame:
     tr = train_rows(kpi)
     fold = (F.instr(F.lit("0123456789abcdef"), F.substring("row_id", 9, 1)) % N_FOLDS).cast("int")
     models = F.array(
-        *[F.struct(F.lit(m).alias("model"), pred.cast("int").alias("prediction")) for m, _, pred, _ in CLASSIFIERS]
+        *[F.struct(F.lit(m).alias("model"), F.expr(pred).cast("int").alias("prediction")) for m, _, pred, _ in CLASSIFIERS]
     )
     s = tr.select(fold.alias("fold"), (F.col("roi") > 0).cast("int").alias("label"), F.explode(models).alias("m"))
     return s.groupBy(F.col("m.model").alias("model"), "fold").agg(

@@ -22,6 +22,8 @@ from adperf.operators import evaluate as E
 from adperf.operators import profile as P
 from adperf.plans import scorer as S
 from adperf.plans.frames import clean_stages, kpi_frame, raw_frame
+from adperf.sources.files import append_rows, sample_exact
+from adperf.sources.fixture import ad_facts_base
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -157,7 +159,18 @@ def _shapley(spark: SparkSession, sf: str) -> DataFrame:
     return sampled_shapley(lr.model, lr.test_rows, lr.train_rows, feats, task="classification", n_samples=4)
 
 
+def _append_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """The base rows and a second copy of those with clicks % 100 = 0."""
+    base = ad_facts_base(spark, sf)
+    return append_rows(base, base.where(F.col("clicks") % 100 == 0))
+
+
+SAMPLE_ROWS = 1000
+
 REGISTRY: dict[str, Query] = {
+    # sources
+    "append_duplicates": _append_duplicates,
+    "sample_exact": lambda s, sf: sample_exact(raw_frame(s, sf), SAMPLE_ROWS),
     # cleaning
     "clean_dedup": lambda s, sf: C.dedupe(raw_frame(s, sf)),
     "clean_standardize": lambda s, sf: C.standardized(raw_frame(s, sf)),

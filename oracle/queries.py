@@ -11,6 +11,15 @@ def q(name: str, tail: str, *ctes: str) -> None:
     Q[name] = (with_base(*ctes) if ctes else BASE) + "\n" + tail
 
 
+# ----------------------------------------------------------------- sources
+q("append_duplicates", "SELECT * FROM ad_facts_raw")
+_sample_key = ("md5(concat_ws('|', CAST(CAST(date AS DATE) AS VARCHAR), campaign, channel, device, "
+               "CAST(CAST(clicks AS BIGINT) AS VARCHAR)))")
+q("sample_exact", f"SELECT * FROM ad_facts_raw ORDER BY {_sample_key}, "
+  + ", ".join(f"{c} NULLS FIRST" for c in (
+      "date", "campaign", "channel", "device", "impressions", "clicks", "spend", "conversions", "revenue", "bounce_rate",
+      "avg_session_duration")) + " LIMIT 1000")
+
 # ---------------------------------------------------------------- cleaning
 q("clean_dedup", "SELECT * FROM dedup")
 q("clean_standardize", "SELECT * FROM std")

@@ -9,7 +9,7 @@ cross-joined — never a global window over the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adperf.functions import npround, safe_ratio
@@ -191,7 +191,12 @@ def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = [c for c in (cols or CORRELATION_COLUMNS) if c in df.columns]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[: i + 1]]
     x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    row = x.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+
+    def pair(a: str, b: str) -> Column:
+        spread = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b)))
+        return F.try_divide(F.covar_pop(a, b), spread)  # NULL for a constant column
+
+    row = x.agg(*[pair(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(
         F.explode(
             F.array(

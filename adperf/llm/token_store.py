@@ -17,6 +17,7 @@ to their final name, so a task that runs twice leaves one whole file.
 from __future__ import annotations
 
 import os
+import string
 import sys
 import types
 import unicodedata
@@ -39,6 +40,12 @@ NULL_ID = -(1 << 63)
 LEVEL = 3
 #: Words remembered by a task.
 REMEMBERED = 300_000
+#: Words given to the library as one text.
+JOINED = 500
+#: Mark of a vocabulary entry that ends a word (fixed value of the format).
+WORD_END = "</w>"
+#: ASCII characters that are neither white space, controls, letters nor digits.
+MARKS = string.punctuation.encode()
 
 
 def _filesystem(path: str):
@@ -82,8 +89,11 @@ class Tokenizer:
     ids of a text are those of its words one after the other.  A word is encoded
     by the library on first sight; the first REMEMBERED words stay, later ones are
     forgotten together when they are as many again.  ASCII words that differ in
-    case only are encoded once, and points or commas after letters apart from them,
-    as the model splits them there.  With a tokenizer that keeps white space or
+    case only are encoded once, and ASCII marks after letters apart from them,
+    as the model splits them there.  Runs of letters or of marks are handed to the
+    library many at a time, with a space between: each has one entry that ends a
+    word, its last, at least, so as many ends as words prove where each begins;
+    else they are encoded one by one.  With a tokenizer that keeps white space or
     case or splits otherwise, ``by_word=False`` encodes whole texts.
     """
 
@@ -93,19 +103,22 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library, self.by_word = Library.from_file(path), by_word
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[at for entry, at in vocabulary.items() if entry.endswith(WORD_END)]] = True
         self.number = _Words()
         self.ids: list[bytes] = []
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:
-        """The parts of a word whose ids, one after the other, are the word's."""
-        stem = word.rstrip(b".,")
-        ascii_ = stem.isascii()
-        # letters as the model sees them: some become a letter and a mark, which a point would join
-        if stem.isalpha() if ascii_ else unicodedata.normalize("NFC", stem.decode("utf-8", "replace")).lower().isalpha():
-            stem = stem.lower() if ascii_ else stem
-            return (stem, word[len(stem) :]) if len(stem) < len(word) else (stem,)
-        return (word,)
+        """Letters and the ASCII marks after them; empty for a word of another form."""
+        stem = word.rstrip(MARKS)
+        if stem.isalpha():  # of bytes: ASCII letters only
+            stem = stem.lower()
+        # letters as the model sees them: some become a letter and a mark, which marks after it would join
+        elif stem.isascii() or not unicodedata.normalize("NFC", stem.decode("utf-8", "replace")).lower().isalpha():
+            return ()
+        return (stem, word[len(stem) :]) if len(stem) < len(word) else (stem,)
 
     def _encoded(self, texts: list[bytes]) -> Iterator[bytes]:
         for lo in range(0, len(texts), 2000):
@@ -113,6 +126,20 @@ class Tokenizer:
             for x in self.library.encode_batch_fast(part, add_special_tokens=False):
                 yield np.array(x.ids, "<u4").tobytes()
 
+    def _encoded_joined(self, words: list[bytes]) -> Iterator[bytes]:
+        parts = [words[lo : lo + JOINED] for lo in range(0, len(words), JOINED)]
+        texts = [b" ".join(part).decode("utf-8") for part in parts]
+        for part, x in zip(parts, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != len(part) or ends[-1] != ids.nbytes:
+                yield from self._encoded(part)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for stop in ends.tolist():
+                yield raw[begin:stop]
+                begin = stop
+
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         last = np.array([end], "<u4").tobytes()
         if not self.by_word:
@@ -124,8 +151,10 @@ class Tokenizer:
         words = [list(map(number, t.split())) for t in texts]  # bytes.split() cuts at ASCII white space only
         parts = [self._parts(w) for w in self.number.new]
         kinds = list(dict.fromkeys(chain.from_iterable(parts)))
-        known = dict(zip(kinds, self._encoded(kinds), strict=True))
-        self.ids += [b"".join([known[x] for x in p]) for p in parts]
+        known = dict(zip(kinds, self._encoded_joined(kinds), strict=True))
+        others = [w for w, p in zip(self.number.new, parts, strict=True) if not p]
+        known.update(zip(others, self._encoded(others), strict=True))
+        self.ids += [b"".join([known[x] for x in p]) if p else known[w] for w, p in zip(self.number.new, parts, strict=True)]
         self.number.new.clear()
         ids = self.ids.__getitem__
         return [np.frombuffer(b"".join([*map(ids, x), last]), "<u4") for x in words]

@@ -23,17 +23,19 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adperf.operators.features import Prepared
 from adperf.session import materialize
 
 INFREQUENT = "__infrequent__"
+#: Folder of the rare-level table inside a saved model.
+LEVELS = "rare_levels"
 
 
 # ------------------------------------------------------------ preprocessing
@@ -175,6 +177,23 @@ def add_class_weights(df: DataFrame, label: str = "target") -> DataFrame:
     return df.join(F.broadcast(w), label, "left").withColumn("_w_none", F.lit(1.0))
 
 
+def stratified_folds(df: DataFrame, folds: int, label: str = "target") -> DataFrame:
+    """``_fold`` in 0..folds-1, of which every class has equally many rows (+-1).
+
+    A row's place in its class by row_id, modulo ``folds``.  The place is the rows of
+    lower row_id prefixes (from a table of classes x 65,536 counts, joined by
+    measured size) plus the rank within the prefix, so no task ranks a whole class.
+    """
+    keys = [label, "_prefix"]
+    df = df.withColumn("_prefix", F.substring("row_id", 1, 4))
+    w = Window.partitionBy(label).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_lower"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("row_id"))
+    placed = df.withColumn("_rank", rank).join(counts, keys)
+    return placed.withColumn("_fold", F.pmod(F.col("_lower") + F.col("_rank"), F.lit(folds)).cast("int")).drop("_prefix", "_rank", "_lower")
+
+
 # ------------------------------------------------------------------ training
 @dataclass
 class Trained:
@@ -188,6 +207,8 @@ class Trained:
     test_rows: DataFrame | None = None  # test rows after the rare-level mapping
     train_rows: DataFrame | None = None
     candidate_metrics: list[float] = field(default_factory=list)
+    levels: DataFrame | None = None     # rare-level table of the training rows
+    categorical: list[str] = field(default_factory=list)
 
 
 def train_all_models(
@@ -218,6 +239,8 @@ def train_all_models(
         evaluator = MulticlassClassificationEvaluator(labelCol="target", metricName="f1")
     else:
         evaluator = RegressionEvaluator(labelCol="target", metricName="r2")
+    if task == "classification":
+        train = stratified_folds(train, cv_folds)
     train, test = materialize(train), materialize(test)
     n_train = train.count()
     results: dict[str, Trained] = {}
@@ -228,7 +251,7 @@ def train_all_models(
         pipe = Pipeline(stages=build_pipeline_stages(prepared.numeric, cats, est))
         cv = CrossValidator(
             estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator,
-            numFolds=cv_folds, parallelism=parallelism, seed=seed,
+            numFolds=cv_folds, parallelism=parallelism, seed=seed, foldCol="_fold" if task == "classification" else "",
         )
         t0 = time.time()
         cvm = cv.fit(train)
@@ -250,6 +273,8 @@ def train_all_models(
             test_rows=test,
             train_rows=train,
             candidate_metrics=[float(m) for m in cvm.avgMetrics],
+            levels=table,
+            categorical=cats,
         )
     return results
 
@@ -304,10 +329,32 @@ def _vector_names(model: PipelineModel) -> list[str]:
 
 
 # ------------------------------------------------------------------ persist
-def save_model(model: PipelineModel, path: str) -> None:
-    """Spark ML persistence of the best fitted pipeline."""
+def save_model(model: PipelineModel, path: str, levels: DataFrame | None = None, categorical: list[str] | None = None) -> None:
+    """Spark ML persistence of the best fitted pipeline, with the rare-level
+    table beside it, so that ``load_scorer`` can score rows as they come."""
     model.write().overwrite().save(path)
+    if levels is not None:
+        levels.filter(F.col("feature").isin(list(categorical or []))).write.mode("overwrite").parquet(f"{path}/{LEVELS}")
 
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+@dataclass
+class Scorer:
+    """A fitted pipeline with the level mapping that its categoricals need first."""
+
+    model: PipelineModel
+    levels: DataFrame
+    categorical: list[str]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Predictions for unmapped rows; rare and unseen levels are mapped as in training."""
+        return self.model.transform(apply_rare_levels(df, self.levels, self.categorical))
+
+
+def load_scorer(spark: SparkSession, path: str) -> Scorer:
+    model = load_model(path)
+    categorical = [st.getInputCol() for st in model.stages if isinstance(st, StringIndexerModel)]
+    return Scorer(model, spark.read.parquet(f"{path}/{LEVELS}"), categorical)

@@ -8,10 +8,11 @@ aggregation); the per-class / per-model tables that follow are tiny.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adperf.functions import npround
+from adperf.operators.quantile import running_before
 
 
 def _counts(scored: DataFrame) -> DataFrame:
@@ -54,31 +55,20 @@ def classification_metrics(scored: DataFrame) -> DataFrame:
     return m.select("model", *[npround(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1_score")])
 
 
-def roc_auc_raw(scored: DataFrame, buckets: int = 4096) -> DataFrame:
+def roc_auc_raw(scored: DataFrame) -> DataFrame:
     """E5: ROC-AUC of ``score`` for label 1, average ranks on ties (the
     Mann-Whitney form); NULL when only one class is present.
 
     Rows are first reduced to distinct (model, score) with positive and
-    negative counts.  Scores are cut into ``buckets`` equal-width buckets per
-    model: negatives in lower buckets come from a running sum over the small
-    (model, bucket) table, negatives lower in the same bucket from a window
-    over that bucket's distinct scores only.
+    negative counts; ``running_before`` counts the negatives below each score
+    in pieces of about equal size, whatever the scores' distribution.
     """
     d = scored.groupBy("model", "score").agg(
         F.sum((F.col("label") == 1).cast("long")).alias("pos"),
         F.sum((F.col("label") != 1).cast("long")).alias("neg"),
     )
-    rng = d.groupBy("model").agg(F.min("score").alias("mn"), F.max("score").alias("mx"))
-    width = (F.col("mx") - F.col("mn")) / buckets
-    b = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("mn")) / width), F.lit(buckets - 1))).otherwise(0)
-    d = d.join(F.broadcast(rng), "model").withColumn("b", b.cast("int"))
-    bs = d.groupBy("model", "b").agg(F.sum("neg").alias("bneg"))
-    wb = Window.partitionBy("model").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    bs = bs.withColumn("neg_lower_buckets", F.coalesce(F.sum("bneg").over(wb), F.lit(0)))
-    wi = Window.partitionBy("model", "b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("neg_lower_in_bucket", F.coalesce(F.sum("neg").over(wi), F.lit(0)))
-    d = d.join(bs.select("model", "b", "neg_lower_buckets"), ["model", "b"])
-    contrib = F.col("pos") * (F.col("neg_lower_buckets") + F.col("neg_lower_in_bucket") + 0.5 * F.col("neg"))
+    d = running_before(d, ["model"], "score", {"lower": "neg"})
+    contrib = F.col("pos") * (F.col("lower") + 0.5 * F.col("neg"))
     return d.groupBy("model").agg(
         F.try_divide(F.sum(contrib), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc")
     )

@@ -5,14 +5,13 @@ per group and merge all of them in a single final task, so a global median
 over a large table materialises every distinct value in one place.  Here:
 
 * **quantile** — pass 1 builds a bounded-size ``percentile_approx`` sketch
-  and the row count per column; it brackets the target rank with
-  ``[q(p - m), q(p + m)]``.  Pass 2 counts the rows below the bracket exactly
-  and groups the rows inside it by value (a small fraction, about
-  ``12 / accuracy`` of the rows).  A window over the bracketed values then
-  finds the exact rank(s) and interpolates linearly (pandas / Spark
-  ``percentile`` semantics).  When a column has too few rows for the
-  sketch's rank guarantee to leave slack, the bracket is dropped and all its
-  values are candidates — still exact, and cheap because the column is small.
+  and the row count per column.  The target rank is bracketed by the sketch's
+  values at ``p - m`` and ``p + m``, where ``m`` is the smallest step of a fixed
+  ladder that leaves ``SLACK`` ranks on either side of the sketch's own error.
+  Pass 2 counts the rows below each bracket, pass 3 groups the rows inside it
+  by value (about ``12 / accuracy`` of a large column).  ``running_before`` ranks
+  the bracketed values and the exact rank(s) are interpolated linearly (pandas /
+  Spark ``percentile`` semantics).  The same steps run at every size.
 * **mode** — ``groupBy(column, value).count()`` with map-side partial
   aggregation (hot values collapse before the shuffle), then a ``min_by`` per
   column over ``(-count, value)``: the most frequent value, smallest on ties.
@@ -23,9 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Sketch accuracy: candidates are about 12 * n / accuracy values; raise it with
-# the row count to keep the per-column candidate window small.
+# Sketch accuracy: its rank error is at most rows / accuracy.
 DEFAULT_ACCURACY = 50_000
+# Ranks left between a target rank and its bracket's ends, beyond the sketch's error.
+SLACK = 4
+# Pieces in which the values of one key are ranked (a power of two).
+PIECES = 512
 
 
 def _long_values(df: DataFrame, cols: list[str], dtype: str) -> DataFrame:
@@ -44,103 +46,106 @@ def exact_quantiles(
     return exact_quantiles_multi(df, cols, [p], accuracy).select("col", "value")
 
 
+def running_before(d: DataFrame, keys: list[str], value: str, sums: dict[str, str], pieces: int = PIECES) -> DataFrame:
+    """Adds, for each ``name: column`` of ``sums``, the sum of ``column`` over the
+    rows of the same ``keys`` with a smaller ``value`` (0 for the smallest).
+
+    ``d`` has one row per (keys, value).  Values are cut into ``pieces`` of about
+    equal row counts by a sketch, whatever their distribution, so no task ranks
+    more than a ``1 / pieces`` share (and the sketch's error) of a key's rows.  The tables of cuts and of
+    piece totals have one row per key and per (key, piece); the keys are columns,
+    probabilities or models, so both are small and broadcast.
+    """
+    cuts = d.groupBy(*keys).agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_cuts"))
+    # Number of cuts below the value, by bisection.
+    steps = [pieces >> k for k in range(1, pieces.bit_length())]
+    at = F.aggregate(
+        F.array(*[F.lit(x) for x in steps]), F.lit(0),
+        lambda pos, step: F.when(F.get("_cuts", pos + step - 1) < F.col(value), pos + step).otherwise(pos),
+    )
+    d = d.join(F.broadcast(cuts), keys).withColumn("_piece", at).drop("_cuts")
+    totals = d.groupBy(*keys, "_piece").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    over = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_piece", *[F.coalesce(F.sum(f"_t_{n}").over(over), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inner = Window.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({n: F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in sums.items()})
+    d = d.join(F.broadcast(totals), [*keys, "_piece"])
+    return d.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop("_piece", *[f"_b_{n}" for n in sums])
+
+
 def exact_quantiles_multi(
     df: DataFrame, cols: list[str], ps: list[float], accuracy: int = DEFAULT_ACCURACY
 ) -> DataFrame:
     """Long frame ``(col, p, value)`` for every column and probability."""
-    eps = 1.0 / accuracy
-    margin = 5.0 * eps
-    cuts = sorted({min(1.0, max(0.0, x)) for p in ps for x in (p - margin, p + margin)})
-    idx = {x: i for i, x in enumerate(cuts)}
+    ladder, step = [], 5.0 / accuracy
+    while step < 1.0:
+        ladder.append(step)
+        step *= 4
+    def clip(x):
+        return min(1.0, max(0.0, x))
+
+    cuts = sorted({0.0, 1.0, *(clip(x) for p in ps for m in ladder for x in (p - m, p + m))})
+    at = {x: i for i, x in enumerate(cuts)}
+    targets = [(i, j) for i in range(len(cols)) for j in range(len(ps))]
+    nums = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
 
     # Pass 1: one bounded sketch per column (all cut points at once) + counts.
-    sketch = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), cuts, accuracy).alias(f"b_{i}")
-          for i, c in enumerate(cols)],
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
-    )
-    structs = []
-    for i, c in enumerate(cols):
-        for p in ps:
-            lo = idx[min(1.0, max(0.0, p - margin))]
-            hi = idx[min(1.0, max(0.0, p + margin))]
-            structs.append(
-                F.struct(
-                    F.lit(c).alias("col"),
-                    F.lit(float(p)).alias("p"),
-                    F.col(f"b_{i}")[lo].alias("lo"),
-                    F.col(f"b_{i}")[hi].alias("hi"),
-                    F.col(f"n_{i}").alias("n"),
-                )
-            )
-    brackets = sketch.select(F.explode(F.array(*structs)).alias("s")).select("s.*").withColumn(
-        # The sketch's rank error is <= eps * n; require >= 2 ranks of slack.
-        "bracketed", F.col("n") * F.lit(eps) >= 2
-    )
-
-    # Pass 2: exact count below each bracket, value counts inside it.  The
-    # brackets of one column travel as one row (broadcast: one row per
-    # column, a proven size bound), so every value is read once for all ps.
-    k = len(ps)
-    per_col = brackets.groupBy("col").agg(
-        F.first("n").alias("n"),
-        F.first("bracketed").alias("bracketed"),
-        *[F.max(F.when(F.col("p") == float(p), F.col("lo"))).alias(f"lo_{j}") for j, p in enumerate(ps)],
-        *[F.max(F.when(F.col("p") == float(p), F.col("hi"))).alias(f"hi_{j}") for j, p in enumerate(ps)],
-    )
-    vals = _long_values(df, cols, "double").join(F.broadcast(per_col), "col")
-    inside = [~F.col("bracketed") | F.col("v").between(F.col(f"lo_{j}"), F.col(f"hi_{j}")) for j in range(k)]
-    below_wide = vals.groupBy("col").agg(
-        *[F.count_if(F.col("bracketed") & (F.col("v") < F.col(f"lo_{j}"))).alias(f"below_{j}") for j in range(k)]
-    )
-    below = below_wide.select(
-        "col",
-        F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(f"below_{j}").alias("below"))
-                            for j, p in enumerate(ps)])).alias("b"),
-    ).select("col", "b.p", "b.below")
-    any_inside = inside[0]
-    for c in inside[1:]:
-        any_inside = any_inside | c
-    flags = F.array(*[F.struct(F.lit(float(p)).alias("p"), inside[j].alias("ok")) for j, p in enumerate(ps)])
-    cand = (
-        vals.filter(any_inside)                      # plain predicate on every value
-        .select("col", "v", F.explode(flags).alias("h"))   # only candidates get here
-        .filter(F.col("h.ok"))
-        .groupBy("col", F.col("h.p").alias("p"), "v")
-        .agg(F.count(F.lit(1)).alias("cnt"))
+    sketch = nums.agg(
+        *[F.percentile_approx(f"v{i}", cuts, accuracy).alias(f"b{i}") for i in range(len(cols))],
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))],
     )
 
-    w = Window.partitionBy("col", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        cand.withColumn("run", F.sum("cnt").over(w))
-        .join(F.broadcast(below), ["col", "p"], "left")
-        .join(F.broadcast(brackets.select("col", "p", "n")), ["col", "p"])
-        .withColumn("end", F.coalesce(F.col("below"), F.lit(0)) + F.col("run"))
-        .withColumn("start", F.col("end") - F.col("cnt"))
-        .withColumn("pos", (F.col("n") - 1).cast("double") * F.col("p"))
-        .withColumn("k_lo", F.floor("pos"))
-        .withColumn("k_hi", F.ceil("pos"))
+    def end(i: int, j: int, sign: int):
+        """The first step of the ladder with room for the slack, else the extreme value."""
+        chosen = F.col(f"b{i}")[at[1.0 if sign > 0 else 0.0]]
+        for m in reversed(ladder):
+            room = F.col(f"n{i}") * (m - 1.0 / accuracy) >= SLACK
+            chosen = F.when(room, F.col(f"b{i}")[at[clip(ps[j] + sign * m)]]).otherwise(chosen)
+        return chosen
+
+    bracket = sketch.select(
+        *[f"n{i}" for i in range(len(cols))],
+        *[end(i, j, -1).alias(f"lo{i}_{j}") for i, j in targets],
+        *[end(i, j, 1).alias(f"hi{i}_{j}") for i, j in targets],
     )
 
-    def at(k: str):
-        return F.max(F.when((F.col("start") <= F.col(k)) & (F.col(k) < F.col("end")), F.col("v")))
-
-    picked = ranked.groupBy("col", "p").agg(
-        at("k_lo").alias("v_lo"),
-        at("k_hi").alias("v_hi"),
-        F.first("pos").alias("pos"),
-        F.first("k_lo").alias("k_lo"),
-        F.first("k_hi").alias("k_hi"),
+    # Passes 2 and 3: exact count below each bracket, values inside it.  The
+    # brackets are one row (broadcast); only rows with a value inside are unpivoted.
+    wide = nums.crossJoin(F.broadcast(bracket))
+    below = wide.agg(*[F.count_if(F.col(f"v{i}") < F.col(f"lo{i}_{j}")).alias(f"below{i}_{j}") for i, j in targets])
+    inside = {(i, j): F.coalesce(F.col(f"v{i}").between(F.col(f"lo{i}_{j}"), F.col(f"hi{i}_{j}")), F.lit(False)) for i, j in targets}
+    found = inside[targets[0]]
+    for t in targets[1:]:
+        found = found | inside[t]
+    hits = F.array(*[F.when(inside[i, j], F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("v"))) for i, j in targets])
+    cand = wide.filter(found).select(F.inline(F.array_compact(hits))).groupBy("i", "j", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = running_before(cand, ["i", "j"], "v", {"run": "cnt"})
+
+    # One row per target (columns x probabilities) -> broadcast.
+    counts = bracket.crossJoin(F.broadcast(below)).select(F.inline(F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("col"), F.lit(float(ps[j])).alias("p"),
+            F.col(f"n{i}").alias("n"), F.col(f"below{i}_{j}").alias("below"),
+        )
+        for i, j in targets
+    ])))
+    pos = (F.col("n") - 1).cast("double") * F.col("p")
+    counts = counts.withColumn("pos", pos).withColumn("k_lo", F.floor("pos")).withColumn("k_hi", F.ceil("pos"))
+    first = F.col("below") + F.col("run")
+
+    def value_at(k: str):
+        return F.max(F.when((first <= F.col(k)) & (F.col(k) < first + F.col("cnt")), F.col("v")))
+
+    picked = ranked.join(F.broadcast(counts), ["i", "j"]).groupBy("i", "j").agg(
+        value_at("k_lo").alias("v_lo"), value_at("k_hi").alias("v_hi")
     )
     value = F.when(F.col("k_lo") == F.col("k_hi"), F.col("v_lo")).otherwise(
         (F.col("k_hi") - F.col("pos")) * F.col("v_lo") + (F.col("pos") - F.col("k_lo")) * F.col("v_hi")
     )
     # A rank outside its bracket must never pass as an empty column.
     missed = (F.col("n") > 0) & (F.col("v_lo").isNull() | F.col("v_hi").isNull())
-    found = F.when(missed, F.raise_error(F.lit("a quantile's rank lies outside its bracket"))).otherwise(value)
-    return brackets.select("col", "p", "n").join(picked, ["col", "p"], "left").select(
-        "col", "p", found.cast("double").alias("value")
-    )
+    checked = F.when(missed, F.raise_error(F.lit("a quantile's rank lies outside its bracket"))).otherwise(value)
+    return counts.join(F.broadcast(picked), ["i", "j"], "left").select("col", "p", checked.cast("double").alias("value"))
 
 
 def approx_quantiles(

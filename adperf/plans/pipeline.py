@@ -22,14 +22,8 @@ from adperf.operators.kpi import compute_kpis
 from adperf.session import materialize
 
 
-def build_kpi_table(raw: DataFrame, approx: bool = False, checkpoint: bool = True) -> DataFrame:
-    kpi = compute_kpis(C.clean_data(raw, approx=approx))
-    return materialize(kpi) if checkpoint else kpi
-
-
 def build_clean_stages(raw: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
-    """De-duplicated rows, fill values and cleaned rows, each materialised
-    once (reliable checkpoints), plus the KPI projection over them."""
+    """De-duplicated rows, fill values and the KPI table, each written once."""
     from adperf.plans.frames import clean_stages
 
     st = clean_stages(raw, approx=approx)
@@ -66,7 +60,12 @@ def run_analysis(raw: DataFrame, approx: bool = False, stages: dict[str, DataFra
         "channel_efficiency": I.channel_efficiency(kpi),
         "channel_extremes": I.channel_extremes(kpi),
         "campaign_score": I.campaign_scores(kpi),
+        "campaign_profit": I.campaign_profit(kpi),
         "budget": I.budget_allocation(kpi),
+        "best_device": I.best_device(kpi),
+        "best_weekday": I.best_weekday(kpi),
+        "spend_revenue_points": A.spend_revenue_points(kpi),
+        "distinct_values": A.distinct_values(kpi),
         "device_stats": I.device_stats(kpi),
         "weekday_stats": I.weekday_stats(kpi),
         "executive_summary": I.executive_summary(kpi),
@@ -88,7 +87,7 @@ def run_ml(kpi: DataFrame, target: str = "high_roi", mode: str = "strict", cv_fo
     spark = kpi.sparkSession
     prep = prepare_features(kpi, target, mode=mode)
     trained = train_all_models(prep, cv_folds=cv_folds, n_iter=n_iter, space=space)
-    scored = scored_frame(trained)
+    scored = materialize(scored_frame(trained))
     task = prep.task_type
     metric = "f1_score" if task == "classification" else "r2_score"
     if task == "classification":
@@ -101,23 +100,32 @@ def run_ml(kpi: DataFrame, target: str = "high_roi", mode: str = "strict", cv_fo
     best_name = E.best_model(comparison, metric).collect()[0]["best_model"]
     best = trained[best_name]
     if model_path:
-        save_model(best.model, f"{model_path}/best_model_{target}")
-    shap = sampled_shapley(best.model, best.test_rows, best.train_rows, prep.numeric + prep.categorical, task=task)
+        save_model(best.model, f"{model_path}/best_model_{target}", best.levels, best.categorical)
+    # Four reports and more read the attributions: explain once.
+    shap = materialize(sampled_shapley(best.model, best.test_rows, best.train_rows, prep.numeric + prep.categorical, task=task))
+    importances = feature_importance(best.model, spark)
     out = {
         "comparison": comparison,
         "best_model": best_name,
-        "importance": E.importance_share(feature_importance(best.model, spark)),
+        "importance": E.importance_share(importances),
+        "top_importance": E.top_importance(importances),
         "attr_importance": X.importance(shap),
         "attr_direction": X.direction(shap),
         "attr_extremes": X.extremes(shap),
+        "attr_top10": X.top_features(shap),
+        "attr_summary": X.summary_points(shap),
         "attr_waterfall": X.waterfall(shap),
-        "accuracy_by_model": D.accuracy_by_model(scored) if task == "classification" else D.residual_band(scored),
         "score_order": D.score_order(scored, times_frame(spark, trained), task),
     }
     if task == "classification":
+        out["class_distribution"] = A.class_distribution(prep.frame)
+        out["accuracy_by_model"] = D.accuracy_by_model(scored)
+        out["best_unrounded"] = D.best_unrounded(scored)
         out["confusion"] = E.confusion(scored)
         out["correct_split"] = D.correct_split(scored)
     else:
+        out["target_range"] = A.target_range(prep.frame)
+        out["residual_band"] = D.residual_band(scored)
         out["pred_vs_actual"] = D.pred_vs_actual(scored)
         out["residual_hist"] = D.residual_hist(scored)
     return out

@@ -159,6 +159,25 @@ def _shapley(spark: SparkSession, sf: str) -> DataFrame:
     return sampled_shapley(lr.model, lr.test_rows, lr.train_rows, feats, task="classification", n_samples=4)
 
 
+def _shapley_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """X2 with a fixed linear scorer and one background row z, where the values are
+    w (x - z): every test row, those with clicks % 10 = 0 twice."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    from adperf.ml.shapley import sampled_shapley
+
+    kpi = kpi_frame(spark, sf)
+    test = S.test_rows(kpi)
+    score = " + ".join(f"{w}D * {c}" for c, w in S.LINEAR_WEIGHTS.items())
+    model = PipelineModel([SQLTransformer(statement=f"SELECT *, {score} AS prediction FROM __THIS__")])
+    shap = sampled_shapley(
+        model, test.unionByName(test.where(F.col("clicks") % 10 == 0)), S.train_rows(kpi).orderBy("row_id").limit(1),
+        list(S.LINEAR_WEIGHTS), task="regression", n_samples=2, background_size=1,
+    )
+    return shap.select("row_id", "feature", npround("shap", 6).alias("shap"), "feature_value")
+
+
 def _append_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """The base rows and a second copy of those with clicks % 100 = 0."""
     base = ad_facts_base(spark, sf)
@@ -256,15 +275,9 @@ REGISTRY: dict[str, Query] = {
     # model training and sampled Shapley (no SQL oracle: rows / invariants only)
     "train_compare": lambda s, sf: _train_compare(s, sf),
     "shapley_sampled": lambda s, sf: _shapley(s, sf),
+    "shapley_linear": _shapley_linear,
 }
 
 
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
-
-
-def register(name: str, fn: Query) -> None:
-    REGISTRY[name] = fn
-
-
-__all__ = ["REGISTRY", "queries", "register", "F"]

@@ -421,6 +421,11 @@ q("top_importance", "SELECT * FROM imps WHERE importance_pct IS NOT NULL ORDER B
   _SPLIT, _IMP, _IMPS)
 
 q("linear_attribution", f"SELECT row_id, feature, {R('shap', 8)} AS shap, feature_value FROM attr", _SPLIT, _MU, _ATTR)
+q("shapley_linear", " UNION ALL ".join(
+    f"SELECT CASE WHEN n = 1 THEN row_id ELSE row_id || '#' || n END AS row_id, '{c}' AS feature, "
+    f"{R(f'CAST({w} AS DOUBLE) * (CAST({c} AS DOUBLE) - (SELECT CAST({c} AS DOUBLE) FROM tr ORDER BY row_id LIMIT 1))', 6)} AS shap, "
+    f"CAST({c} AS DOUBLE) AS feature_value FROM twice" for c, w in _W.items()), _SPLIT,
+  "twice AS (SELECT *, row_number() OVER (PARTITION BY row_id) AS n FROM (SELECT * FROM te UNION ALL SELECT * FROM te WHERE clicks % 10 = 0))")
 _BAND = "CASE WHEN importance_pct >= 10 THEN 'high' WHEN importance_pct >= 5 THEN 'medium' ELSE 'low' END"
 q("attr_importance", f"SELECT feature, {R('mas', 6)} AS mean_abs_shap, importance_pct, {_BAND} AS band FROM fi", *_ATTR_BASE)
 q("attr_direction", f"SELECT feature, {R('ms', 6)} AS mean_shap, CASE WHEN ms > 0 THEN 'Positive' ELSE 'Negative' END AS direction FROM fs",

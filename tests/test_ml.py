@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adperf.ml.shapley import model_score, sampled_shapley
-from adperf.ml.train import feature_importance, load_model, save_model, train_all_models
+from adperf.ml.train import feature_importance, load_model, load_scorer, save_model, stratified_folds, train_all_models
 from adperf.operators import features as FE
 from adperf.plans.frames import kpi_frame
 from tests.conftest import SF_SMALL
@@ -45,6 +45,56 @@ def test_save_load_same_predictions(spark, trained, tmpdir_path):
     assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-12) for k in a)
 
 
+def test_saved_model_scores_rows_with_unmapped_levels(spark, tmpdir_path):
+    """A reloaded scorer maps rare and unseen levels as training did."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+
+    from adperf.ml.train import apply_rare_levels, build_pipeline_stages, rare_level_table
+
+    rows = [(f"r{i}", float(i % 5), "ab"[i % 2] if i else "rare", float(i % 2)) for i in range(41)]
+    df = spark.createDataFrame(rows, "row_id string, x double, c string, target double")
+    levels = rare_level_table(df, ["c"])
+    mapped = apply_rare_levels(df, levels, ["c"])
+    model = Pipeline(stages=build_pipeline_stages(["x"], ["c"], LinearRegression(labelCol="target", regParam=0.1))).fit(mapped)
+    save_model(model, f"{tmpdir_path}/m", levels, ["c"])
+    got = load_scorer(spark, f"{tmpdir_path}/m").transform(df.unionByName(df.limit(1).selectExpr("'new' AS row_id", "x", "'unseen' AS c", "target")))
+    got = {r.row_id: r.prediction for r in got.collect()}
+    want = {r.row_id: r.prediction for r in model.transform(mapped).collect()}
+    assert len(got) == 42 and all(math.isclose(got[k], v, abs_tol=1e-12) for k, v in want.items())
+    first = df.limit(1).collect()[0].row_id
+    infrequent = spark.createDataFrame([("u", [r[1] for r in rows if r[0] == first][0], "__infrequent__", 0.0)], df.schema)
+    assert math.isclose(got["new"], model.transform(infrequent).collect()[0].prediction, abs_tol=1e-12)
+
+
+def test_folds_are_stratified(spark):
+    df = spark.range(1003).selectExpr("md5(cast(id % 900 AS string)) AS row_id", "cast(id % 7 = 0 AS int) AS target")
+    n = {(r.target, r._fold): r["count"] for r in stratified_folds(df, 5).groupBy("target", "_fold").count().collect()}
+    for cls in (0, 1):
+        sizes = [n[cls, k] for k in range(5)]
+        assert max(sizes) - min(sizes) <= 1
+    assert sum(n.values()) == 1003
+
+
+def test_shapley_of_repeated_rows_and_of_a_tree(spark):
+    """A repetition has the values of its first row; a tree model's values add up too."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    rows = [(f"r{i}", float(i % 4), float(i % 3), float((i % 4) * (i % 3))) for i in range(24)]
+    df = spark.createDataFrame(rows, "row_id string, a double, b double, y double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="v"), DecisionTreeRegressor(featuresCol="v", labelCol="y")]).fit(df)
+    z = df.filter("row_id = 'r0'")
+    ask = df.filter("row_id IN ('r7', 'r11')")
+    shap = sampled_shapley(model, ask.unionByName(ask).unionByName(ask.limit(1)), z, ["a", "b"], task="regression", n_samples=4, background_size=1)
+    sums = {r.row_id: r.s for r in shap.groupBy("row_id").agg(F.sum("shap").alias("s")).collect()}
+    fx = {r.row_id: r.prediction for r in model.transform(df).collect()}
+    assert len(sums) == 5 and shap.count() == 10
+    for k, s in sums.items():
+        assert math.isclose(s, fx[k.split("#")[0]] - fx["r0"], abs_tol=1e-12)
+
+
 def test_shapley_additivity(spark, trained):
     """With one background row, sum(shap) = f(x) - f(z) exactly per row."""
     prep, lr = trained
@@ -74,4 +124,9 @@ def test_run_ml_regression_end_to_end(spark, tmpdir_path):
     assert out["best_model"] in comp
     assert len(out["residual_hist"].collect()) == 30
     assert out["attr_importance"].count() > 0
-    assert load_model(f"{tmpdir_path}/best_model_revenue") is not None
+    raw = FE.prepare_features(kpi_frame(spark, SF_SMALL), "revenue", mode="strict").test
+    assert load_scorer(spark, f"{tmpdir_path}/best_model_revenue").transform(raw).filter("prediction IS NULL").count() == 0
+    assert set(out) == {
+        "comparison", "best_model", "importance", "top_importance", "attr_importance", "attr_direction", "attr_extremes", "attr_top10",
+        "attr_summary", "attr_waterfall", "score_order", "target_range", "residual_band", "pred_vs_actual", "residual_hist",
+    }

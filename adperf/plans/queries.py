@@ -22,6 +22,7 @@ from adperf.operators import evaluate as E
 from adperf.operators import profile as P
 from adperf.plans import scorer as S
 from adperf.plans.frames import clean_stages, kpi_frame, raw_frame
+from adperf.session import materialize
 from adperf.sources.files import append_rows, sample_exact
 from adperf.sources.fixture import ad_facts_base
 
@@ -219,7 +220,8 @@ REGISTRY: dict[str, Query] = {
     "profile_shape": lambda s, sf: P.shape(raw_frame(s, sf)),
     "profile_missing": lambda s, sf: P.missing(raw_frame(s, sf)),
     "profile_duplicates": lambda s, sf: P.duplicates(raw_frame(s, sf)),
-    "profile_describe": lambda s, sf: P.describe(raw_frame(s, sf)),
+    # four passes (moments, sketch, counts, candidates) over one stored copy
+    "profile_describe": lambda s, sf: P.describe(materialize(raw_frame(s, sf))),
     "schema_profile": lambda s, sf: P.dtypes(raw_frame(s, sf)),
     # insights
     "channel_efficiency": _kpi(I.channel_efficiency),

@@ -274,3 +274,17 @@ def test_pipeline(spark):
                 label = {i: new if x == old else x for i, x in label.items()}
     want = {i: len(pii.masked(docs[i], pii.find(docs[i])).split()) + 1 for i in set(label.values())}
     assert rows.groupby("doc_id").length.sum().to_dict() == want
+
+
+def test_joined_words_have_the_library_ids():
+    """Runs of letters and marks encoded many at a time, on letters that change when lower-cased or composed."""
+    from adperf.llm.token_store import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    odd = "abZ'.,-_<|>!3 İßéſﬁ̇Ǆ漢٣²ªⅣ𝒜ͅẞ\x1c\x85​"
+    rng = np.random.default_rng(5)
+    texts = ["".join(odd[k] for k in rng.integers(0, len(odd), n)) for n in rng.integers(0, 30, 4000)]
+    texts += ["", " ", "don't it's.' can't,", "a<|endoftext|>b <|endoftext|>", "x" * 5000 + "..."]
+    ours, library = Tokenizer(path), Tokenizer(path).library
+    got = ours.encode([t.encode() for t in texts], 1)
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]

@@ -49,10 +49,11 @@ def missing(df: DataFrame) -> DataFrame:
     ).select("s.*")
 
 
-def duplicates(df: DataFrame) -> DataFrame:
-    """P5: rows that repeat an earlier row (total minus distinct rows)."""
+def duplicates(df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
+    """P5: rows that repeat an earlier row (total minus distinct rows).
+    ``distinct`` is the de-duplicated frame where it is at hand already."""
     total = df.agg(F.count(F.lit(1)).alias("n"))
-    distinct = df.dropDuplicates().agg(F.count(F.lit(1)).alias("d"))
+    distinct = (df.dropDuplicates() if distinct is None else distinct).agg(F.count(F.lit(1)).alias("d"))
     return total.crossJoin(distinct).select((F.col("n") - F.col("d")).cast("bigint").alias("duplicates"))
 
 

@@ -43,7 +43,7 @@ def run_analysis(raw: DataFrame, approx: bool = False, stages: dict[str, DataFra
     return {
         "profile_shape": P.shape(raw),
         "profile_missing": P.missing(raw),
-        "profile_duplicates": P.duplicates(raw),
+        "profile_duplicates": P.duplicates(raw, stages["std"]),
         "profile_describe": P.describe(raw),
         "clean_report": C.cleaning_report(raw, approx=approx, std=stages["std"], fills=stages["fills"], clean=kpi),
         "overall_summary": A.overall_summary(kpi),

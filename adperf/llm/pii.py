@@ -39,12 +39,14 @@ HINTS = {
 DOUBTS = ("example", "sample", "dummy", "test")
 
 # Runs are matched possessively: nothing that follows a run could match inside it,
-# so the matches are those of the plain patterns, in linear time.
+# so the matches are those of the plain patterns, in linear time.  An account number's
+# run may go on into the next words; ``ibans`` cuts it back.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+))")
+_IN_WORD = re.compile(r"[A-Za-z0-9]")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _WORD = re.compile(r"[a-z-]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -85,6 +87,27 @@ def emails(text: str):
         at = text.find("@", max(end, at + 1))
 
 
+def ibans(text: str):
+    """Non-overlapping account numbers that check, from left to right.
+
+    Of the prefixes of a run that end with a word and have 15 characters at least
+    besides blanks, the longest that checks; where none does, the search goes on
+    behind the first four characters.
+    """
+    end = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < end:
+            continue
+        span = m[0] + m[1]
+        if _IN_WORD.match(text, m.end(1)):
+            span = span.rpartition(" ")[0]
+        while (long := len(span) - span.count(" ") >= 15) and not mod97(span):
+            span = span.rpartition(" ")[0]
+        if long:
+            end = m.start() + len(span)
+            yield m.start(), end
+
+
 def proposed(text: str):
     """(kind, start, end) of every confirmed span, base kinds and added ones."""
     if "@" in text:
@@ -100,13 +123,8 @@ def proposed(text: str):
         for m in _PHONE.finditer(text):
             if 10 <= len(_digits(m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        # blanks may have run on into the next words: take the longest prefix that checks
-        span = m[0]
-        while len(span) >= 15 and not mod97(span):
-            span = span.rpartition(" ")[0]
-        if len(span) >= 15:
-            yield "iban", m.start(), m.start() + len(span)
+    for a, b in ibans(text):
+        yield "iban", a, b
     for m in _SSN.finditer(text):
         area, group, serial = m.groups()
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

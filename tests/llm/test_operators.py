@@ -107,6 +107,27 @@ def test_pii(spark):
     assert masked[2].text.startswith("mail [EMAIL],") and masked[2].n_chars == len(masked[2].text) and masked[0].text is None
 
 
+@pytest.mark.parametrize(
+    "text",
+    [f"{iban}{rest}" for iban in ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "NO93 8601 1117 947")
+     for rest in ("", " paid", " Paid", " Thanks 12 X", " DUE ON FRIDAY MORNING", " 7 8 9x", " 123456789012345678901234567890", ", PAID", "\nPAID")],
+)
+@pytest.mark.parametrize("before", ["", "iban ", "AB12 CODES AND MORE ", "AB12 CDEFGHIJKLM "])
+def test_iban_beside_words(before, text):
+    """The longest prefix ending with a word that checks, found by trying them all."""
+    whole = before + text
+    a = len(before)
+    ends = [e for e in range(a + 15, len(whole) + 1) if re.fullmatch(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", whole[a:e])]
+    b = max(e for e in ends if not re.match("[A-Za-z0-9]", whole[e:]) and pii.mod97(whole[a:e]))
+    assert [x[:3] for x in pii.find(whole) if x[0] == "iban"] == [("iban", a, b)]
+    assert "[IBAN]" in pii.masked(whole, pii.find(whole))
+
+
+def test_iban_not_in_longer_words():
+    for text in ("GB82WEST12345698765432Thanks", "xGB82WEST12345698765432", "GB82 WEST 1234 5698 7654 33 Paid", "GB82 WEST 12"):
+        assert not [x for x in pii.find(text) if x[0] == "iban"], text
+
+
 def test_host_quality(spark, texts):
     rows = {r.id: r for r in host_quality.host_quality(frame(spark, texts)).collect()}
     assert len(rows) == len(texts)

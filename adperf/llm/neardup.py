@@ -276,7 +276,15 @@ def near_duplicates(
     the id is the component's, or both are null.  An empty table gives no rows;
     other columns are not read.
     """
-    docs = scanned(docs)
+    return _labelled(scanned(docs), id_col, text_col, shingle, percent, bands, rows).drop("label")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """The rows of :func:`near_duplicates` with their component's own label, null for the empty set.
+
+    Components whose smallest ids are equal or null have different labels.
+    ``docs`` is a plain scan.
+    """
     found = stored(sketched(docs, id_col, text_col, shingle, bands, rows))
     unit = units(found)
     sizes = unit.select("unit", "n")
@@ -304,10 +312,10 @@ def near_duplicates(
 
     named = unit.select("digest", "unit", "id").join(labels, "unit")
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    final = named.join(smallest, "label").select("digest", "component_id")
+    final = named.join(smallest, "label").select("digest", "component_id", "label")
     out = found.join(final, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    out = out.select("id", FILE, ROW, F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = out.select("id", FILE, ROW, F.col("n").alias("n_shingles"), component.alias("component_id"), "label")
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
@@ -323,15 +331,14 @@ def drop_near_copies(
 ) -> DataFrame:
     """``docs`` with one row of each component, columns unchanged.
 
-    The row with the smallest id stays, of repeated rows the first by locator;
-    rows without words all stay.
+    The row with the smallest id stays, of rows that share it the first by locator;
+    rows without an id come after all others.  Components that share their
+    smallest id are not mixed.  Rows without words all stay.
     """
     docs = scanned(docs)
-    rows = stored(near_duplicates(docs, id_col, text_col, shingle, percent))
-    wordless = F.col("n_shingles") == 0
-    # a component without any id is not told apart from others: its rows all stay
-    whole = wordless | F.col("component_id").isNull()
-    first = rows.where(~whole & F.col("kept")).groupBy("component_id").agg(F.min(F.struct(FILE, ROW)).alias("f"))
-    keep = first.select(f"f.{FILE}", f"f.{ROW}").union(rows.where(whole).select(FILE, ROW))
+    rows = stored(_labelled(docs, id_col, text_col, shingle, percent, BANDS, ROWS))
+    place = F.struct(F.col("id").isNull().alias("x"), "id", FILE, ROW)
+    first = rows.where("label is not null").groupBy("label").agg(F.min(place).alias("f"))
+    keep = first.select(f"f.{FILE}", f"f.{ROW}").union(rows.where("label is null").select(FILE, ROW))
     gone = rows.select(FILE, ROW).join(keep, [FILE, ROW], "left_anti")
     return located(docs).join(stored(gone), [FILE, ROW], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -212,6 +212,18 @@ def test_near_duplicates_odd_ids(spark):
     assert [number(r.component_id) for r in sorted(rows, key=lambda r: (r.n_shingles, r.id is None, r.id or 0))] == [None, 3, 3, 3, 3]
 
 
+def test_drop_near_copies_odd_ids(spark):
+    """One row of each component stays, whatever ids the components share or lack."""
+    def text(c, changed=None):
+        return " ".join(f"{c}{i}" for i in range(60)) + (f" {changed}" if changed else "")
+
+    rows = [(5, text("a")), (5, text("b")), (5, text("b", "x")), (7, text("a", "y")), (None, text("a", "z")), (5, text("c")),
+            (None, text("d")), (None, text("d", "x")), (None, text("d")), (None, text("e")), (None, ""), (5, None), (5, " ")]
+    kept = neardup.drop_near_copies(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    found = sorted((r.text or " ").split(" ")[0][:1] + str(r.doc_id) for r in kept)
+    assert found == ["5", "5", "None", "a5", "b5", "c5", "dNone", "eNone"]
+
+
 @pytest.mark.parametrize("window,chunk,many", [(35, 600_000, 16), (35, 60, 1), (6, 60, 2)])
 def test_remove_repeats(spark, texts, window, chunk, many, monkeypatch):
     monkeypatch.setattr(substring, "CHUNK", chunk)

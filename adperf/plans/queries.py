@@ -131,33 +131,36 @@ def _rare(kpi: DataFrame) -> DataFrame:
     return rare_categories(add_interactions(S.train_rows(kpi)), RARE_COLUMNS)
 
 
-def _train_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Quick random search of the three classifiers, test metrics +
-    CV mean / std + time per model."""
+def _trained(spark: SparkSession, sf: str):
+    """(prepared features, the three classifiers after the whole search, their comparison)."""
     from adperf.ml.train import cv_frame, scored_frame, times_frame, train_all_models
 
     prep = FE.prepare_features(kpi_frame(spark, sf), "high_roi", mode="strict")
-    trained = train_all_models(prep, cv_folds=3, n_iter=2, space="quick")
+    trained = train_all_models(prep)
     scored = scored_frame(trained)
-    return (
+    comparison = (
         E.classification_metrics(scored)
         .join(E.roc_auc(scored), "model", "left")
         .join(cv_frame(spark, trained), "model", "left")
         .join(times_frame(spark, trained), "model", "left")
     )
+    return prep, trained, comparison
+
+
+def _train_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Random search of the three classifiers over the reference space, test
+    metrics + CV mean / std + time per model."""
+    return _trained(spark, sf)[2]
 
 
 def _shapley(spark: SparkSession, sf: str) -> DataFrame:
-    """Sampled Shapley values of a fitted logistic pipeline for every
+    """Sampled Shapley values of the best classifier of the search for every
     test row."""
     from adperf.ml.shapley import sampled_shapley
-    from adperf.ml.train import train_all_models
 
-    prep = FE.prepare_features(kpi_frame(spark, sf), "high_roi", mode="strict")
-    t = train_all_models(prep, cv_folds=2, n_iter=1, space="quick", models=["Logistic Regression"])
-    lr = t["Logistic Regression"]
-    feats = prep.numeric + prep.categorical
-    return sampled_shapley(lr.model, lr.test_rows, lr.train_rows, feats, task="classification", n_samples=4)
+    prep, trained, comparison = _trained(spark, sf)
+    best = trained[E.best_model(comparison, "f1_score").collect()[0]["best_model"]]
+    return sampled_shapley(best.model, best.test_rows, best.train_rows, prep.numeric + prep.categorical, task="classification")
 
 
 def _shapley_linear(spark: SparkSession, sf: str) -> DataFrame:

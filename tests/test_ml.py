@@ -28,6 +28,33 @@ def test_training_outputs(trained):
     assert {r["prediction"] for r in preds} <= {0.0, 1.0}
 
 
+def test_registered_queries_do_the_whole_search(spark, trained, monkeypatch):
+    """Nothing of the search is overridden, and the best of its models is explained."""
+    import dataclasses
+
+    from adperf.ml import shapley, train
+    from adperf.plans.queries import REGISTRY
+
+    _, lr = trained
+    wrong = lr.predictions.withColumn("prediction", 1 - F.col("prediction"))
+    worse = dataclasses.replace(lr, name="Random Forest", model=None, predictions=wrong)
+    searches, explained = [], []
+
+    def search(prep, **options):
+        searches.append(options)
+        return {"Random Forest": worse, "Logistic Regression": lr}
+
+    def explain(model, rows, background, features, **options):
+        explained.append((model, options))
+        return rows
+
+    monkeypatch.setattr(train, "train_all_models", search)
+    monkeypatch.setattr(shapley, "sampled_shapley", explain)
+    assert REGISTRY["train_compare"](spark, SF_SMALL).count() == 2
+    REGISTRY["shapley_sampled"](spark, SF_SMALL)
+    assert searches == [{}, {}] and explained == [(lr.model, {"task": "classification"})]
+
+
 def test_importance_names(spark, trained):
     _, lr = trained
     imp = feature_importance(lr.model, spark).collect()

@@ -175,6 +175,8 @@ class Writer:
         self.pack = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True).compress
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"token id {ids.max()} does not fit in {self.width} bytes")
         frame = self.pack(ids.astype(f"<u{self.width}").tobytes())
         self.out.write(frame)
         self.entries.append((self.offset, len(frame), zlib.crc32(frame), NULL_ID if doc_id is None else doc_id, self.tokens, len(ids)))
@@ -235,7 +237,8 @@ def write_tokens(
     null ids come first, repeated ids stand side by side (a null text is empty:
     it has the end id only).  An empty table gives no file and an empty manifest.
     The manifest (file number, path, docs, tokens, tokens in earlier files) has a
-    row per file and is returned stored.  ``width`` is bytes per token.
+    row per file and is returned stored.  ``width`` is bytes per token; an id
+    that does not fit is refused.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

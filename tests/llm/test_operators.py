@@ -176,6 +176,16 @@ def test_token_store_round_trip(spark, texts, tmpdir_path):
         token_store.Reader(name).ids(0)
 
 
+@pytest.mark.parametrize("width,most", [(1, 255), (2, 65_535), (4, 2**32 - 1)])
+def test_token_ids_fit_their_width(tmpdir_path, width, most):
+    writer = token_store.Writer(f"{tmpdir_path}/w{width}/a.tokz", width)
+    writer.add(1, np.array([0, most], np.uint64))
+    with pytest.raises(ValueError, match="does not fit"):
+        writer.add(2, np.array([0, most + 1], np.uint64))
+    writer.close()
+    assert list(token_store.Reader(writer.path).ids(0)) == [0, most]
+
+
 def test_packing(spark, texts):
     rows = packing.pack(frame(spark, texts), lengths=(16, 32, 64), overhead=4, block=40).toPandas()
     want = {i: len(re.findall(WORD, t or "")) + 1 for i, t in enumerate(texts)}

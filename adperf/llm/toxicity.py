@@ -147,11 +147,17 @@ def fit(grade: np.ndarray, rows: list[np.ndarray], penalty: float = PENALTY, ste
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS
 ) -> OrdinalModel:
-    """Fit on at most ``most`` labelled documents; labels without a text or a value are not used."""
+    """Fit on at most ``most`` labels of documents that have a text.
+
+    Labels without such a document or without a value are not used and take no
+    place.  Repeated labels count once, and of rows that share an id the least
+    text counts.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
-    known = known.where("id is not null and toxic in (0, 1)")
-    chosen = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(most)  # bounded by `most`, so it may be broadcast
+    known = known.where("id is not null and toxic in (0, 1)").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
+    known = known.join(texts.select("id"), "id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(most)  # bounded by `most`, so it may be broadcast
 
     def run(batches):
         features = Features()
@@ -159,8 +165,8 @@ def train(
             found = pa.array([features.of(t) for t in binary_values(b.column("text"))], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), found], names=["id", "toxic", "features"])
 
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, features array<long>")
-    table = rows.toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")]).slice(0, most)
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    table = rows.mapInArrow(run, "id long, toxic int, features array<long>").toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])
     toxic = np.array(table.column("toxic").to_pylist(), int)
     found = [np.array(f, np.int64) for f in table.column("features").to_pylist()]
     return fit(grades(toxic, found) if len(toxic) else toxic, found)

@@ -265,6 +265,17 @@ def test_toxicity(spark):
     assert mean[0] < mean[1] < mean[3] and not rows[5000].toxic and not rows[5001].toxic
 
 
+def test_toxicity_sample(spark, monkeypatch):
+    """Labels without a text take no place of the sample, and repeated rows take one."""
+    docs = spark.createDataFrame([(i, f"w{i}") for i in range(30)] + [(7, f"x{i}") for i in range(50)] + [(900, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)] + [(8, 0)] * 9, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda grade, rows: seen.append(len(rows)))
+    for most in (40, 20):
+        toxicity.train(docs, labels, most=most)
+    assert seen == [30, 20]
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [(1, "a", "f", '{"y": 1.0, "x": [1e-7, 0.5]}', None), (1, "b", "f", '{"x": "no"}', ["a", "zz"]), (1, "c", "g", "{}", ["b", "a"]),

@@ -42,7 +42,9 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lengths = token_store.token_lengths(documents(spark, sf_dir), path)
+    return packing.pack(lengths, id_col="id", length_col="n_tokens").withColumnRenamed("id", "doc_id")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,20 @@ class Reader:
         self.file.close()
 
 
+def token_lengths(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", by_word: bool = True,
+) -> DataFrame:
+    """(id, n_tokens) of every row, as :func:`write_tokens` would store them; nothing is written."""
+
+    def run(batches):
+        for b in slices(batches, "text", 2 << 20):
+            ids = _tokenizer(tokenizer_path, by_word).encode(binary_values(b.column("text")), end_id)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in ids], pa.int64())], names=["id", "n_tokens"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, n_tokens long")
+
+
 def write_tokens(
     docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
     partitions: int | None = None, width: int = 2, by_word: bool = True,

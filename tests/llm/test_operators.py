@@ -197,6 +197,21 @@ def test_packing(spark, texts):
     assert packing.least_cost(10, 10, (16, 32), 4) == 16 and packing.least_cost(10, 1000, (16, 32), 4) == 32
 
 
+def test_best_fit_packs_tokens(spark):
+    """The lengths of op7 are those of the tokenizer library, the end token included."""
+    from tokenizers import Tokenizer
+
+    from adperf.llm.queries import QUERIES
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    want = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs}
+    rows = QUERIES["op7_best_fit"](spark, "/root/testdata/sf0.001").toPandas()
+    assert rows.groupby("doc_id").length.sum().to_dict() == want
+    bins = rows.groupby("bin").agg({"length": "sum", "bin_length": "max"})
+    assert (bins.length <= bins.bin_length).all()
+
+
 @pytest.mark.parametrize("k,part", [(2, 400_000), (2, 500), (5, 400_000)])
 def test_near_duplicates(spark, texts, k, part, monkeypatch):
     monkeypatch.setattr(neardup, "PART", part)

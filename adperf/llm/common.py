@@ -36,8 +36,25 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), *parts])
 
 
+#: Nodes of a plan that leave each row of a file scan as it is, or out.
+_PLAIN = ("Project", "Filter", "SubqueryAlias", "LogicalRelation")
+
+
 def scanned(df: DataFrame) -> DataFrame:
-    """``df`` itself if it is a plain scan of files, else its rows written once and read back."""
+    """``df`` itself if every scan of it gives the same rows of its files, else its rows written once and read back.
+
+    Only deterministic filters and projections over one file relation pass as they
+    are.  A join, an explode or a limit is stored: its rows would share a
+    locator or change between scans.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while True:
+        below, name = plan.children(), plan.getClass().getSimpleName()
+        if name not in _PLAIN or below.size() > 1 or not plan.deterministic():
+            return stored(df)
+        if not below.size():
+            break
+        plan = below.apply(0)
     try:
         df.select("_metadata.file_path")
     except AnalysisException:
@@ -45,13 +62,33 @@ def scanned(df: DataFrame) -> DataFrame:
     return df
 
 
-def located(df: DataFrame) -> DataFrame:
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, which is no column of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(name: str):
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def located(df: DataFrame, file: str = FILE, row: str = ROW) -> DataFrame:
     """A plain scan with a locator of each row: (file, row number in it).
 
     The locator names the stored content, so it is the same in every scan and
     after a lost task.
     """
-    return df.withColumns({FILE: F.col("_metadata.file_path"), ROW: F.col("_metadata.row_index")})
+    return df.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a plain scan whose locator is not in ``gone`` (__file, __row); columns unchanged, whatever their names."""
+    file, row = fresh(docs, FILE), fresh(docs, ROW)
+    gone = gone.select(F.col(FILE).alias(file), F.col(ROW).alias(row))
+    return located(docs, file, row).join(gone, [file, row], "left_anti").select(*[named(c) for c in docs.columns])
 
 
 def binary_values(column: pa.Array) -> list[bytes]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adperf.llm.common import FILE, ROW, binary_values, located, scanned, shared_path, stored
+from adperf.llm.common import FILE, ROW, binary_values, located, scanned, shared_path, stored, without
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -171,4 +171,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` without the rows that :func:`exact_dedup` does not keep; all columns unchanged."""
     docs = scanned(docs)
     gone = stored(exact_dedup(docs, id_col, text_col).where("not kept").select(FILE, ROW))
-    return located(docs).join(gone, [FILE, ROW], "left_anti").select(*docs.columns)
+    return without(docs, gone)

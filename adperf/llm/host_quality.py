@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adperf.llm.common import SPACE, stored
+from adperf.llm.common import SPACE, named, stored
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 HOST_RATE = 0.5
@@ -122,7 +122,8 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     hosts = stored(host_verdicts(failed.select("__host", base_failed().alias("__failed")), host_rate).where("rejected").select(F.col("__host").alias("__bad")))
     # A filter would be pushed through the projections above, and each of its references
     # would then repeat their whole expressions; exploding no element drops a row in place.
-    rows = measured(docs.withColumn("__t", F.col(text_col)), "__t", lines=False)
+    # The caller's columns travel in one, so none of them can clash with a measure.
+    whole = F.struct(*[named(c) for c in docs.columns]).alias("__doc")
+    rows = measured(docs.select(whole, F.col(host_col).alias("__host"), F.col(text_col).alias("__t")), "__t", lines=False)
     rows = rows.withColumn("__ok", F.explode(F.when(~base_failed(), F.array(F.lit(1)))))
-    rows = rows.join(hosts, F.col(host_col).eqNullSafe(F.col("__bad")), "left_anti")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(hosts, F.col("__host").eqNullSafe(F.col("__bad")), "left_anti").select("__doc.*")

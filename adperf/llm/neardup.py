@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adperf.llm.common import FILE, ROW, WordIds, binary_values, located, scanned, slices, stored
+from adperf.llm.common import FILE, ROW, WordIds, binary_values, located, scanned, slices, stored, without
 
 BANDS, ROWS = 48, 5
 SIMILARITY = 80  # percent
@@ -341,4 +341,4 @@ def drop_near_copies(
     first = rows.where("label is not null").groupBy("label").agg(F.min(place).alias("f"))
     keep = first.select(f"f.{FILE}", f"f.{ROW}").union(rows.where("label is null").select(FILE, ROW))
     gone = rows.select(FILE, ROW).join(keep, [FILE, ROW], "left_anti")
-    return located(docs).join(stored(gone), [FILE, ROW], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs, stored(gone))

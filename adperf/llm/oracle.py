@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express on whole tables.
 
-op3, op6, op7 and op9 (tokenizer libraries, bin packing, a fitted model) and op4
+op3, op6, op7, op9 and op11 (tokenizer libraries, bin packing, a fitted model) and op4
 (checksums over trimmed prefixes with context scores) are tested against
 brute-force versions instead, and so is the pipeline.
 """
@@ -100,4 +100,36 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone.n, 0) AS
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op1_tool_calls": OP1, "op2_exact_dedup": OP2, "op5_host_quality": OP5, "op8_minhash": OP8, "op10_substring_dedup": OP10}
+OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+neg AS (
+  SELECT pos.anchor AS anchor_id, pos.other AS positive_id, n.other AS negative_id, pos.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY pos.anchor, pos.other ORDER BY n.score DESC, n.other) AS r
+  FROM pos JOIN pairs n ON n.anchor = pos.anchor AND NOT n.same AND 30 * pos.score <= 100 * n.score AND 100 * n.score <= 90 * pos.score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE r <= 10
+"""
+
+_HEX = "(instr('0123456789abcdef', substr(h, {0} + 1, 1)) - 1)"
+#: Five bits of the hex digest from bit 5 i on, as a base-32 letter (20 bytes are exactly 32 letters).
+_LETTER = f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((({_HEX.format('(5 * i) // 4')} * 16 + {_HEX.format('(5 * i) // 4 + 1')}) >> (3 - (5 * i) % 4)) & 31), 1)"
+
+OP13 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: {_LETTER}), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+ORACLE = {
+    "op1_tool_calls": OP1, "op2_exact_dedup": OP2, "op5_host_quality": OP5, "op8_minhash": OP8, "op10_substring_dedup": OP10,
+    "op12_hard_negatives": OP12, "op13_warc": OP13,
+}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adperf.llm.common import slices
+from adperf.llm.common import fresh, named, slices
 
 #: Order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -199,11 +199,11 @@ def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     def cover(texts):
         return texts.map(lambda t: masked(t, find(t)), na_action="ignore")
 
-    names = docs.columns
-    out = docs.withColumn("__masked", cover(F.col(text_col)))
-    new = {text_col: F.col("__masked")}
+    names, new_text = docs.columns, fresh(docs, "__masked")
+    out = docs.withColumn(new_text, cover(F.col(text_col)))
+    new = {text_col: F.col(new_text)}
     if length_col in names:
         kind = docs.schema[length_col].dataType
-        changed = ~F.col("__masked").eqNullSafe(F.col(text_col))
-        new[length_col] = F.when(changed, F.length("__masked").cast(kind)).otherwise(F.col(length_col))
-    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+        changed = ~F.col(new_text).eqNullSafe(F.col(text_col))
+        new[length_col] = F.when(changed, F.length(new_text).cast(kind)).otherwise(F.col(length_col))
+    return out.select(*[new.get(c, named(c)).alias(c) for c in names])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adperf.llm import chat, exact_dedup, hard_negatives, host_quality, neardup, packing, pii, piece, substring, token_store, toxicity, warc
+from adperf.llm import align, chat, exact_dedup, hard_negatives, host_quality, neardup, packing, pii, piece, substring, token_store, toxicity, warc
 from adperf.llm.common import documents
 
 
@@ -62,6 +62,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir), digest=True).withColumnRenamed("id", "doc_id")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    rows = align.align_tokenizers(documents(spark, sf_dir), *paths, digest=True)
+    return rows.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet"))
     label = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -84,6 +90,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_tool_calls, op2_exact_dedup, op3_sentencepiece, op4_pii, op5_host_quality, op6_token_store, op7_best_fit, op8_minhash,
-        op9_toxicity, op10_substring_dedup, op12_hard_negatives, op13_warc, pipeline,
+        op9_toxicity, op10_substring_dedup, op11_token_alignment, op12_hard_negatives, op13_warc, pipeline,
     )
 }

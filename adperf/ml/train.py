@@ -1,99 +1,38 @@
-"""Model training M1-M14 with Spark ML.
-
-* preprocessing: rare levels -> ``__infrequent__`` (counts on the training
-  rows), ``StringIndexer`` + ``OneHotEncoder`` per categorical, numeric
-  features z-scored with ``StandardScaler``, one ``VectorAssembler``;
-* estimators: logistic / linear (ridge) regression, random forests and
-  gradient-boosted trees;
-* search: a seeded random draw of parameter maps, ``CrossValidator`` with
-  weighted F1 (classification) or R2 (regression), refit on all training
-  rows; ``avgMetrics`` / ``stdMetrics`` give the CV mean and population std.
-
-Every fit is a set of distributed Spark jobs; ``parallelism`` lets the
-cross-validator run candidate fits concurrently.
+"""Model training M4-M14.
+
+* Encoding: one Pipeline of stages fitted on the training rows (``encode.py``), saved with the model.
+* Search: seeded random draws of parameters, scored by weighted F1 (classification) or R2
+  (regression) of every fold's own predictions.  Each model leaves an out-of-fold table (draw,
+  fold, row, label, prediction, score), and means, deviations, boxes and the choice of a draw
+  are grouped from it.
+* The linear models advance all draws and folds together (``linear.py``).  Trees are fitted one by one,
+  a few at a time; ``minSamplesSplit`` cuts their small nodes (``trees.py``).
+* The best draw is fitted on all training rows.
 """
 
 from __future__ import annotations
 
 import math
 import time
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Matrices, Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from adperf.ml import linear
+from adperf.ml.encode import encoder, scaled_slots, slot_names
+from adperf.ml.trees import min_split
+from adperf.operators import evaluate as E
 from adperf.operators.features import Prepared
 from adperf.session import materialize
 
-INFREQUENT = "__infrequent__"
-#: Folder of the rare-level table inside a saved model.
-LEVELS = "rare_levels"
-
-
-# ------------------------------------------------------------ preprocessing
-def rare_level_table(train: DataFrame, cols: list[str], min_frequency: int = 2) -> DataFrame:
-    """``(feature, value, level)`` learned on the training rows (M2)."""
-    long = train.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        ids=[], values=cols, variableColumnName="feature", valueColumnName="value"
-    )
-    g = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    return g.select(
-        "feature", "value",
-        F.when(F.col("n") >= min_frequency, F.col("value")).otherwise(F.lit(INFREQUENT)).alias("level"),
-    )
-
-
-def apply_rare_levels(df: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
-    """Map each categorical to its level; unseen values become the infrequent
-    level when one exists, else stay as they are (the indexer's unknown slot).
-
-    The level table is joined without a broadcast hint: AQE broadcasts it
-    only when its measured size is under the threshold, and splits skewed
-    partitions when one level holds most rows."""
-    out = df
-    for c in cols:
-        t = table.filter(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("level").alias("_l"))
-        # Exactly one row (NULL when no level is infrequent) -> broadcast.
-        inf = table.filter((F.col("feature") == c) & (F.col("level") == INFREQUENT)).agg(
-            F.max(F.col("level")).alias("_i")
-        )
-        out = (
-            out.join(t, out[c].cast("string") == t["_v"], "left")
-            .crossJoin(F.broadcast(inf))
-            .withColumn(c, F.coalesce(F.col("_l"), F.col("_i"), F.col(c).cast("string")))
-            .drop("_v", "_l", "_i")
-        )
-    return out
-
-
-def build_pipeline_stages(numeric: list[str], categorical: list[str], estimator) -> list:
-    """M1 + M3: scale numeric, one-hot categorical, assemble, then the model."""
-    stages = []
-    num_vec = "_num_vec"
-    stages.append(VectorAssembler(inputCols=numeric, outputCol=num_vec, handleInvalid="keep"))
-    stages.append(StandardScaler(inputCol=num_vec, outputCol="_num_scaled", withMean=True, withStd=True))
-    ohe_cols = []
-    for c in categorical:
-        stages.append(
-            StringIndexer(inputCol=c, outputCol=f"_idx_{c}", handleInvalid="keep", stringOrderType="alphabetDesc")
-        )
-        ohe_cols.append(f"_ohe_{c}")
-    if categorical:
-        stages.append(
-            OneHotEncoder(inputCols=[f"_idx_{c}" for c in categorical], outputCols=ohe_cols, dropLast=True)
-        )
-    stages.append(VectorAssembler(inputCols=["_num_scaled"] + ohe_cols, outputCol="features"))
-    stages.append(estimator)
-    return stages
-
 
 # --------------------------------------------------------------- search space
 def _loguniform(rng, lo, hi):
@@ -121,51 +60,42 @@ SPACES = {
 }
 
 
-def draw_params(name: str, est, n_iter: int, n_train: int, space: Space, seed: int = 42) -> list[dict]:
-    """Seeded random draws of parameter maps (sklearn names translated)."""
+def draw_params(name: str, n_iter: int, space: Space, task: str, seed: int = 42) -> list[dict]:
+    """Seeded random draws, by the names of Spark's parameters (and c, alpha, balanced, minSamplesSplit)."""
     rng = np.random.default_rng(seed)
-    maps = []
+    draws = []
     for _ in range(n_iter):
         if name == "Logistic Regression":
-            c = _loguniform(rng, 0.01, 100)
-            maps.append({est.regParam: 1.0 / (c * n_train), est.elasticNetParam: 0.0,
-                         est.weightCol: str(rng.choice(["_w_none", "_w_balanced"]))})
+            draws.append({"c": _loguniform(rng, 0.01, 100), "balanced": bool(rng.integers(2))})
         elif name == "Ridge Regression":
-            maps.append({est.regParam: _loguniform(rng, 0.001, 1000) / n_train, est.elasticNetParam: 0.0})
+            draws.append({"alpha": _loguniform(rng, 0.001, 1000)})
         elif name == "Random Forest":
             depth = space.depths[int(rng.integers(len(space.depths)))]
-            m = {
-                est.numTrees: int(rng.integers(*space.trees)),
-                est.maxDepth: 30 if depth is None else int(depth),
-                est.minInstancesPerNode: int(rng.integers(1, 10)),
-                est.featureSubsetStrategy: str(rng.choice(["sqrt", "log2", "all"])),
+            d = {
+                "numTrees": int(rng.integers(*space.trees)), "maxDepth": 30 if depth is None else int(depth),
+                "minSamplesSplit": int(rng.integers(2, 20)), "minInstancesPerNode": int(rng.integers(1, 10)),
+                "featureSubsetStrategy": str(rng.choice(["sqrt", "log2", "all"])),
             }
-            if est.hasParam("weightCol") and isinstance(est, RandomForestClassifier):
-                m[est.weightCol] = str(rng.choice(["_w_none", "_w_balanced"]))
-            maps.append(m)
+            if task == "classification":
+                d["balanced"] = bool(rng.integers(2))
+            draws.append(d)
         else:  # Gradient Boosting
-            maps.append({
-                est.maxIter: int(rng.integers(*space.gbt_trees)),
-                est.maxDepth: int(rng.integers(*space.gbt_depth)),
-                est.stepSize: _loguniform(rng, 0.01, 0.3),
-                est.subsamplingRate: float(rng.uniform(0.6, 1.0)),
-                est.minInstancesPerNode: int(rng.integers(1, 10)),
+            draws.append({
+                "maxIter": int(rng.integers(*space.gbt_trees)), "maxDepth": int(rng.integers(*space.gbt_depth)),
+                "stepSize": _loguniform(rng, 0.01, 0.3), "subsamplingRate": float(rng.uniform(0.6, 1.0)),
+                "minInstancesPerNode": int(rng.integers(1, 10)),
             })
-    return maps
+    return draws
 
 
-def estimators(task: str, label: str = "target") -> dict:
-    if task == "classification":
-        return {
-            "Logistic Regression": LogisticRegression(labelCol=label, maxIter=2000, standardization=False),
-            "Random Forest": RandomForestClassifier(labelCol=label, seed=42),
-            "Gradient Boosting": GBTClassifier(labelCol=label, seed=42),
-        }
-    return {
-        "Ridge Regression": LinearRegression(labelCol=label, standardization=False),
-        "Random Forest": RandomForestRegressor(labelCol=label, seed=42),
-        "Gradient Boosting": GBTRegressor(labelCol=label, seed=42),
-    }
+TREES = {
+    ("classification", "Random Forest"): RandomForestClassifier, ("classification", "Gradient Boosting"): GBTClassifier,
+    ("regression", "Random Forest"): RandomForestRegressor, ("regression", "Gradient Boosting"): GBTRegressor,
+}
+MODELS = {
+    "classification": ["Logistic Regression", "Random Forest", "Gradient Boosting"],
+    "regression": ["Ridge Regression", "Random Forest", "Gradient Boosting"],
+}
 
 
 def add_class_weights(df: DataFrame, label: str = "target") -> DataFrame:
@@ -177,38 +107,118 @@ def add_class_weights(df: DataFrame, label: str = "target") -> DataFrame:
     return df.join(F.broadcast(w), label, "left").withColumn("_w_none", F.lit(1.0))
 
 
-def stratified_folds(df: DataFrame, folds: int, label: str = "target") -> DataFrame:
-    """``_fold`` in 0..folds-1, of which every class has equally many rows (+-1).
+def stratified_folds(df: DataFrame, folds: int, label: str | None = "target") -> DataFrame:
+    """``_fold`` in 0..folds-1, of which every class has equally many rows (+-1); without a label all rows do.
 
     A row's place in its class by row_id, modulo ``folds``.  The place is the rows of
     lower row_id prefixes (from a table of classes x 65,536 counts, joined by
     measured size) plus the rank within the prefix, so no task ranks a whole class.
     """
-    keys = [label, "_prefix"]
-    df = df.withColumn("_prefix", F.substring("row_id", 1, 4))
-    w = Window.partitionBy(label).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    keys = ["_class", "_prefix"]
+    df = df.withColumns({"_class": F.col(label) if label else F.lit(0), "_prefix": F.substring("row_id", 1, 4)})
+    w = Window.partitionBy("_class").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_lower"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("row_id"))
     placed = df.withColumn("_rank", rank).join(counts, keys)
-    return placed.withColumn("_fold", F.pmod(F.col("_lower") + F.col("_rank"), F.lit(folds)).cast("int")).drop("_prefix", "_rank", "_lower")
+    return placed.withColumn("_fold", F.pmod(F.col("_lower") + F.col("_rank"), F.lit(folds)).cast("int")).drop("_class", "_prefix", "_rank", "_lower")
 
 
 # ------------------------------------------------------------------ training
 @dataclass
 class Trained:
     name: str
-    model: PipelineModel
+    model: PipelineModel            # raw rows in, predictions out
     best_params: dict
     cv_mean: float
     cv_std: float
     train_time: float
-    predictions: DataFrame          # test rows + prediction (+ probability)
-    test_rows: DataFrame | None = None  # test rows after the rare-level mapping
-    train_rows: DataFrame | None = None
-    candidate_metrics: list[float] = field(default_factory=list)
-    levels: DataFrame | None = None     # rare-level table of the training rows
-    categorical: list[str] = field(default_factory=list)
+    predictions: DataFrame          # test rows: row_id, target, prediction (+ score)
+    test_rows: DataFrame            # raw rows
+    train_rows: DataFrame
+    out_of_fold: DataFrame          # every draw: row_id, fold, draw, label, prediction, score
+    draw_scores: DataFrame          # draw, fold, score
+    best_draw: int
+
+    def folds(self) -> DataFrame:
+        """(model, fold, score) of the best draw, for E12 and M13."""
+        return self.draw_scores.where(F.col("draw") == self.best_draw).select(F.lit(self.name).alias("model"), "fold", "score")
+
+
+def scored_draws(out_of_fold: DataFrame, task: str) -> DataFrame:
+    """(draw, fold, score) from an out-of-fold table: weighted F1, or R2."""
+    rows = out_of_fold.withColumn("model", F.concat_ws("#", "draw", "fold"))
+    if task == "classification":
+        rows = rows.withColumns({"label": F.col("label").cast("int"), "prediction": F.col("prediction").cast("int")})
+        scores = E.classification_metrics_raw(rows).select("model", F.col("f1_score").alias("score"))
+    else:
+        scores = E.regression_metrics_raw(rows).select("model", F.col("r2_score").alias("score"))
+    key = F.split("model", "#")
+    return scores.select(key[0].cast("int").alias("draw"), key[1].cast("int").alias("fold"), "score")
+
+
+def _score(df: DataFrame, task: str):
+    return vector_to_array("probability")[1] if task == "classification" else F.col("prediction")
+
+
+class _Search:
+    """The encoded training rows of one target, and the fits of one model's draws over them."""
+
+    def __init__(self, prepared: Prepared, train: DataFrame, folds: int, parallelism: int):
+        self.task, self.folds, self.parallelism = prepared.task_type, folds, parallelism
+        self.encoder = encoder(prepared.numeric, prepared.categorical).fit(train)
+        label = "target" if self.task == "classification" else None
+        train = stratified_folds(train, folds, label)
+        if label:
+            train = add_class_weights(train)
+        names = ["row_id", "target", "_fold", "features"] + (["_w_none", "_w_balanced"] if label else [])
+        self.encoded = materialize(self.encoder.transform(train).select(*names))
+        self.spark, self.width, self.scaled = train.sparkSession, len(slot_names(self.encoder)), scaled_slots(self.encoder)
+        self._design: DataFrame | None = None
+
+    def design(self) -> DataFrame:
+        if self._design is None:
+            self._design = linear.design(self.encoded)
+        return self._design
+
+    def linear_fits(self, draws: list[dict]) -> linear.Linear:
+        if self.task == "classification":
+            return linear.logistic(self.design(), [linear.Draw(**d) for d in draws], self.width, self.scaled, self.folds)[0]
+        shift = self.design().agg(F.avg("y")).collect()[0][0] or 0.0
+        return linear.ridge(linear.gram(self.design(), self.width, self.folds, shift=shift), [d["alpha"] for d in draws], self.scaled, shift)
+
+    def linear_model(self, fits: linear.Linear, draw: int, params: dict):
+        """The fit on all rows as Spark's own model."""
+        if self.task == "classification":
+            # Bounds that meet leave the optimiser no choice: Spark's model with these coefficients.
+            w, b = Matrices.dense(1, self.width, fits.coef[-1, draw].tolist()), Vectors.dense([float(fits.intercept[-1, draw])])
+            est = LogisticRegression(labelCol="target", standardization=False, maxIter=1, lowerBoundsOnCoefficients=w,
+                                     upperBoundsOnCoefficients=w, lowerBoundsOnIntercepts=b, upperBoundsOnIntercepts=b)
+            return est.fit(self.encoded)
+        n = self.encoded.count()
+        return LinearRegression(labelCol="target", standardization=False, solver="normal", regParam=params["alpha"] / n, elasticNetParam=0.0).fit(self.encoded)
+
+    def tree_model(self, name: str, params: dict, rows: DataFrame):
+        params = dict(params)
+        least, balanced = params.pop("minSamplesSplit", 2), params.pop("balanced", None)
+        est = TREES[self.task, name](labelCol="target", seed=42, **params)
+        if balanced is not None:
+            est = est.setWeightCol("_w_balanced" if balanced else "_w_none")
+        return min_split(est.fit(rows), least, self.spark)
+
+    def tree_out_of_fold(self, name: str, draws: list[dict]) -> DataFrame:
+        def one(job: tuple[int, int]) -> DataFrame:
+            draw, fold = job
+            model = self.tree_model(name, draws[draw], self.encoded.where(F.col("_fold") != fold))
+            rows = model.transform(self.encoded.where(F.col("_fold") == fold))
+            return materialize(rows.select("row_id", F.col("_fold").alias("fold"), F.lit(draw).alias("draw"), F.col("target").cast("double").alias("label"), "prediction", _score(rows, self.task).alias("score")))
+
+        with ThreadPoolExecutor(self.parallelism) as pool:
+            parts = list(pool.map(one, [(d, f) for d in range(len(draws)) for f in range(self.folds)]))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
 
 def train_all_models(
@@ -219,68 +229,68 @@ def train_all_models(
     parallelism: int = 2,
     seed: int = 42,
     models: list[str] | None = None,
+    params: dict[str, list[dict]] | None = None,
 ) -> dict[str, Trained]:
-    """M4-M13 for every model of the task.  ``n_iter=None`` uses the
-    reference draw counts (20 / 30 / 30)."""
+    """M4-M13 for every model of the task.
+
+    ``n_iter=None`` uses the reference draw counts (20 / 30 / 30).  ``params`` gives a model's draws
+    instead of random ones.
+    """
     task = prepared.task_type
-    cats = prepared.categorical
-    # Every candidate x fold re-reads the training rows, and the rare-level
-    # table is joined back once per categorical: cut the lineage first
-    # (reliable checkpoints in the shared checkpoint folder).
     frame = materialize(prepared.frame)
-    train0 = frame.filter(F.col("is_test") == 0).drop("is_test")
-    test0 = frame.filter(F.col("is_test") == 1).drop("is_test")
-    table = materialize(rare_level_table(train0, cats))
-    train = apply_rare_levels(train0, table, cats)
-    test = apply_rare_levels(test0, table, cats)
-    if task == "classification":
-        train = add_class_weights(train)
-        test = test.withColumn("_w_none", F.lit(1.0)).withColumn("_w_balanced", F.lit(1.0))
-        evaluator = MulticlassClassificationEvaluator(labelCol="target", metricName="f1")
-    else:
-        evaluator = RegressionEvaluator(labelCol="target", metricName="r2")
-    if task == "classification":
-        train = stratified_folds(train, cv_folds)
-    train, test = materialize(train), materialize(test)
-    n_train = train.count()
+    train = frame.filter(F.col("is_test") == 0).drop("is_test")
+    test = frame.filter(F.col("is_test") == 1).drop("is_test")
+    search = _Search(prepared, train, cv_folds, parallelism)
     results: dict[str, Trained] = {}
-    for name, est in estimators(task).items():
+    for name in MODELS[task]:
         if models and name not in models:
             continue
-        maps = draw_params(name, est, n_iter or N_ITER[name], n_train, SPACES[space], seed)
-        pipe = Pipeline(stages=build_pipeline_stages(prepared.numeric, cats, est))
-        cv = CrossValidator(
-            estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator,
-            numFolds=cv_folds, parallelism=parallelism, seed=seed, foldCol="_fold" if task == "classification" else "",
-        )
+        draws = (params or {}).get(name) or draw_params(name, n_iter or N_ITER[name], SPACES[space], task, seed)
         t0 = time.time()
-        cvm = cv.fit(train)
-        elapsed = time.time() - t0
-        best = int(np.argmax(cvm.avgMetrics))
-        preds = cvm.bestModel.transform(test)
-        keep = ["target", "prediction"] + (["probability"] if task == "classification" else [])
-        preds = preds.select(*keep)
-        if task == "classification":
-            preds = preds.withColumn("score", vector_to_array("probability")[1]).drop("probability")
+        if (task, name) in TREES:
+            oof = search.tree_out_of_fold(name, draws)
+        else:
+            fits = search.linear_fits(draws)
+            oof = linear.out_of_fold(search.design(), fits, task == "classification")
+        oof = materialize(oof)
+        scores = materialize(scored_draws(oof, task))
+        # a row per draw
+        means = scores.groupBy("draw").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).collect()
+        best = min(means, key=lambda r: (-(r.m if r.m is not None else -math.inf), r.draw))
+        if (task, name) in TREES:
+            fitted = search.tree_model(name, draws[best.draw], search.encoded)
+        else:
+            fitted = search.linear_model(fits, best.draw, draws[best.draw])
+        model = PipelineModel([*search.encoder.stages, fitted])
+        preds = model.transform(test)
+        preds = preds.select("row_id", "target", "prediction", *([_score(preds, task).alias("score")] if task == "classification" else []))
         results[name] = Trained(
-            name=name,
-            model=cvm.bestModel,
-            best_params={p.name: v for p, v in maps[best].items()},
-            cv_mean=round(float(cvm.avgMetrics[best]), 4),
-            cv_std=round(float(cvm.stdMetrics[best]), 4) if cvm.stdMetrics else float("nan"),
-            train_time=round(elapsed, 2),
-            predictions=preds,
-            test_rows=test,
-            train_rows=train,
-            candidate_metrics=[float(m) for m in cvm.avgMetrics],
-            levels=table,
-            categorical=cats,
+            name=name, model=model, best_params=draws[best.draw], cv_mean=round(best.m, 4), cv_std=round(best.s, 4),
+            train_time=round(time.time() - t0, 2), predictions=preds, test_rows=test, train_rows=train, out_of_fold=oof,
+            draw_scores=scores, best_draw=best.draw,
         )
     return results
 
 
+def out_of_fold_frame(trained: dict[str, Trained]) -> DataFrame:
+    """(model, draw, fold, row_id, label, prediction, score) of all models."""
+    out = None
+    for name, t in trained.items():
+        p = t.out_of_fold.select(F.lit(name).alias("model"), "draw", "fold", "row_id", "label", "prediction", "score")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def folds_frame(trained: dict[str, Trained]) -> DataFrame:
+    """(model, fold, score) of every model's best draw."""
+    out = None
+    for t in trained.values():
+        out = t.folds() if out is None else out.unionByName(t.folds())
+    return out
+
+
 def scored_frame(trained: dict[str, Trained]) -> DataFrame:
-    """Union of all models' test predictions as ``(model, label, prediction[, score])``."""
+    """Union of all models' test predictions as ``(row_id, model, label, prediction[, score])``."""
     out = None
     for name, t in trained.items():
         p = t.predictions.withColumn("model", F.lit(name)).withColumnRenamed("target", "label")
@@ -292,17 +302,11 @@ def times_frame(spark, trained: dict[str, Trained]) -> DataFrame:
     return spark.createDataFrame([(n, t.train_time) for n, t in trained.items()], "model string, train_time_s double")
 
 
-def cv_frame(spark, trained: dict[str, Trained]) -> DataFrame:
-    return spark.createDataFrame([(n, t.cv_mean, t.cv_std) for n, t in trained.items()],
-                                 "model string, cv_mean double, cv_std double")
-
-
 # ------------------------------------------------------------ importances
 def feature_importance(model: PipelineModel, spark) -> DataFrame:
-    """Tree importances or |coefficients| named by the assembled vector's
-    attribute metadata (one-hot slots are ``column=level``)."""
+    """Tree importances or |coefficients| by the name of each slot (one-hot slots are ``column=level``)."""
     est = model.stages[-1]
-    names = _vector_names(model)
+    names = [slot for slot, _ in slot_names(model)]
     if hasattr(est, "featureImportances"):
         vals = est.featureImportances.toArray()
     elif hasattr(est, "coefficients"):
@@ -314,47 +318,12 @@ def feature_importance(model: PipelineModel, spark) -> DataFrame:
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, vals)], "feature string, importance double")
 
 
-def _vector_names(model: PipelineModel) -> list[str]:
-    names: list[str] = []
-    num_assembler = model.stages[0]
-    numeric = list(num_assembler.getInputCols())
-    names.extend(numeric)
-    for st in model.stages:
-        if st.__class__.__name__ == "StringIndexerModel":
-            col = st.getInputCol()
-            labels = list(st.labels)
-            # The indexer adds a slot for unseen levels, which dropLast removes: k slots for k levels.
-            names.extend(f"{col}={lv}" for lv in labels)
-    return names
-
-
 # ------------------------------------------------------------------ persist
-def save_model(model: PipelineModel, path: str, levels: DataFrame | None = None, categorical: list[str] | None = None) -> None:
-    """Spark ML persistence of the best fitted pipeline, with the rare-level
-    table beside it, so that ``load_scorer`` can score rows as they come."""
+def save_model(model: PipelineModel, path: str) -> None:
+    """The best fitted pipeline, encoding included."""
     model.write().overwrite().save(path)
-    if levels is not None:
-        levels.filter(F.col("feature").isin(list(categorical or []))).write.mode("overwrite").parquet(f"{path}/{LEVELS}")
 
 
 def load_model(path: str) -> PipelineModel:
+    """A saved pipeline; it scores raw rows, rare and unseen levels as training did."""
     return PipelineModel.load(path)
-
-
-@dataclass
-class Scorer:
-    """A fitted pipeline with the level mapping that its categoricals need first."""
-
-    model: PipelineModel
-    levels: DataFrame
-    categorical: list[str]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Predictions for unmapped rows; rare and unseen levels are mapped as in training."""
-        return self.model.transform(apply_rare_levels(df, self.levels, self.categorical))
-
-
-def load_scorer(spark: SparkSession, path: str) -> Scorer:
-    model = load_model(path)
-    categorical = [st.getInputCol() for st in model.stages if isinstance(st, StringIndexerModel)]
-    return Scorer(model, spark.read.parquet(f"{path}/{LEVELS}"), categorical)

@@ -73,12 +73,14 @@ def run_analysis(raw: DataFrame, approx: bool = False, stages: dict[str, DataFra
 
 
 def run_ml(kpi: DataFrame, target: str = "high_roi", mode: str = "strict", cv_folds: int = 5,
-           n_iter: int | None = None, space: str = "reference", model_path: str | None = None) -> dict:
+           n_iter: int | None = None, space: str = "reference", model_path: str | None = None,
+           params: dict[str, list[dict]] | None = None) -> dict:
     """Features, search, evaluation, attribution and diagnostics for one target."""
     from adperf.ml.shapley import sampled_shapley
     from adperf.ml.train import (
-        cv_frame, feature_importance, save_model, scored_frame, times_frame, train_all_models,
+        TREES, feature_importance, folds_frame, out_of_fold_frame, save_model, scored_frame, times_frame, train_all_models,
     )
+    from adperf.ml.trees import tree_shap
     from adperf.operators import attribute as X
     from adperf.operators import diagnostics as D
     from adperf.operators import evaluate as E
@@ -86,30 +88,33 @@ def run_ml(kpi: DataFrame, target: str = "high_roi", mode: str = "strict", cv_fo
 
     spark = kpi.sparkSession
     prep = prepare_features(kpi, target, mode=mode)
-    trained = train_all_models(prep, cv_folds=cv_folds, n_iter=n_iter, space=space)
+    trained = train_all_models(prep, cv_folds=cv_folds, n_iter=n_iter, space=space, params=params)
     scored = materialize(scored_frame(trained))
     task = prep.task_type
     metric = "f1_score" if task == "classification" else "r2_score"
-    if task == "classification":
-        metrics = E.classification_metrics(scored).join(E.roc_auc(scored), "model", "left")
-    else:
-        metrics = E.regression_metrics(scored)
-    comparison = metrics.join(cv_frame(spark, trained), "model", "left").join(
-        times_frame(spark, trained), "model", "left"
-    )
+    folds = materialize(folds_frame(trained))
+    comparison = E.model_comparison(scored, folds, times_frame(spark, trained), task)
     best_name = E.best_model(comparison, metric).collect()[0]["best_model"]
     best = trained[best_name]
     if model_path:
-        save_model(best.model, f"{model_path}/best_model_{target}", best.levels, best.categorical)
-    # Four reports and more read the attributions: explain once.
-    shap = materialize(sampled_shapley(best.model, best.test_rows, best.train_rows, prep.numeric + prep.categorical, task=task))
+        save_model(best.model, f"{model_path}/best_model_{target}")
+    # Trees exactly, other models by sampling.  Several reports read the attributions: explain once.
+    if (task, best_name) in TREES:
+        shap = tree_shap(best.model, best.test_rows)
+    else:
+        shap = sampled_shapley(best.model, best.test_rows, best.train_rows, prep.numeric + prep.categorical, task=task)
+    shap = materialize(shap)
     importances = feature_importance(best.model, spark)
     out = {
         "comparison": comparison,
         "best_model": best_name,
+        "out_of_fold": out_of_fold_frame(trained),
+        "cv_summary": E.cv_summary(folds),
+        "cv_box": E.cv_box(folds),
         "importance": E.importance_share(importances),
         "top_importance": E.top_importance(importances),
         "attr_importance": X.importance(shap),
+        "attr_bar": X.top_features(shap, 15),
         "attr_direction": X.direction(shap),
         "attr_extremes": X.extremes(shap),
         "attr_top10": X.top_features(shap),

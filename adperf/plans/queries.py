@@ -60,26 +60,13 @@ ZSCORE_COLUMNS = [
 RARE_COLUMNS = ["campaign", "channel", "device", "campaign_channel", "channel_device", "campaign_device"]
 
 
-def zscore(train: DataFrame, cols: list[str]) -> DataFrame:
-    """M1 (DataFrame form): ``(x - mean) / std_pop`` with a broadcast stats row."""
-    st = train.agg(
-        *[F.avg(c).alias(f"mu_{c}") for c in cols], *[F.stddev_pop(c).alias(f"sd_{c}") for c in cols]
-    )
-    z = {c: npround(F.try_divide(F.col(c) - F.col(f"mu_{c}"), F.col(f"sd_{c}")), 6).alias(f"z_{c}") for c in cols}
-    return train.crossJoin(F.broadcast(st)).select("row_id", *z.values())
-
+def _zscore(kpi: DataFrame) -> DataFrame:
+    """M1: the scaler stage of the trainer, fitted on and applied to the training rows."""
+    from adperf.ml.encode import PopulationScaler
 
-def rare_categories(train: DataFrame, cols: list[str], min_frequency: int = 2) -> DataFrame:
-    """M2: category table — levels seen fewer than ``min_frequency`` times map
-    to one ``__infrequent__`` level."""
-    long = train.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        ids=[], values=cols, variableColumnName="feature", valueColumnName="value"
-    )
-    g = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    return g.select(
-        "feature", "value", F.col("n").cast("bigint").alias("n"),
-        F.when(F.col("n") >= min_frequency, F.col("value")).otherwise(F.lit("__infrequent__")).alias("level"),
-    )
+    train, out = S.train_rows(kpi), [f"z_{c}" for c in ZSCORE_COLUMNS]
+    scaled = PopulationScaler(inputCols=ZSCORE_COLUMNS, outputCols=out).fit(train).transform(train)
+    return scaled.select("row_id", *[npround(c, 6).alias(c) for c in out])
 
 
 def linear_importance(train: DataFrame) -> DataFrame:
@@ -126,41 +113,131 @@ def _score_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rare(kpi: DataFrame) -> DataFrame:
-    from adperf.operators.features import add_interactions
+    """M2: every level of the training rows and what the trainer's stage, fitted on them, makes of it."""
+    from adperf.ml.encode import RareLevels
+
+    train = FE.add_interactions(S.train_rows(kpi))
+    out = [f"_lvl_{c}" for c in RARE_COLUMNS]
+    mapped = RareLevels(inputCols=RARE_COLUMNS, outputCols=out).fit(train).transform(train)
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"), F.col(o).alias("level")) for c, o in zip(RARE_COLUMNS, out)])
+    return mapped.select(F.inline(each)).groupBy("feature", "value", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Fixed parameters of the tree models that are registered; the whole random search of them is ``run_ml``.
+FOREST = {"numTrees": 20, "maxDepth": 5, "minSamplesSplit": 50, "minInstancesPerNode": 3}
+BOOSTED = {"maxIter": 10, "maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 0.8, "minInstancesPerNode": 3}
+TREE_PARAMS = {"Random Forest": [FOREST], "Gradient Boosting": [BOOSTED]}
+
+
+def _trained(target: str, *names: str):
+    """fn(spark, sf) -> (prepared features, models): linear models by their whole search, trees with fixed parameters."""
+
+    def run(spark: SparkSession, sf: str):
+        from adperf.ml.train import train_all_models
+
+        prep = FE.prepare_features(kpi_frame(spark, sf), target, mode="strict")
+        return prep, train_all_models(prep, models=list(names) or None, params=TREE_PARAMS)
+
+    return run
 
-    return rare_categories(add_interactions(S.train_rows(kpi)), RARE_COLUMNS)
 
+def _train(target: str, name: str) -> Query:
+    """M4-M13 for one model: row counts, and what must hold for every fit.
 
-def _trained(spark: SparkSession, sf: str):
-    """(prepared features, the three classifiers after the whole search, their comparison)."""
-    from adperf.ml.train import cv_frame, scored_frame, times_frame, train_all_models
+    Its out-of-fold and test predictions must score above the constant prediction: R2 of 0, or the
+    weighted F1 of always saying the larger class.
+    """
 
-    prep = FE.prepare_features(kpi_frame(spark, sf), "high_roi", mode="strict")
-    trained = train_all_models(prep)
-    scored = scored_frame(trained)
-    comparison = (
-        E.classification_metrics(scored)
-        .join(E.roc_auc(scored), "model", "left")
-        .join(cv_frame(spark, trained), "model", "left")
-        .join(times_frame(spark, trained), "model", "left")
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        prep, trained = _trained(target, name)(spark, sf)
+        t = trained[name]
+        classify = prep.task_type == "classification"
+        bad = F.col("prediction").isNull() | F.isnan("prediction")
+        if classify:
+            bad = bad | F.col("score").isNull() | ~F.col("score").between(0, 1) | ((F.col("score") > 0.5) != (F.col("prediction") == 1)) & (F.col("score") != 0.5)
+        test = t.predictions.agg(F.count(F.lit(1)).alias("n_test"), F.sum(F.when(bad, 1).otherwise(0)).alias("bad_test"))
+        oof = t.out_of_fold.agg(
+            F.count(F.lit(1)).alias("n_out_of_fold"), F.countDistinct("draw").alias("n_draws"), F.countDistinct("fold").alias("n_folds"),
+            F.sum(F.when(bad, 1).otherwise(0)).alias("bad_out_of_fold"),
+        )
+        scored = t.predictions.select(F.lit(name).alias("model"), F.col("target").alias("label"), "prediction")
+        if classify:
+            scored = scored.withColumns({c: F.col(c).cast("int") for c in ("label", "prediction")})
+            larger = scored.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select(F.col("label").alias("guess"))
+            constant = E.classification_metrics_raw(scored.crossJoin(F.broadcast(larger)).select("model", "label", F.col("guess").alias("prediction"))).select(F.col("f1_score").alias("floor"))
+            got = E.classification_metrics_raw(scored).select(F.col("f1_score").alias("got"))
+        else:
+            constant, got = spark.range(1).select(F.lit(0.0).alias("floor")), E.regression_metrics_raw(scored).select(F.col("r2_score").alias("got"))
+        mean = F.lit(t.cv_mean)
+        one = test.crossJoin(oof).crossJoin(constant).crossJoin(got)  # one row each
+        return one.select(
+            F.lit(name).alias("model"), "n_test", "n_out_of_fold", "n_draws", "n_folds", "bad_test", "bad_out_of_fold",
+            (F.col("got") > F.col("floor")).alias("test_beats_constant"), (mean > F.col("floor")).alias("folds_beat_constant"),
+        )
+
+    return run
+
+
+RIDGE_COLUMNS, RIDGE_ALPHAS = ["spend", "clicks"], [0.5, 20.0, 3000.0]
+
+
+def _ridge_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    """M7: the fold-wise ridge fits of revenue on two scaled columns, all penalties from one Gram pass.
+
+    fold -1 stands for the fit on all training rows.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    from adperf.ml import linear
+
+    train = S.train_rows(kpi_frame(spark, sf))
+    fold = (F.instr(F.lit("0123456789abcdef"), F.substring("row_id", 9, 1)) % S.N_FOLDS).cast("int")
+    features = array_to_vector(F.array(*[F.col(c).cast("double") for c in RIDGE_COLUMNS]))
+    rows = linear.design(train.select("row_id", F.col("revenue").alias("target"), fold.alias("_fold"), features.alias("features")))
+    shift = rows.agg(F.avg("y")).collect()[0][0] or 0.0
+    fits = linear.ridge(linear.gram(rows, len(RIDGE_COLUMNS), S.N_FOLDS, shift=shift), RIDGE_ALPHAS, len(RIDGE_COLUMNS), shift)
+    out = [
+        (f if f < S.N_FOLDS else -1, a, *fits.coef[f, k].tolist(), float(fits.intercept[f, k]))
+        for f in range(S.N_FOLDS + 1) for k, a in enumerate(RIDGE_ALPHAS)
+    ]
+    names = [f"w_{c}" for c in RIDGE_COLUMNS] + ["intercept"]
+    made = spark.createDataFrame(out, "fold int, alpha double, " + ", ".join(f"{n} double" for n in names))
+    return made.select("fold", "alpha", *[npround(n, 6).alias(n) for n in names])
+
+
+def _tree_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """X2/X3 on trees: exact attributions of a forest for every test row, and how far they are from adding up."""
+    from adperf.ml.shapley import model_score
+    from adperf.ml.trees import base_value, tree_shap, trees_of, unique_ids
+
+    _, trained = _trained("high_roi", "Random Forest")(spark, sf)
+    t = trained["Random Forest"]
+    rows = materialize(unique_ids(t.test_rows))
+    shap = tree_shap(t.model, rows)
+    base = base_value(trees_of(t.model.stages[-1], spark))
+    fx = model_score(t.model, rows, "classification").select("row_id", "_f")
+    sums = shap.groupBy("row_id").agg(F.sum("shap").alias("s"), F.count(F.lit(1)).alias("n")).join(fx, "row_id")
+    return sums.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("n").alias("fewest_features"), F.max("n").alias("most_features"),
+        (F.max(F.abs(F.col("s") + base - F.col("_f"))) < 1e-9).alias("additive"),
     )
-    return prep, trained, comparison
 
 
 def _train_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Random search of the three classifiers over the reference space, test
-    metrics + CV mean / std + time per model."""
-    return _trained(spark, sf)[2]
+    """E9 over trained classifiers: test metrics, CV mean / std and time per model."""
+    from adperf.ml.train import folds_frame, scored_frame, times_frame
+
+    _, trained = _trained("high_roi")(spark, sf)
+    return E.model_comparison(scored_frame(trained), folds_frame(trained), times_frame(spark, trained))
 
 
 def _shapley(spark: SparkSession, sf: str) -> DataFrame:
-    """Sampled Shapley values of the best classifier of the search for every
-    test row."""
+    """X2/X3 of a linear model: sampled Shapley values of the logistic search's best for every test row."""
     from adperf.ml.shapley import sampled_shapley
 
-    prep, trained, comparison = _trained(spark, sf)
-    best = trained[E.best_model(comparison, "f1_score").collect()[0]["best_model"]]
-    return sampled_shapley(best.model, best.test_rows, best.train_rows, prep.numeric + prep.categorical, task="classification")
+    prep, trained = _trained("high_roi", "Logistic Regression")(spark, sf)
+    t = trained["Logistic Regression"]
+    return sampled_shapley(t.model, t.test_rows, t.train_rows, prep.numeric + prep.categorical, task="classification")
 
 
 def _shapley_linear(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,7 +325,7 @@ REGISTRY: dict[str, Query] = {
     "split_exact": _kpi(lambda d: FE.prepare_features(d, "high_roi", exact=True).frame.drop("row_id")),
     "split_hash": _kpi(lambda d: FE.prepare_features(d, "high_roi", exact=False).frame.drop("row_id")),
     # ML tables
-    "zscore": _kpi(lambda d: zscore(S.train_rows(d), ZSCORE_COLUMNS)),
+    "zscore": _kpi(_zscore),
     "rare_categories": _kpi(_rare),
     "cv_summary": _kpi(lambda d: E.cv_summary(S.fold_scores(d))),
     "importance_share": _kpi(lambda d: E.importance_share(linear_importance(S.train_rows(d)))),
@@ -277,9 +354,18 @@ REGISTRY: dict[str, Query] = {
     "correct_split": _cls(D.correct_split),
     "accuracy_by_model": _cls(D.accuracy_by_model),
     "score_order": _score_order,
-    # model training and sampled Shapley (no SQL oracle: rows / invariants only)
-    "train_compare": lambda s, sf: _train_compare(s, sf),
-    "shapley_sampled": lambda s, sf: _shapley(s, sf),
+    # model training and attribution
+    "train_logistic": _train("high_roi", "Logistic Regression"),
+    "train_ridge": _train("revenue", "Ridge Regression"),
+    "train_forest_classifier": _train("high_conversion", "Random Forest"),
+    "train_boosted_classifier": _train("high_roi", "Gradient Boosting"),
+    "train_forest_regressor": _train("revenue", "Random Forest"),
+    "train_boosted_regressor": _train("revenue", "Gradient Boosting"),
+    "ridge_coefficients": _ridge_coefficients,
+    "tree_attribution": _tree_attribution,
+    # fitted models have no SQL: rows only
+    "train_compare": _train_compare,
+    "shapley_sampled": _shapley,
     "shapley_linear": _shapley_linear,
 }
 

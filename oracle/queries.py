@@ -469,3 +469,40 @@ q("accuracy_by_model", f"SELECT model, {R('avg(CAST(label = prediction AS DOUBLE
   *_CLS_BASE)
 q("score_order", f"SELECT model, {R('f1_score', 6)} AS score, train_time_s FROM cm LEFT JOIN times USING (model)",
   *_CLS_BASE, _CM, _TIMES)
+
+
+# ------------------------------------------------------------ trained models
+def _train_sql(name: str, target: str, stratified: bool, draws: int) -> str:
+    """Row counts of the exact split; every fit must have whole, sane predictions that beat a constant."""
+    split = (
+        f"SELECT CAST(sum((n * 200000 + 999999) // 1000000) AS BIGINT) AS te, CAST(sum(n) AS BIGINT) AS n FROM ({n_rows(target, stratified)})"
+    )
+    return f"""SELECT '{name}' AS model, te AS n_test, (n - te) * {draws} AS n_out_of_fold, CAST({draws} AS BIGINT) AS n_draws,
+ CAST(5 AS BIGINT) AS n_folds, CAST(0 AS BIGINT) AS bad_test, CAST(0 AS BIGINT) AS bad_out_of_fold,
+ TRUE AS test_beats_constant, TRUE AS folds_beat_constant FROM ({split})"""
+
+
+def n_rows(target: str, stratified: bool) -> str:
+    label = {"high_roi": "roi > 0", "high_conversion": "conversions > (SELECT quantile_cont(conversions, 0.5) FROM kpi)", "revenue": "1"}[target]
+    return f"SELECT count(*) AS n FROM kpi GROUP BY {label if stratified else '1 = 1'}"
+
+
+for _n, _m, _t, _d in (
+    ("train_logistic", "Logistic Regression", "high_roi", 20), ("train_ridge", "Ridge Regression", "revenue", 20),
+    ("train_forest_classifier", "Random Forest", "high_conversion", 1), ("train_boosted_classifier", "Gradient Boosting", "high_roi", 1),
+    ("train_forest_regressor", "Random Forest", "revenue", 1), ("train_boosted_regressor", "Gradient Boosting", "revenue", 1),
+):
+    q(_n, _train_sql(_m, _t, _t != "revenue", _d))
+
+# raw columns of a high_roi model in strict mode: FEATURES_HIGH_ROI without the label's restatement
+q("tree_attribution", f"""SELECT CAST(sum((n * 200000 + 999999) // 1000000) AS BIGINT) AS n_rows, CAST({len(FEATURES_HIGH_ROI) - 1} AS BIGINT) AS fewest_features,
+ CAST({len(FEATURES_HIGH_ROI) - 1} AS BIGINT) AS most_features, TRUE AS additive FROM ({n_rows("high_roi", True)})""")
+
+# Two scaled columns: the normal equations have the diagonal n + alpha and the off-diagonal n r.
+q("ridge_coefficients", f"""SELECT fold, alpha, {R('w1 / s1', 6)} AS w_spend, {R('w2 / s2', 6)} AS w_clicks, {R('my - w1 / s1 * m1 - w2 / s2 * m2', 6)} AS intercept
+FROM (SELECT *, ((n + alpha) * c1 - n * r * c2) / ((n + alpha) ** 2 - (n * r) ** 2) AS w1, ((n + alpha) * c2 - n * r * c1) / ((n + alpha) ** 2 - (n * r) ** 2) AS w2
+      FROM (SELECT f.fold, count(*) AS n, avg(spend) AS m1, avg(clicks) AS m2, avg(revenue) AS my, stddev_pop(spend) AS s1, stddev_pop(clicks) AS s2,
+                   corr(spend, clicks) AS r, count(*) * covar_pop(spend, revenue) / stddev_pop(spend) AS c1, count(*) * covar_pop(clicks, revenue) / stddev_pop(clicks) AS c2
+            FROM (SELECT *, (instr('0123456789abcdef', substr(row_id, 9, 1)) % 5) AS fold FROM tr) t
+            JOIN (SELECT CAST(unnest([-1, 0, 1, 2, 3, 4]) AS INTEGER) AS fold) f ON t.fold <> f.fold GROUP BY f.fold)
+      CROSS JOIN (SELECT CAST(unnest([0.5, 20.0, 3000.0]) AS DOUBLE) AS alpha))""", _SPLIT)

@@ -79,15 +79,23 @@ def base_failed():
 def host_verdicts(rows: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
     """(__host, docs, failures, rate, rejected) from rows with __host and __failed; a null host is a host.
 
-    The beta prior has the mean and variance of the hosts' failure rates.  Where
-    the rates do not vary (or there is one host), the prior weighs as much as
-    an infinite sample: every host gets the common rate.
+    The beta prior has the failure rate of all documents as its mean.  Its strength comes from the
+    spread of the hosts' rates beyond what chance gives hosts of their sizes (beta-binomial moments,
+    weighted by size).  Where there is no such spread, or no host has two documents, the prior weighs as
+    much as an infinite sample: every host gets the common rate.
     """
     hosts = rows.groupBy("__host").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("__failed").cast("long")).alias("failures"))
-    prior = hosts.agg(F.avg(F.col("failures") / F.col("docs")).alias("m"), F.var_pop(F.col("failures") / F.col("docs")).alias("v"))
-    strength = F.col("m") * (1 - F.col("m")) / F.nullif(F.col("v"), F.lit(0.0)) - 1
-    weight = F.greatest(strength, F.lit(0.0))
-    rate = F.coalesce((F.col("failures") + weight * F.col("m")) / (F.col("docs") + weight), F.col("m"))
+    x, n = F.col("failures").cast("double"), F.col("docs").cast("double")
+    sums = hosts.agg(
+        F.sum(n).alias("n"), F.sum(x).alias("x"), F.sum(x * x / n).alias("s"), F.sum(n * n).alias("nn"), (F.count(F.lit(1)) - 1).alias("k")
+    ).withColumn("m", F.col("x") / F.col("n"))
+    chance = F.col("m") * (1 - F.col("m"))
+    spread = F.try_divide(F.col("s") - F.col("n") * F.col("m") * F.col("m"), chance) - F.col("k")
+    # the share of the variance that lies between hosts; null without any
+    between = F.try_divide(spread, F.greatest(F.col("n") - F.col("nn") / F.col("n") - F.col("k"), F.lit(0.0)))
+    prior = sums.select("m", F.when(between > 0, F.least(between, F.lit(1.0))).alias("between"))
+    strength = 1 / F.col("between") - 1
+    rate = F.coalesce((F.col("failures") + strength * F.col("m")) / (F.col("docs") + strength), F.col("m"))
     # the prior is one row
     return hosts.crossJoin(F.broadcast(prior)).select("__host", "docs", "failures", rate.alias("rate"), (rate > host_rate).alias("rejected"))
 

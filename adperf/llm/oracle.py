@@ -62,8 +62,9 @@ base AS (
   FROM d LEFT JOIN cov USING (doc_id)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
 hosts AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed) AS failures FROM judged GROUP BY source),
-prior AS (SELECT avg(failures / docs) AS m, var_pop(failures / docs) AS v FROM hosts),
-weighed AS (SELECT hosts.*, m, greatest(m * (1 - m) / nullif(v, 0) - 1, 0) AS k FROM hosts, prior),
+sums AS (SELECT sum(docs) AS n, sum(failures) / sum(docs) AS m, sum(failures * failures / docs) AS s, sum(docs * docs) AS nn, count(*) - 1 AS k FROM hosts),
+prior AS (SELECT m, ((s - n * m * m) / nullif(m * (1 - m), 0) - k) / nullif(greatest(n - nn / n - k, 0), 0) AS b FROM sums),
+weighed AS (SELECT hosts.*, m, CASE WHEN b > 0 THEN 1 / least(b, 1) - 1 END AS k FROM hosts, prior),
 verdict AS (SELECT source, coalesce((failures + k * m) / (docs + k), m) > 0.5 AS rejected FROM weighed)
 SELECT j.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,

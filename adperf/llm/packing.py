@@ -3,15 +3,16 @@
 Documents (longer ones in pieces of the largest length) are dealt at random into
 blocks of about ``BLOCK`` pieces, and each block is packed by itself: longest
 first, into the open bin with the least room that holds the piece.  Where no
-bin does, a new bin is opened at the permitted length whose cost per token it
-is expected to hold is least: a bin costs its length plus ``overhead``, and is
-expected to hold what is left to pack, up to its length.  At the end
-each bin takes the smallest permitted length that holds its contents.
+bin does, a new bin is opened.  For each permitted length the contents that it would get are
+foreseen from the sizes still to pack (the largest that fits, again and again); the length with the
+least cost per token foreseen is opened, where a bin costs the smallest length that holds its
+contents, plus ``overhead``.  So short lengths are opened where what is left would not fill a long
+one.  At the end each bin takes the smallest permitted length that holds its contents.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,34 @@ OVERHEAD = 64
 BLOCK = 50_000
 
 
-def least_cost(piece: int, left: int, lengths: tuple[int, ...], overhead: int) -> int:
-    """The permitted length for a new bin that begins with ``piece``; ``left`` tokens are still to pack, ``piece`` included.
+def foreseen(piece: int, room: int, sizes: list[int], count: dict[int, int]) -> int:
+    """Tokens of a bin that begins with ``piece`` and takes the largest size that fits until none does.
 
-    Of equal costs the smaller length is taken.
+    ``sizes`` are the distinct sizes still to pack, ascending, and ``count`` their numbers.
     """
-    fit = [c for c in lengths if c >= piece]
-    return min(fit, key=lambda c: ((c + overhead) / min(c, left), c))
+    total, k = piece, len(sizes)
+    room -= piece
+    while room > 0:
+        k = bisect_right(sizes, room, 0, k) - 1
+        if k < 0:
+            break
+        n = min(count[sizes[k]], room // sizes[k])
+        total += n * sizes[k]
+        room -= n * sizes[k]
+    return total
+
+
+def least_cost(piece: int, sizes: list[int], count: dict[int, int], lengths: tuple[int, ...], overhead: int) -> int:
+    """The permitted length for a new bin that begins with ``piece``; of equal costs the smaller one."""
+    best = None
+    for c in lengths:
+        if c >= piece:
+            total = foreseen(piece, c, sizes, count)
+            cost = lengths[bisect_left(lengths, total)] + overhead
+            # least cost / total, in whole numbers
+            if best is None or cost * best[1] < best[0] * total:
+                best = (cost, total, c)
+    return best[2]
 
 
 def pack_block(sizes: np.ndarray, lengths: tuple[int, ...], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,7 +68,8 @@ def pack_block(sizes: np.ndarray, lengths: tuple[int, ...], overhead: int) -> tu
     at_room: dict[int, list[int]] = {}
     used: list[int] = []
     size_of: list[int] = []
-    left = int(sizes.sum())
+    kinds, numbers = np.unique(sizes, return_counts=True)
+    to_pack, count = kinds.tolist(), dict(zip(kinds.tolist(), numbers.tolist(), strict=True))
 
     def put(b: int) -> None:
         room = size_of[b] - used[b]
@@ -58,6 +81,9 @@ def pack_block(sizes: np.ndarray, lengths: tuple[int, ...], overhead: int) -> tu
 
     for i in order.tolist():
         n = int(sizes[i])
+        count[n] -= 1
+        if not count[n]:
+            to_pack.pop()  # the largest, as the longest go first
         k = bisect_left(rooms, n)
         if k < len(rooms):
             room = rooms[k]
@@ -67,10 +93,9 @@ def pack_block(sizes: np.ndarray, lengths: tuple[int, ...], overhead: int) -> tu
         else:
             b = len(used)
             used.append(0)
-            size_of.append(least_cost(n, left, lengths, overhead))
+            size_of.append(least_cost(n, to_pack, count, lengths, overhead))
         bin_of[i], offset[i] = b, used[b]
         used[b] += n
-        left -= n
         put(b)
     final = np.array([lengths[bisect_left(lengths, u)] for u in used], np.int64)
     return bin_of, offset, final[bin_of] if len(used) else bin_of

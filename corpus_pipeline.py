@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adperf.llm import exact_dedup, host_quality, neardup, packing, pii
+from adperf.llm import exact_dedup, host_quality, neardup, packing, pii, token_store
 from adperf.llm.common import stored
 
 
@@ -36,8 +37,9 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept document's place in the packed sequences."""
-    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+    """Every kept document's place in the packed sequences, its length in tokens with the end token."""
+    lengths = token_store.token_lengths(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(lengths, id_col="id", length_col="n_tokens").withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("best_fit_packing", packed)]

@@ -9,6 +9,9 @@ cross-joined — never a global window over the data.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,32 +188,62 @@ def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson matrix, lower triangle with diagonal, long form
     ``(col_a, col_b, corr)``; absent columns skipped; NULL for a constant column.
 
-    Each pair uses the rows where both columns are present.  One pass of mergeable
-    co-moments, so the rows meet as one partial row per task.
+    Each pair uses the rows where both columns are present.  One pass: a task keeps counts,
+    means and co-moments of all pairs in arrays of columns x columns, batch by batch, and tasks
+    are merged in groups by the rule of Chan, which is stable whatever the columns' size.
     """
     cols = [c for c in (cols or CORRELATION_COLUMNS) if c in df.columns]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[: i + 1]]
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    k = len(cols)
+    groups = max(1, round(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+
+    def merged(a, b):
+        """n, mean, squares of the row's column, and products, of each (row, column) pair present together."""
+        import numpy as np
+
+        n = a[0] + b[0]
+        part = a[0] * b[0] / np.maximum(n, 1)
+        d = b[1] - a[1]
+        return np.stack([n, a[1] + d * (b[0] / np.maximum(n, 1)), a[2] + b[2] + d * d * part, a[3] + b[3] + d * d.T * part])
+
+    def partial(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) if batch.num_rows else np.zeros((0, k))
+            has = ~np.isnan(x)
+            centre = np.where(has, x, 0).sum(axis=0) / np.maximum(has.sum(axis=0), 1)
+            z, there = np.where(has, x - centre, 0), has.astype(float)
+            n = there.T @ there
+            off = z.T @ there / np.maximum(n, 1)
+            total = merged(total, np.stack([n, np.where(n > 0, centre[:, None] + off, 0), (z * z).T @ there - n * off * off, z.T @ z - n * off * off.T]))
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"grp": pa.array([task % groups], pa.int32()), "task": pa.array([task], pa.int32()), "v": [total.tobytes()]})
+
+    def merge(table):
+        import numpy as np
+        import pyarrow as pa
+
+        raw = table.column("v").to_pylist()
+        total = np.zeros((4, k, k))
+        for at in np.argsort(table.column("task").to_numpy()):
+            total = merged(total, np.frombuffer(raw[at]).reshape(4, k, k))
+        return pa.table({"grp": table.column("grp").slice(0, 1), "v": [total.tobytes()]})
 
-    def pair(a: str, b: str) -> Column:
-        spread = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b)))
-        return F.try_divide(F.covar_pop(a, b), spread)  # NULL for a constant column
-
-    row = x.agg(*[pair(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(a).alias("col_a"),
-                        F.lit(b).alias("col_b"),
-                        npround(F.col(f"p{i}"), 6).alias("corr"),
-                    )
-                    for i, (a, b) in enumerate(pairs)
-                ]
-            )
-        ).alias("s")
-    ).select("s.*")
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    parts = x.mapInArrow(partial, "grp int, task int, v binary").groupBy("grp").applyInArrow(merge, "grp int, v binary").collect()
+    total = np.zeros((4, k, k))
+    for r in sorted(parts, key=lambda r: r.grp):
+        total = merged(total, np.frombuffer(r.v).reshape(4, k, k))
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols[: i + 1]):
+            spread = math.sqrt(max(total[2, i, j], 0.0)) * math.sqrt(max(total[2, j, i], 0.0))
+            rows.append((a, b, float(total[3, i, j]) / spread if spread > 0 else None))  # NULL for a constant column
+    made = df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+    return made.select("col_a", "col_b", npround("corr", 6).alias("corr"))
 
 
 def spend_revenue_points(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adperf.functions import npround
-from adperf.operators.quantile import exact_quantiles_multi
+from adperf.operators.quantile import quantile_values
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -76,35 +76,15 @@ def describe(df: DataFrame, digits: int = 6) -> DataFrame:
         *[F.unix_date(F.col(c)).cast("double").alias(c) for c in dates],
     )
     cols = numeric + dates
-    moments = as_num.agg(
-        *[F.count(c).alias(f"c{i}") for i, c in enumerate(cols)],
-        *[F.avg(c).alias(f"a{i}") for i, c in enumerate(cols)],
-        *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)],
-        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
-        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)],
+    moments = [
+        f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for f, n in ((F.count, "c"), (F.avg, "a"), (F.stddev_samp, "s"), (F.min, "lo"), (F.max, "hi"))
+    ]
+    quartiles, row = quantile_values(as_num, cols, [0.25, 0.5, 0.75], extra=moments)
+    # one row a column
+    out = df.sparkSession.createDataFrame(
+        [(c, row[f"c{i}"], row[f"a{i}"], None if c in dates else row[f"s{i}"], row[f"lo{i}"], row[f"hi{i}"], *[quartiles[c, p] for p in (0.25, 0.5, 0.75)])
+         for i, c in enumerate(cols)],
+        "column_name string, count long, mean double, std double, min double, max double, p25 double, p50 double, p75 double",
     )
-    long_moments = moments.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column_name"),
-                        F.col(f"c{i}").cast("bigint").alias("count"),
-                        F.col(f"a{i}").alias("mean"),
-                        (F.lit(None).cast("double") if c in dates else F.col(f"s{i}")).alias("std"),
-                        F.col(f"lo{i}").alias("min"),
-                        F.col(f"hi{i}").alias("max"),
-                    )
-                    for i, c in enumerate(cols)
-                ]
-            )
-        ).alias("s")
-    ).select("s.*")
-    q = exact_quantiles_multi(as_num, cols, [0.25, 0.5, 0.75])
-    qw = q.groupBy("col").agg(
-        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in
-          [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]]
-    ).withColumnRenamed("col", "column_name")
-    out = long_moments.join(F.broadcast(qw), "column_name", "left")
     r = lambda c: npround(c, digits).alias(c)
     return out.select("column_name", "count", r("mean"), r("std"), r("min"), r("p25"), r("p50"), r("p75"), r("max"))

@@ -4,14 +4,13 @@ Spark's exact ``percentile`` / ``mode`` aggregates keep a value -> count map
 per group and merge all of them in a single final task, so a global median
 over a large table materialises every distinct value in one place.  Here:
 
-* **quantile** — pass 1 builds a bounded-size ``percentile_approx`` sketch
-  and the row count per column.  The target rank is bracketed by the sketch's
-  values at ``p - m`` and ``p + m``, where ``m`` is the smallest step of a fixed
-  ladder that leaves ``SLACK`` ranks on either side of the sketch's own error.
-  Pass 2 counts the rows below each bracket, pass 3 groups the rows inside it
-  by value (about ``12 / accuracy`` of a large column).  ``running_before`` ranks
-  the bracketed values and the exact rank(s) are interpolated linearly (pandas /
-  Spark ``percentile`` semantics).  The same steps run at every size.
+* **quantile** — one scan builds a bounded ``percentile_approx`` sketch and the row count of
+  every column.  Two of its values bracket the target ranks; ``m`` is the smallest
+  step of a fixed ladder that leaves ``SLACK`` ranks on either side beyond the sketch's own error.  Strictly
+  inside a bracket lie about ``12 / accuracy`` of the rows.  Where that may be more than ``MOST``
+  values, another scan sketches the inside of the bracket alone, and so on: each scan narrows it by
+  that factor, so the steps grow with the logarithm of the table.  At last one scan counts the rows
+  below the brackets and one groups the few values in them.
 * **mode** — ``groupBy(column, value).count()`` with map-side partial
   aggregation (hot values collapse before the shuffle), then a ``min_by`` per
   column over ``(-count, value)``: the most frequent value, smallest on ties.
@@ -19,15 +18,22 @@ over a large table materialises every distinct value in one place.  Here:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from adperf.session import materialize
+
 # Sketch accuracy: its rank error is at most rows / accuracy.
 DEFAULT_ACCURACY = 50_000
 # Ranks left between a target rank and its bracket's ends, beyond the sketch's error.
 SLACK = 4
-# Pieces in which the values of one key are ranked (a power of two).
-PIECES = 512
+# Values strictly inside a bracket that are brought together.
+MOST = 20_000
+# Rows ranked together by ``running_before``.
+PIECE_ROWS = 200_000
 
 
 def _long_values(df: DataFrame, cols: list[str], dtype: str) -> DataFrame:
@@ -46,106 +52,146 @@ def exact_quantiles(
     return exact_quantiles_multi(df, cols, [p], accuracy).select("col", "value")
 
 
-def running_before(d: DataFrame, keys: list[str], value: str, sums: dict[str, str], pieces: int = PIECES) -> DataFrame:
+def running_before(d: DataFrame, keys: list[str], value: str, sums: dict[str, str], piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Adds, for each ``name: column`` of ``sums``, the sum of ``column`` over the
     rows of the same ``keys`` with a smaller ``value`` (0 for the smallest).
 
-    ``d`` has one row per (keys, value).  Values are cut into ``pieces`` of about
-    equal row counts by a sketch, whatever their distribution, so no task ranks
-    more than a ``1 / pieces`` share (and the sketch's error) of a key's rows.  The tables of cuts and of
-    piece totals have one row per key and per (key, piece); the keys are columns,
-    probabilities or models, so both are small and broadcast.
+    ``d`` has one row per (keys, value).  It is stored in range partitions of about ``piece_rows``
+    rows, so no task ranks more whatever the size or the distribution; the totals of the
+    partitions before are added.  That table has a row per (partition, key).
     """
-    cuts = d.groupBy(*keys).agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_cuts"))
-    # Number of cuts below the value, by bisection.
-    steps = [pieces >> k for k in range(1, pieces.bit_length())]
-    at = F.aggregate(
-        F.array(*[F.lit(x) for x in steps]), F.lit(0),
-        lambda pos, step: F.when(F.get("_cuts", pos + step - 1) < F.col(value), pos + step).otherwise(pos),
-    )
-    d = d.join(F.broadcast(cuts), keys).withColumn("_piece", at).drop("_cuts")
+    d = materialize(d)
+    pieces = max(1, -(-d.count() // piece_rows))
+    d = materialize(d.repartitionByRange(pieces, *keys, value).withColumn("_piece", F.spark_partition_id()))
     totals = d.groupBy(*keys, "_piece").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     over = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_piece", *[F.coalesce(F.sum(f"_t_{n}").over(over), F.lit(0)).alias(f"_b_{n}") for n in sums])
     inner = Window.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumns({n: F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in sums.items()})
-    d = d.join(F.broadcast(totals), [*keys, "_piece"])
+    d = d.join(totals, [*keys, "_piece"])
     return d.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop("_piece", *[f"_b_{n}" for n in sums])
 
 
-def exact_quantiles_multi(
-    df: DataFrame, cols: list[str], ps: list[float], accuracy: int = DEFAULT_ACCURACY
-) -> DataFrame:
-    """Long frame ``(col, p, value)`` for every column and probability."""
-    ladder, step = [], 5.0 / accuracy
-    while step < 1.0:
-        ladder.append(step)
-        step *= 4
-    def clip(x):
-        return min(1.0, max(0.0, x))
+@dataclass
+class _Target:
+    """One quantile: its ranks, and the bracket that holds them once it is known."""
+
+    i: int
+    low: int
+    high: int
+    position: float
+    share: float | None   # before any bracket: the quantile's own
+    below: int = 0        # values up to the bracket's lower end
+    inside: int = 0       # values strictly inside
+    ends: tuple[float, float] | None = None
+    found: dict[int, float] | None = None
+
+    def wanted(self) -> list[int]:
+        return [k for k in (self.low, self.high) if k not in self.found]
+
+    def narrow(self, sketch: list[float], cuts: list[float], ladder: list[float], accuracy: int) -> float:
+        """Take new ends from a sketch of the values inside; how many may lie strictly between them."""
+        step = next((m for m in ladder if self.inside * (m - 1 / accuracy) >= SLACK), None)
+        wanted = [(k - self.below) / max(1, self.inside - 1) for k in self.wanted()] if self.share is None else [self.share]
+        self.share = None
+
+        def at(share: float, down: bool) -> float:
+            if step is None or not 0 < share < 1:
+                share = 0.0 if down else 1.0
+            place = max(k for k, c in enumerate(cuts) if c <= share) if down else min(k for k, c in enumerate(cuts) if c >= share)
+            return sketch[place]
+
+        m = step or 1.0
+        self.ends = (at(min(wanted) - m, True), at(max(wanted) + m, False))
+        return self.inside * min(1.0, max(wanted) - min(wanted) + 4 * m + 2 / accuracy)
 
+
+def quantile_values(
+    df: DataFrame, cols: list[str], ps: list[float], accuracy: int = DEFAULT_ACCURACY, extra: list[Column] | None = None, most: int = MOST,
+) -> tuple[dict[tuple[str, float], float | None], Row]:
+    """Exact quantiles by (column, p), None for a column without values, and the row of ``extra`` aggregates.
+
+    NULL and NaN are no values.  The aggregates are part of the first scan.
+    """
+    nums = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)], *([F.col(c) for c in df.columns] if extra else []))
+    ladder, m = [], 5.0 / accuracy
+    while m < 1.0:
+        ladder.append(m)
+        m *= 4
+    clip = lambda x: min(1.0, max(0.0, x))
     cuts = sorted({0.0, 1.0, *(clip(x) for p in ps for m in ladder for x in (p - m, p + m))})
-    at = {x: i for i, x in enumerate(cuts)}
-    targets = [(i, j) for i in range(len(cols)) for j in range(len(ps))]
-    nums = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
-
-    # Pass 1: one bounded sketch per column (all cut points at once) + counts.
-    sketch = nums.agg(
-        *[F.percentile_approx(f"v{i}", cuts, accuracy).alias(f"b{i}") for i in range(len(cols))],
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))],
-    )
+    first = nums.agg(
+        *[F.percentile_approx(f"v{i}", cuts, accuracy).alias(f"_b{i}") for i in range(len(cols))],
+        *[F.count(f"v{i}").alias(f"_n{i}") for i in range(len(cols))], *(extra or []),
+    ).collect()[0]
+    nums = nums.select(*[f"v{i}" for i in range(len(cols))])
+    targets: dict[tuple[str, float], _Target] = {}
+    for i, c in enumerate(cols):
+        for p in ps:
+            n = first[f"_n{i}"]
+            if n:
+                pos = (n - 1) * float(p)
+                targets[c, p] = _Target(i, math.floor(pos), math.ceil(pos), pos, float(p), inside=n, found={})
+    todo = list(targets.values())
+    wide = [t for t in todo if t.narrow(list(first[f"_b{t.i}"]), cuts, ladder, accuracy) > most]
+    while wide:
+        # inside a bracket: its rows, those up to its lower end, and a sketch around the ranks
+        shares = sorted({0.0, 1.0, *(x / 256 for x in range(257))})
+        v = {k: (F.col(f"v{t.i}"), *map(F.lit, t.ends)) for k, t in enumerate(wide)}
+        row = nums.agg(*[f for k, (x, lo, hi) in v.items() for f in (
+            F.count_if(x < lo).alias(f"l{k}"), F.count_if(x <= lo).alias(f"e{k}"), F.count_if(x <= hi).alias(f"h{k}"), F.count_if((x > lo) & (x < hi)).alias(f"n{k}"),
+            F.percentile_approx(F.when((x > lo) & (x < hi), x), shares, accuracy).alias(f"b{k}"))]).collect()[0]
+        still = []
+        for k, t in enumerate(wide):
+            lo, hi = t.ends
+            for r in t.wanted():
+                if not row[f"l{k}"] <= r < row[f"h{k}"]:
+                    raise RuntimeError("a quantile's rank lies outside its bracket")
+                if r < row[f"e{k}"]:
+                    t.found[r] = lo
+                elif r >= row[f"e{k}"] + row[f"n{k}"]:
+                    t.found[r] = hi
+            t.below, t.inside = row[f"e{k}"], row[f"n{k}"]
+            if t.wanted():
+                fine = [1.0 / 256 * 4**x for x in range(4)]
+                if t.narrow(list(row[f"b{k}"]), shares, fine, accuracy) > most:
+                    still.append(t)
+        wide = still
+    todo = [t for t in todo if t.wanted()]
+    if todo:
+        ends = [(F.col(f"v{t.i}"), *map(F.lit, t.ends)) for t in todo]
+        below = nums.agg(*[F.count_if(x < lo).alias(f"b{k}") for k, (x, lo, _) in enumerate(ends)]).collect()[0]
+        inside = [F.coalesce(x.between(lo, hi), F.lit(False)) for x, lo, hi in ends]
+        some = inside[0]
+        for x in inside[1:]:
+            some = some | x
+        hits = F.array(*[F.when(h, F.struct(F.lit(k).alias("k"), x.alias("v"))) for k, (h, (x, _, _)) in enumerate(zip(inside, ends, strict=True))])
+        counted = nums.where(some).select(F.inline(F.array_compact(hits))).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).collect()
+        by: dict[int, list] = {}
+        for r in counted:
+            by.setdefault(r.k, []).append((r.v, r.n))
+        for k, t in enumerate(todo):
+            upto = below[f"b{k}"]
+            for value, n in sorted(by.get(k, [])):
+                for r in t.wanted():
+                    if upto <= r < upto + n:
+                        t.found[r] = value
+                upto += n
+            if t.wanted():
+                raise RuntimeError("a quantile's rank lies outside its bracket")
+    out: dict[tuple[str, float], float | None] = {(c, p): None for c in cols for p in ps}
+    for key, t in targets.items():
+        lo, hi = t.found[t.low], t.found[t.high]
+        out[key] = lo if t.low == t.high else (t.high - t.position) * lo + (t.position - t.low) * hi
+    return out, first
 
-    def end(i: int, j: int, sign: int):
-        """The first step of the ladder with room for the slack, else the extreme value."""
-        chosen = F.col(f"b{i}")[at[1.0 if sign > 0 else 0.0]]
-        for m in reversed(ladder):
-            room = F.col(f"n{i}") * (m - 1.0 / accuracy) >= SLACK
-            chosen = F.when(room, F.col(f"b{i}")[at[clip(ps[j] + sign * m)]]).otherwise(chosen)
-        return chosen
-
-    bracket = sketch.select(
-        *[f"n{i}" for i in range(len(cols))],
-        *[end(i, j, -1).alias(f"lo{i}_{j}") for i, j in targets],
-        *[end(i, j, 1).alias(f"hi{i}_{j}") for i, j in targets],
-    )
 
-    # Passes 2 and 3: exact count below each bracket, values inside it.  The
-    # brackets are one row (broadcast); only rows with a value inside are unpivoted.
-    wide = nums.crossJoin(F.broadcast(bracket))
-    below = wide.agg(*[F.count_if(F.col(f"v{i}") < F.col(f"lo{i}_{j}")).alias(f"below{i}_{j}") for i, j in targets])
-    inside = {(i, j): F.coalesce(F.col(f"v{i}").between(F.col(f"lo{i}_{j}"), F.col(f"hi{i}_{j}")), F.lit(False)) for i, j in targets}
-    found = inside[targets[0]]
-    for t in targets[1:]:
-        found = found | inside[t]
-    hits = F.array(*[F.when(inside[i, j], F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("v"))) for i, j in targets])
-    cand = wide.filter(found).select(F.inline(F.array_compact(hits))).groupBy("i", "j", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = running_before(cand, ["i", "j"], "v", {"run": "cnt"})
-
-    # One row per target (columns x probabilities) -> broadcast.
-    counts = bracket.crossJoin(F.broadcast(below)).select(F.inline(F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("col"), F.lit(float(ps[j])).alias("p"),
-            F.col(f"n{i}").alias("n"), F.col(f"below{i}_{j}").alias("below"),
-        )
-        for i, j in targets
-    ])))
-    pos = (F.col("n") - 1).cast("double") * F.col("p")
-    counts = counts.withColumn("pos", pos).withColumn("k_lo", F.floor("pos")).withColumn("k_hi", F.ceil("pos"))
-    first = F.col("below") + F.col("run")
-
-    def value_at(k: str):
-        return F.max(F.when((first <= F.col(k)) & (F.col(k) < first + F.col("cnt")), F.col("v")))
-
-    picked = ranked.join(F.broadcast(counts), ["i", "j"]).groupBy("i", "j").agg(
-        value_at("k_lo").alias("v_lo"), value_at("k_hi").alias("v_hi")
-    )
-    value = F.when(F.col("k_lo") == F.col("k_hi"), F.col("v_lo")).otherwise(
-        (F.col("k_hi") - F.col("pos")) * F.col("v_lo") + (F.col("pos") - F.col("k_lo")) * F.col("v_hi")
-    )
-    # A rank outside its bracket must never pass as an empty column.
-    missed = (F.col("n") > 0) & (F.col("v_lo").isNull() | F.col("v_hi").isNull())
-    checked = F.when(missed, F.raise_error(F.lit("a quantile's rank lies outside its bracket"))).otherwise(value)
-    return counts.join(F.broadcast(picked), ["i", "j"], "left").select("col", "p", checked.cast("double").alias("value"))
+def exact_quantiles_multi(
+    df: DataFrame, cols: list[str], ps: list[float], accuracy: int = DEFAULT_ACCURACY
+) -> DataFrame:
+    """Long frame ``(col, p, value)`` for every column and probability."""
+    values, _ = quantile_values(df, cols, ps, accuracy)
+    return df.sparkSession.createDataFrame([(c, float(p), v) for (c, p), v in values.items()], "col string, p double, value double")
 
 
 def approx_quantiles(

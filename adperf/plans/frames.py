@@ -24,11 +24,14 @@ def raw_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_stages(raw: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
-    """``std`` (C1-C2) and ``fills`` (C3/C4 long form), both materialised;
+    """``std`` (C1-C2), materialised, and ``fills`` (C3/C4 long form, one row a column);
     ``imputed`` (C5) and ``clean`` (C6-C8), both lazy."""
     std = materialize(C.standardized(raw))
-    fills = materialize(C.fill_values_long(std, approx=approx))
-    imputed = C.fix_types(C.impute(std, C.fills_row(fills, std.columns)))
+    fills = C.fill_values_long(std, approx=approx)
+    rows = fills.collect()  # one row a column
+    fills = std.sparkSession.createDataFrame(rows, fills.schema)
+    values = {r.col: r.value_double if r.value_double is not None else r.value_text for r in rows}
+    imputed = C.fix_types(C.impute_values(std, values))
     return {"std": std, "fills": fills, "imputed": imputed, "clean": C.drop_invalid(imputed)}
 
 

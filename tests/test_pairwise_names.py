@@ -1,7 +1,9 @@
+import numpy as np
 import pandas as pd
 import pytest
 
-from adperf.ml.train import build_pipeline_stages, feature_importance
+from adperf.ml.encode import encoder
+from adperf.ml.train import feature_importance
 from adperf.operators.aggregate import correlation
 from adperf.session import ensure_checkpoint_dir
 
@@ -15,14 +17,29 @@ def test_correlation_uses_the_rows_where_a_pair_is_present(spark):
     assert got["clicks", "spend"] is None and got["spend", "spend"] == 1.0
 
 
+def test_correlation_is_stable_and_pairwise(spark):
+    """Large offsets lose no digits, whatever the rows' order and tasks; masks differ by pair."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 4))
+    x[:, 1] += 0.5 * x[:, 0]
+    data = pd.DataFrame(x + [1e8, -1e7, 0, 5], columns=list("abcd"))
+    data = data.mask(rng.random(data.shape) < [0, 0.3, 0.6, 0.1])
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else float(v) for v in r) for r in data.values], "a double, b double, c double, d double").repartition(7)
+    want = data.corr()
+    got = correlation(df, list("abcd")).collect()
+    assert len(got) == 10 and all(r["corr"] == pytest.approx(want.loc[r.col_a, r.col_b], abs=2e-6) for r in got)
+    assert all(r["corr"] is None for r in correlation(df.limit(0), list("abcd")).collect())
+
+
 def test_importances_carry_the_names_of_their_slots(spark):
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.regression import LinearRegression
 
     # the label is 10 for y of c1 and 3 for q of c2, so their coefficients stand out
     rows = [(float(i % 7), a, b, 10.0 * (a == "y") + 3.0 * (b == "q")) for i, (a, b) in enumerate([("x", "p"), ("y", "q"), ("x", "q"), ("y", "p"), ("z", "r")] * 12)]
     df = spark.createDataFrame(rows, "n1 double, c1 string, c2 string, label double")
-    model = Pipeline(stages=build_pipeline_stages(["n1"], ["c1", "c2"], LinearRegression(labelCol="label", regParam=1e-6))).fit(df)
+    enc = encoder(["n1"], ["c1", "c2"]).fit(df)
+    model = PipelineModel([*enc.stages, LinearRegression(labelCol="label", regParam=1e-6).fit(enc.transform(df))])
     slots = model.transform(df).schema["features"].metadata["ml_attr"]["attrs"]
     names = [r.feature for r in feature_importance(model, spark).collect()]
     assert len(names) == sum(map(len, slots.values())) == 7

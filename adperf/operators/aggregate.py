@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adperf.functions import npround, safe_ratio
+from adperf.operators.rollup import MEANS, SUMS, Rollups, grouped, month_start, week_start  # noqa: F401
 
 
 def _sum(c: str):
@@ -23,28 +24,16 @@ def _sum(c: str):
     return F.coalesce(F.sum(c), F.lit(0))
 
 
-def key_rollup(df: DataFrame, key: str) -> DataFrame:
-    """All per-key sums / means / counts used by the A*, I* reports (unrounded)."""
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        _sum("impressions").alias("total_impressions"),
-        _sum("clicks").alias("total_clicks"),
-        _sum("spend").alias("total_spend"),
-        _sum("conversions").alias("total_conversions"),
-        _sum("revenue").alias("total_revenue"),
-        F.avg("ctr").alias("avg_ctr"),
-        F.avg("cpc").alias("avg_cpc"),
-        F.avg("conversion_rate").alias("avg_conversion_rate"),
-        F.avg("roas").alias("avg_roas"),
-        F.avg("roi").alias("avg_roi"),
-        F.avg("bounce_rate").alias("avg_bounce_rate"),
-        F.count("impressions").alias("record_count"),
-        F.count("spend").alias("spend_count"),
-    )
+def key_rollup(df: DataFrame | Rollups, key: str) -> DataFrame:
+    """All per-key sums / means / counts of the A* reports (unrounded)."""
+    zero = lambda c: F.coalesce(f"sum_{c}", F.lit(0)).alias(f"total_{c}")
+    rows = grouped(df, key).filter(F.col(key).isNotNull())
+    return rows.select(key, *[zero(c) for c in SUMS], *[f"avg_{c}" for c in MEANS], F.col("n_impressions").alias("record_count"))
 
 
-def summarize_by(df: DataFrame, key: str, rollup: DataFrame | None = None) -> DataFrame:
+def summarize_by(df: DataFrame | Rollups, key: str) -> DataFrame:
     """A1: 5 sums, 6 means, record count per key; 4 dp; total_spend desc."""
-    r = rollup if rollup is not None else key_rollup(df, key)
+    r = key_rollup(df, key)
     return r.select(
         F.col(key),
         F.col("total_impressions").cast("bigint").alias("total_impressions"),
@@ -58,21 +47,15 @@ def summarize_by(df: DataFrame, key: str, rollup: DataFrame | None = None) -> Da
     ).orderBy(F.desc("total_spend"), F.asc(key))
 
 
-def overall_summary(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """A2 + A12: one row of 13 headline values."""
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
-    t = df.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.min("date").alias("dmin"),
-        F.max("date").alias("dmax"),
-        _sum("impressions").alias("imp"),
-        _sum("clicks").alias("clk"),
-        _sum("spend").alias("spd"),
-        _sum("conversions").alias("conv"),
-        _sum("revenue").alias("rev"),
-        distinct("campaign").alias("unique_campaigns"),
-        distinct("channel").alias("unique_channels"),
+def overall_summary(df: DataFrame | Rollups) -> DataFrame:
+    """A2 + A12: one row of 13 headline values; the distinct counts are those of the rollups' rows."""
+    zero = lambda c, to: F.coalesce(f"sum_{c}", F.lit(0)).alias(to)
+    t = grouped(df).select(
+        F.col("n_rows").alias("total_records"), F.col("first_date").alias("dmin"), F.col("last_date").alias("dmax"),
+        *[zero(c, to) for c, to in (("impressions", "imp"), ("clicks", "clk"), ("spend", "spd"), ("conversions", "conv"), ("revenue", "rev"))],
     )
+    for key in ("campaign", "channel"):
+        t = t.crossJoin(F.broadcast(grouped(df, key).agg(F.count(key).alias(f"unique_{key}s"))))
     return t.select(
         F.col("total_records").cast("bigint").alias("total_records"),
         F.concat_ws(" to ", F.col("dmin").cast("string"), F.col("dmax").cast("string")).alias("date_range"),
@@ -90,9 +73,9 @@ def overall_summary(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     )
 
 
-def campaign_spend_revenue(df: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
+def campaign_spend_revenue(df: DataFrame | Rollups) -> DataFrame:
     """A3: spend and revenue per campaign, revenue ascending."""
-    r = rollup if rollup is not None else key_rollup(df, "campaign")
+    r = key_rollup(df, "campaign")
     return r.select(
         "campaign",
         npround("total_spend", 4).alias("total_spend"),
@@ -100,12 +83,14 @@ def campaign_spend_revenue(df: DataFrame, rollup: DataFrame | None = None) -> Da
     ).orderBy("total_revenue", "campaign")
 
 
-def channel_share(df: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
+def channel_share(df: DataFrame | Rollups) -> DataFrame:
     """A4: spend and revenue per channel with their share of the total (%).
 
     The totals are a one-row global aggregate (broadcast cross join)."""
-    r = rollup if rollup is not None else key_rollup(df, "channel")
-    totals = df.agg(_sum("spend").alias("all_spend"), _sum("revenue").alias("all_revenue"))
+    g = grouped(df, "channel")
+    # the totals of all groups, the one without a channel included
+    totals = g.agg(_sum("sum_spend").alias("all_spend"), _sum("sum_revenue").alias("all_revenue"))
+    r = g.where("channel IS NOT NULL").select("channel", *[F.coalesce(f"sum_{c}", F.lit(0)).alias(f"total_{c}") for c in ("spend", "revenue")])
     return (
         r.crossJoin(F.broadcast(totals))
         .select(
@@ -119,62 +104,37 @@ def channel_share(df: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
     )
 
 
-def device_means(df: DataFrame) -> DataFrame:
+def device_means(df: DataFrame | Rollups) -> DataFrame:
     """A5: mean ctr, conversion rate and ROAS per device."""
-    return df.groupBy("device").agg(
-        npround(F.avg("ctr"), 6).alias("avg_ctr"),
-        npround(F.avg("conversion_rate"), 6).alias("avg_conversion_rate"),
-        npround(F.avg("roas"), 6).alias("avg_roas"),
-    ).orderBy("device")
+    return grouped(df, "device").select("device", *[npround(c, 6).alias(c) for c in ("avg_ctr", "avg_conversion_rate", "avg_roas")]).orderBy("device")
 
 
-def roi_by_key(df: DataFrame, keys: tuple[str, ...] = ("campaign", "channel")) -> DataFrame:
+def roi_by_key(df: DataFrame | Rollups, keys: tuple[str, ...] = ("campaign", "channel")) -> DataFrame:
     """Mean ROI per campaign and per channel, ascending, with a sign flag."""
-    parts = []
-    for k in keys:
-        parts.append(
-            df.groupBy(k).agg(F.avg("roi").alias("m")).select(
-                F.lit(k).alias("dimension"),
-                F.col(k).alias("key"),
-                npround("m", 6).alias("avg_roi"),
-                (F.col("m") >= 0).cast("bigint").alias("is_non_negative"),
-            )
+    parts = [
+        grouped(df, k).select(
+            F.lit(k).alias("dimension"), F.col(k).alias("key"), npround("avg_roi", 6).alias("avg_roi"), (F.col("avg_roi") >= 0).cast("bigint").alias("is_non_negative")
         )
+        for k in keys
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.orderBy("dimension", "avg_roi", "key")
 
 
-def week_start(c: str = "date"):
-    """Monday of the week (Spark's ``date_trunc('week')`` starts on Monday)."""
-    return F.date_trunc("week", F.col(c)).cast("date")
-
-
-def month_start(c: str = "date"):
-    return F.date_trunc("month", F.col(c)).cast("date")
-
-
-def weekly_ctr(df: DataFrame) -> DataFrame:
+def weekly_ctr(df: DataFrame | Rollups) -> DataFrame:
     """Weekly mean CTR per channel, in percent."""
-    return (
-        df.groupBy("channel", week_start().alias("week"))
-        .agg(npround(F.avg("ctr") * 100, 10).alias("ctr_pct"))
-        .orderBy("channel", "week")
-    )
+    return grouped(df, "channel", "week").select("channel", "week", npround(F.col("avg_ctr") * 100, 10).alias("ctr_pct")).orderBy("channel", "week")
 
 
-def monthly_trend(df: DataFrame) -> DataFrame:
+def monthly_trend(df: DataFrame | Rollups) -> DataFrame:
     """Monthly spend, revenue and conversions."""
-    return (
-        df.groupBy(month_start().alias("month"))
-        .agg(
-            npround(_sum("spend"), 4).alias("total_spend"),
-            npround(_sum("revenue"), 4).alias("total_revenue"),
-            _sum("conversions").cast("bigint").alias("total_conversions"),
-        )
-        .orderBy("month")
-    )
+    zero = lambda c: F.coalesce(f"sum_{c}", F.lit(0))
+    return grouped(df, "month").select(
+        "month", npround(zero("spend"), 4).alias("total_spend"), npround(zero("revenue"), 4).alias("total_revenue"),
+        zero("conversions").cast("bigint").alias("total_conversions"),
+    ).orderBy("month")
 
 
 # The columns of the correlation matrix, in display order.

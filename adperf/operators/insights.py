@@ -1,6 +1,6 @@
 """Business insights I1-I14.
 
-Per-key statistics come from one grouped aggregate per key.  Anything that
+Per-key statistics come from the rollups of ``rollup.py``.  Anything that
 needs a value across groups (a maximum, a total, a best row) is a one-row
 aggregate over the grouped frame (broadcast cross join) or a top-1
 (``orderBy().limit(1)``, each task keeps one row) — never a global window.
@@ -13,6 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adperf.functions import npround, safe_ratio
+from adperf.operators.rollup import DAYS, SUMS, Rollups, grouped, rollups
+
+
+def _totals(df: DataFrame | Rollups, key: str) -> DataFrame:
+    """The rollup by ``key`` under the names of these reports."""
+    return grouped(df, key).withColumnsRenamed({f"sum_{c}": f"total_{c}" for c in SUMS} | {"n_spend": "count"})
+
+
+def _day():
+    return F.get(F.array(*map(F.lit, DAYS)), F.col("weekday_index"))
 
 
 def _top1(df: DataFrame, *order) -> DataFrame:
@@ -20,19 +30,10 @@ def _top1(df: DataFrame, *order) -> DataFrame:
 
 
 # ------------------------------------------------------------------ channels
-def channel_stats(df: DataFrame) -> DataFrame:
+def channel_stats(df: DataFrame | Rollups) -> DataFrame:
     """Channel sums / means, actual ROAS, profit, efficiency band,
     sorted by mean ROAS descending."""
-    g = df.groupBy("channel").agg(
-        F.sum("spend").alias("total_spend"),
-        F.sum("revenue").alias("total_revenue"),
-        F.sum("clicks").alias("total_clicks"),
-        F.sum("conversions").alias("total_conversions"),
-        F.avg("ctr").alias("avg_ctr"),
-        F.avg("cpc").alias("avg_cpc"),
-        F.avg("roas").alias("avg_roas"),
-        F.count("spend").alias("count"),
-    )
+    g = _totals(df, "channel")
     roas_actual = npround(safe_ratio("total_revenue", "total_spend"), 4)
     profit = npround(F.col("total_revenue") - F.col("total_spend"), 2)
     return (
@@ -59,13 +60,13 @@ def channel_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def channel_efficiency(df: DataFrame) -> DataFrame:
+def channel_efficiency(df: DataFrame | Rollups) -> DataFrame:
     """I1-I3 report (mean ROAS rounded for display)."""
     s = channel_stats(df)
     return s.withColumn("avg_roas", npround("avg_roas", 6)).orderBy(F.desc("avg_roas"), "channel")
 
 
-def channel_extremes(df: DataFrame) -> DataFrame:
+def channel_extremes(df: DataFrame | Rollups) -> DataFrame:
     """I4: best / worst channel by *mean* ROAS, reporting their *actual* ROAS
     (2 dp)."""
     s = channel_stats(df)
@@ -79,18 +80,11 @@ def channel_extremes(df: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- campaigns
-def campaign_scores(df: DataFrame) -> DataFrame:
+def campaign_scores(df: DataFrame | Rollups) -> DataFrame:
     """Per-campaign means normalised by their maximum over campaigns,
     efficiency score = 0.2 ctr + 0.3 conversion + 0.5 roas (4 dp), best
     first.  A non-positive maximum gives a normalised value of 0."""
-    g = df.groupBy("campaign").agg(
-        F.sum("spend").alias("total_spend"),
-        F.sum("revenue").alias("total_revenue"),
-        F.sum("conversions").alias("total_conversions"),
-        F.avg("ctr").alias("avg_ctr"),
-        F.avg("conversion_rate").alias("avg_conversion_rate"),
-        F.avg("roas").alias("avg_roas"),
-    )
+    g = _totals(df, "campaign")
     means = ["avg_ctr", "avg_conversion_rate", "avg_roas"]
     mx = g.agg(*[F.max(c).alias(f"max_{c}") for c in means])
     j = g.crossJoin(F.broadcast(mx))
@@ -113,7 +107,7 @@ def campaign_scores(df: DataFrame) -> DataFrame:
     ).orderBy(F.desc("efficiency_score"), "campaign")
 
 
-def campaign_profit(df: DataFrame) -> DataFrame:
+def campaign_profit(df: DataFrame | Rollups) -> DataFrame:
     """Profit per campaign and the top campaign (highest efficiency score)."""
     s = campaign_scores(df)
     top = _top1(s, F.desc("efficiency_score"), F.asc("campaign")).select(F.col("campaign").alias("top"))
@@ -131,15 +125,13 @@ def campaign_profit(df: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------------- budget
-def budget_allocation(df: DataFrame) -> DataFrame:
+def budget_allocation(df: DataFrame | Rollups) -> DataFrame:
     """ROAS-weighted budget reallocation per channel.
 
     Rounding happens in sequence on already-rounded values, as in the
     reference: roas (4 dp) -> current / recommended (1 dp) -> shift (1 dp) ->
     amount (0 dp)."""
-    g = df.groupBy("channel").agg(
-        F.sum("spend").alias("total_spend"), F.sum("revenue").alias("total_revenue")
-    )
+    g = _totals(df, "channel").select("channel", "total_spend", "total_revenue")
     g = g.withColumn("roas", npround(safe_ratio("total_revenue", "total_spend"), 4))
     tot = g.agg(
         F.sum("total_spend").alias("total_budget"),
@@ -175,17 +167,9 @@ def budget_allocation(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- devices
-def device_stats(df: DataFrame) -> DataFrame:
+def device_stats(df: DataFrame | Rollups) -> DataFrame:
     """Device sums, means, count and actual ROAS; mean ROAS descending."""
-    g = df.groupBy("device").agg(
-        F.sum("spend").alias("total_spend"),
-        F.sum("revenue").alias("total_revenue"),
-        F.avg("ctr").alias("avg_ctr"),
-        F.avg("conversion_rate").alias("avg_conversion_rate"),
-        F.avg("roas").alias("avg_roas"),
-        F.avg("bounce_rate").alias("avg_bounce"),
-        F.count("spend").alias("count"),
-    )
+    g = _totals(df, "device")
     return g.select(
         "device",
         npround("total_spend", 4).alias("total_spend"),
@@ -193,61 +177,54 @@ def device_stats(df: DataFrame) -> DataFrame:
         npround("avg_ctr", 6).alias("avg_ctr"),
         npround("avg_conversion_rate", 6).alias("avg_conversion_rate"),
         npround("avg_roas", 6).alias("avg_roas"),
-        npround("avg_bounce", 6).alias("avg_bounce"),
+        npround("avg_bounce_rate", 6).alias("avg_bounce"),
         F.col("count").cast("bigint").alias("count"),
         npround(safe_ratio("total_revenue", "total_spend"), 4).alias("roas_actual"),
     ).orderBy(F.desc("avg_roas"), "device")
 
 
-def best_device(df: DataFrame) -> DataFrame:
+def best_device(df: DataFrame | Rollups) -> DataFrame:
     """Device with the highest mean ROAS."""
-    g = df.groupBy("device").agg(
-        F.avg("roas").alias("avg_roas"), F.sum("spend").alias("s"), F.sum("revenue").alias("r")
-    )
-    return _top1(g, F.desc("avg_roas"), F.asc("device")).select(
+    return _top1(_totals(df, "device"), F.desc("avg_roas"), F.asc("device")).select(
         F.col("device").alias("best_device"),
-        npround(safe_ratio("r", "s"), 4).alias("roas_actual"),
+        npround(safe_ratio("total_revenue", "total_spend"), 4).alias("roas_actual"),
     )
 
 
 # ---------------------------------------------------------------------- time
-def weekday_stats(df: DataFrame) -> DataFrame:
+def weekday_stats(df: DataFrame | Rollups) -> DataFrame:
     """Mean ROAS, mean CTR and conversions per weekday, Monday first;
     absent days are simply missing."""
-    if "date" not in df.columns:
+    if isinstance(df, DataFrame) and "date" not in df.columns:
         return df.sparkSession.createDataFrame(
             [], "weekday string, weekday_index bigint, avg_roas double, avg_ctr double, total_conversions bigint"
         )
-    g = df.groupBy(F.weekday("date").alias("wd")).agg(
-        F.first(F.date_format("date", "EEEE")).alias("weekday"),
-        F.avg("roas").alias("avg_roas"),
-        F.avg("ctr").alias("avg_ctr"),
-        F.sum("conversions").alias("total_conversions"),
-    )
+    g = _totals(df, "weekday_index")
     return g.select(
-        "weekday",
-        F.col("wd").cast("bigint").alias("weekday_index"),
+        _day().alias("weekday"),
+        F.col("weekday_index").cast("bigint").alias("weekday_index"),
         npround("avg_roas", 6).alias("avg_roas"),
         npround("avg_ctr", 6).alias("avg_ctr"),
         F.col("total_conversions").cast("bigint").alias("total_conversions"),
     ).orderBy("weekday_index")
 
 
-def best_weekday(df: DataFrame) -> DataFrame:
+def best_weekday(df: DataFrame | Rollups) -> DataFrame:
     """Weekday with the highest mean ROAS (earlier weekday on ties)."""
-    g = df.groupBy(F.weekday("date").alias("wd")).agg(
-        F.first(F.date_format("date", "EEEE")).alias("weekday"), F.avg("roas").alias("avg_roas")
-    )
-    return _top1(g, F.desc("avg_roas"), F.asc("wd")).select(
-        F.col("weekday").alias("best_day"), npround("avg_roas", 6).alias("avg_roas")
+    return _top1(_totals(df, "weekday_index"), F.desc("avg_roas"), F.asc("weekday_index")).select(
+        _day().alias("best_day"), npround("avg_roas", 6).alias("avg_roas")
     )
 
 
 # ----------------------------------------------------------------- summary
-def executive_summary(df: DataFrame) -> DataFrame:
+def executive_summary(df: DataFrame | Rollups) -> DataFrame:
     """One row — totals, net profit, overall ROI, best / worst channel,
-    top campaign, largest increase / decrease channel, best weekday."""
-    totals = df.agg(F.sum("spend").alias("s"), F.sum("revenue").alias("r")).select(
+    top campaign, largest increase / decrease channel, best weekday.
+
+    A table is scanned once, for the rollups that all parts read."""
+    if isinstance(df, DataFrame):
+        df = rollups(df)
+    totals = grouped(df).select(F.col("sum_spend").alias("s"), F.col("sum_revenue").alias("r")).select(
         npround("s", 2).alias("total_spend"),
         npround("r", 2).alias("total_revenue"),
         npround(F.col("r") - F.col("s"), 2).alias("net_profit"),

@@ -19,6 +19,7 @@ from adperf.operators import clean as C
 from adperf.operators import insights as I
 from adperf.operators import profile as P
 from adperf.operators.kpi import compute_kpis
+from adperf.operators.rollup import rollups
 from adperf.session import materialize
 
 
@@ -39,36 +40,37 @@ def run_analysis(raw: DataFrame, approx: bool = False, stages: dict[str, DataFra
         raw = materialize(raw)
         stages = build_clean_stages(raw, approx=approx)
     kpi = stages["kpi"]
-    rollups = {k: materialize(A.key_rollup(kpi, k)) for k in ("campaign", "channel", "device")}
+    # one scan for all grouped reports
+    r = rollups(kpi)
     return {
         "profile_shape": P.shape(raw),
         "profile_missing": P.missing(raw),
         "profile_duplicates": P.duplicates(raw, stages["std"]),
         "profile_describe": P.describe(raw),
         "clean_report": C.cleaning_report(raw, approx=approx, std=stages["std"], fills=stages["fills"], clean=kpi),
-        "overall_summary": A.overall_summary(kpi),
-        "summary_by_campaign": A.summarize_by(kpi, "campaign", rollups["campaign"]),
-        "summary_by_channel": A.summarize_by(kpi, "channel", rollups["channel"]),
-        "summary_by_device": A.summarize_by(kpi, "device", rollups["device"]),
-        "campaign_spend_revenue": A.campaign_spend_revenue(kpi, rollups["campaign"]),
-        "channel_share": A.channel_share(kpi, rollups["channel"]),
-        "device_means": A.device_means(kpi),
-        "roi_by_key": A.roi_by_key(kpi),
-        "weekly_ctr": A.weekly_ctr(kpi),
-        "monthly_trend": A.monthly_trend(kpi),
+        "overall_summary": A.overall_summary(r),
+        "summary_by_campaign": A.summarize_by(r, "campaign"),
+        "summary_by_channel": A.summarize_by(r, "channel"),
+        "summary_by_device": A.summarize_by(r, "device"),
+        "campaign_spend_revenue": A.campaign_spend_revenue(r),
+        "channel_share": A.channel_share(r),
+        "device_means": A.device_means(r),
+        "roi_by_key": A.roi_by_key(r),
+        "weekly_ctr": A.weekly_ctr(r),
+        "monthly_trend": A.monthly_trend(r),
         "correlation": A.correlation(kpi),
-        "channel_efficiency": I.channel_efficiency(kpi),
-        "channel_extremes": I.channel_extremes(kpi),
-        "campaign_score": I.campaign_scores(kpi),
-        "campaign_profit": I.campaign_profit(kpi),
-        "budget": I.budget_allocation(kpi),
-        "best_device": I.best_device(kpi),
-        "best_weekday": I.best_weekday(kpi),
+        "channel_efficiency": I.channel_efficiency(r),
+        "channel_extremes": I.channel_extremes(r),
+        "campaign_score": I.campaign_scores(r),
+        "campaign_profit": I.campaign_profit(r),
+        "budget": I.budget_allocation(r),
+        "best_device": I.best_device(r),
+        "best_weekday": I.best_weekday(r),
         "spend_revenue_points": A.spend_revenue_points(kpi),
         "distinct_values": A.distinct_values(kpi),
-        "device_stats": I.device_stats(kpi),
-        "weekday_stats": I.weekday_stats(kpi),
-        "executive_summary": I.executive_summary(kpi),
+        "device_stats": I.device_stats(r),
+        "weekday_stats": I.weekday_stats(r),
+        "executive_summary": I.executive_summary(r),
     }
 
 

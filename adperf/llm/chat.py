@@ -27,9 +27,32 @@ TYPES = {
 }
 
 
+#: Words of a schema that are checked, and those that say nothing about a value.
+KNOWN = {"type", "enum", "minimum", "maximum", "minLength", "maxLength", "items", "properties", "required", "additionalProperties"}
+NOTES = {"title", "description", "default", "examples", "$schema", "$comment"}
+
+
+def check_schema(schema: dict, at: str = "$") -> None:
+    """Refuse a schema with words that :func:`problems` does not check."""
+    unknown = sorted(set(schema) - KNOWN - NOTES)
+    if unknown or not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at}: no check of {', '.join(unknown) or 'additionalProperties with a schema'}")
+    kinds = schema.get("type", [])
+    for k in [kinds] if isinstance(kinds, str) else kinds:
+        if k not in TYPES:
+            raise ValueError(f"{at}: no type {k}")
+    for k, v in schema.get("properties", {}).items():
+        check_schema(v, f"{at}.{k}")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
+
+
 def _number(v: int | float) -> str:
     if isinstance(v, int):
-        return str(v)
+        # the text of the equal float, where there is one and it would be written with a power
+        if abs(v) < 10**21 or abs(v) > 2**1023 or int(float(v)) != v:
+            return str(v)
+        v = float(v)
     if not math.isfinite(v):
         raise ValueError("not a finite number")
     if v == int(v) and abs(v) < 1e21:
@@ -82,7 +105,8 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     if kinds and not any(TYPES[k](value) for k in kinds):
         return [f"{at}: not of type {'/'.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    # by canonical text: true is not 1
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: not a listed value")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         out += [f"{at}: below minimum"] * (value < schema.get("minimum", value)) + [f"{at}: above maximum"] * (value > schema.get("maximum", value))
@@ -105,25 +129,46 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level) of the distinct calls; null for calls on a cycle or behind one.
 
-    Dependencies on unknown calls do not count.  There are as many rounds as the
-    longest chain has calls, each of a few joins on identifiers.
+    Dependencies on unknown calls do not count.  Runs of calls with one dependency
+    each are crossed by doubling: every such call knows a call further up and the
+    distance, and takes over that one's.  Only calls with several dependencies are ordered in
+    rounds, so a chain of n calls costs about log n joins.
     """
     nodes = stored(calls.select("call_id").where("call_id is not null").distinct())
     edges = calls.select(F.col("call_id").alias("child"), F.explode("depends_on").alias("parent")).where("child is not null").distinct()
     edges = stored(edges.join(nodes.withColumnRenamed("call_id", "parent"), "parent", "left_semi").select("child", "parent"))
-    ready = stored(nodes.join(edges.select(F.col("child").alias("call_id")), "call_id", "left_anti").withColumn("level", F.lit(0)))
-    done, level = ready, 0
+    only = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("up")).where("n = 1")
+    # (child, up, far): up is reached after far steps
+    jumps, rounds = stored(only.select("child", "up", F.lit(1).cast("long").alias("far"))), 0
+    limit = max(1, jumps.count()).bit_length() + 1
+    while rounds < limit:  # what is still on its way then runs in a cycle
+        rounds += 1
+        further = jumps.select(F.col("child").alias("up"), F.col("up").alias("top"), F.col("far").alias("more"))
+        if jumps.join(further, "up", "left_semi").isEmpty():
+            break
+        # distances are no longer needed on a cycle, where they would outgrow their type
+        jumps = stored(jumps.join(further, "up", "left").select("child", F.coalesce("top", "up").alias("up"), F.least(F.col("far") + F.coalesce("more", F.lit(0)), F.lit(1 << 40)).alias("far")))
+    cyclic = jumps.join(jumps.select(F.col("child").alias("up")), "up", "left_semi").select("child")
+    jumps = stored(jumps.join(cyclic, "child", "left_anti"))
+    # dependencies of the calls with several of them, moved up to calls without just one
+    several = edges.join(only, "child", "left_anti")
+    moved = several.join(jumps.select(F.col("child").alias("parent"), "up", "far"), "parent", "left")
+    left = stored(moved.select("child", F.coalesce("up", "parent").alias("parent"), (F.coalesce("far", F.lit(0)) + 1).alias("far")))
+    ready = stored(nodes.join(edges.select(F.col("child").alias("call_id")), "call_id", "left_anti").withColumn("level", F.lit(0).cast("long")))
+    done, reached = ready, None
     while True:
-        level += 1
-        rest = stored(edges.join(ready.select(F.col("call_id").alias("parent")), "parent", "left_anti"))
-        ready = stored(
-            edges.select(F.col("child").alias("call_id")).distinct()
-            .join(rest.select(F.col("child").alias("call_id")), "call_id", "left_anti").withColumn("level", F.lit(level))
-        )
+        known = ready.select(F.col("call_id").alias("parent"), "level")
+        came = left.join(known, "parent").select("child", (F.col("level") + F.col("far")).alias("level"))
+        reached = came if reached is None else came.unionByName(reached)
+        left = stored(left.join(known, "parent", "left_anti"))
+        reached = stored(reached.groupBy("child").agg(F.max("level").alias("level")))
+        ready = stored(reached.join(left.select("child").distinct(), "child", "left_anti").withColumnRenamed("child", "call_id"))
         if ready.isEmpty():
             break
-        done, edges = done.unionByName(ready), rest
-    return nodes.join(done, "call_id", "left")
+        reached = reached.join(left.select("child").distinct(), "child", "left_semi")
+        done = done.unionByName(ready)
+    along = jumps.join(done.select(F.col("call_id").alias("up"), "level"), "up").select(F.col("child").alias("call_id"), (F.col("level") + F.col("far")).alias("level"))
+    return nodes.join(done.unionByName(along), "call_id", "left").select("call_id", F.col("level").cast("int").alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -134,11 +179,14 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     (name -> schema) is a configuration and bounded as such.  ``message`` is the
     canonical JSON object of arguments, call_id, name and result (null without
     one; of several results the smallest content); arguments that are no JSON object
-    stay as their text.  ``n_missing`` counts dependencies that are no calls.  A
+    stay as their text, and so do those with an escape of half a character pair, which
+    no text can hold.  A schema with words that are not checked is refused.  ``n_missing`` counts dependencies that are no calls.  A
     null call_id links with nothing and has level 0; repeated calls each give a row;
     an unknown name is an error; an empty table gives no rows.  Other columns of
     either table are not read.
     """
+    for schema in schemas.values():
+        check_schema(schema)
     calls = calls.select("conv_id", "call_id", "name", "arguments", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
     calls = stored(calls)
     level = levels(calls)
@@ -162,7 +210,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
                 try:
                     value = parse(text)
                     shown = canonical(value)
+                    shown.encode()
                     bad = problems(value, schemas[name]) if name in schemas else ["unknown tool"]
+                except UnicodeEncodeError:
+                    shown, bad = canonical(text), ["arguments hold half a character pair"]
                 except (ValueError, RecursionError):
                     value, shown, bad = text, canonical(text), ["arguments are not JSON"]
                 body = canonical({"call_id": call_id, "name": name, "result": result})

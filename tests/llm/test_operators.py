@@ -377,6 +377,42 @@ def test_tool_calls(spark):
     assert all(json.loads(r.message) for r in rows)
 
 
+def test_levels_of_long_chains_forks_and_cycles(spark):
+    """Levels against a plain longest path; a chain of 1,000 calls takes about as many joins as one of 1,000 has bits."""
+    rnd = random.Random(3)
+    parents = {f"n{k}": [f"n{k - 1}"] if k else [] for k in range(1000)}
+    parents |= {f"m{k}": [f"m{j}" for j in {rnd.randrange(k) for _ in range(rnd.choice((1, 1, 1, 3)))}] if k else ["unknown"] for k in range(80)}
+    parents |= {f"c{k}": [f"c{(k + 1) % 5}"] for k in range(5)} | {"behind": ["c0"], "beside": ["c1", "n7"], "after": ["beside"], "self": ["self"], "joined": ["n999", "m5", "zz"]}
+    calls = spark.createDataFrame([(k, v + v[:1]) for k, v in parents.items()] + [(None, ["n1"]), ("n5", ["n4"])], "call_id string, depends_on array<string>")
+    level = {}
+
+    def depth(k, on=()):
+        if k in on:
+            return None
+        if k not in level:
+            of = [depth(p, (*on, k)) for p in parents[k] if p in parents]
+            level[k] = None if None in of else 1 + max(of, default=-1)
+        return level[k]
+
+    import sys
+
+    sys.setrecursionlimit(10_000)
+    assert {r.call_id: r.level for r in chat.levels(calls).collect()} == {k: depth(k) for k in parents}
+
+
+def test_tool_calls_odd_arguments(spark):
+    texts = ['{"x": "\\ud800"}', '{"x": true}', '{"x": 1}', '{"x": 1000000000000000000000}', '{"x": 1e21}', '{"\\udfff": 1}']
+    calls = spark.createDataFrame([(1, f"c{k}", "f", t, None) for k, t in enumerate(texts)], "conv_id long, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "call_id string, content string")
+    rows = {r.call_id: r for r in chat.link_tool_calls(calls, results, {"f": {"properties": {"x": {"enum": [1, 10**21]}}}}).collect()}
+    assert [rows[f"c{k}"].valid for k in range(6)] == [False, False, True, True, True, False]
+    assert rows["c0"].errors == rows["c5"].errors == "arguments hold half a character pair" and rows["c1"].errors == "$.x: not a listed value"
+    assert rows["c3"].message.replace("c3", "") == rows["c4"].message.replace("c4", "") and "1e+21" in rows["c3"].message
+    for schema in ({"pattern": "x"}, {"properties": {"a": {"anyOf": []}}}, {"items": {"const": 1}}, {"type": "thing"}, {"additionalProperties": {}}):
+        with pytest.raises(ValueError):
+            chat.link_tool_calls(calls, results, {"f": schema})
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     path = public_tokenizers.path("word_bpe_49k.json")

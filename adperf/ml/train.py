@@ -195,8 +195,10 @@ class _Search:
             est = LogisticRegression(labelCol="target", standardization=False, maxIter=1, lowerBoundsOnCoefficients=w,
                                      upperBoundsOnCoefficients=w, lowerBoundsOnIntercepts=b, upperBoundsOnIntercepts=b)
             return est.fit(self.encoded)
-        n = self.encoded.count()
-        return LinearRegression(labelCol="target", standardization=False, solver="normal", regParam=params["alpha"] / n, elasticNetParam=0.0).fit(self.encoded)
+        row = self.encoded.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("target").alias("s")).collect()[0]
+        # Spark divides the penalty by the label's deviation
+        penalty = params["alpha"] * (row.s or 1.0) / row.n
+        return LinearRegression(labelCol="target", standardization=False, solver="normal", regParam=penalty, elasticNetParam=0.0).fit(self.encoded)
 
     def tree_model(self, name: str, params: dict, rows: DataFrame):
         params = dict(params)

@@ -132,11 +132,11 @@ def test_ridge_equals_spark_and_closed_form(spark):
     shift = 0.7
     alphas = [0.01, 5.0, 800.0]
     fits = linear.ridge(linear.gram(rows, width, 3, shift=shift), alphas, numeric, shift)
-    n = df.count()
+    n, deviation = df.agg(F.count("*"), F.stddev_pop("target")).collect()[0]
     x = {r.row_id: (r.features.toArray(), r.target, r._fold) for r in df.select("row_id", "features", "target", "_fold").collect()}
     for k, a in enumerate(alphas):
-        model = LinearRegression(labelCol="target", standardization=False, solver="normal", regParam=a / n, elasticNetParam=0.0).fit(df)
-        assert np.allclose(model.coefficients.toArray(), fits.coef[3, k], atol=1e-4) and math.isclose(model.intercept, fits.intercept[3, k], abs_tol=1e-4)
+        model = LinearRegression(labelCol="target", standardization=False, solver="normal", regParam=a * deviation / n, elasticNetParam=0.0).fit(df)
+        assert np.allclose(model.coefficients.toArray(), fits.coef[3, k], atol=1e-6) and math.isclose(model.intercept, fits.intercept[3, k], abs_tol=1e-6)
         for f in range(4):
             m = np.array([v for v, _, g in x.values() if g != f])
             y = np.array([t for _, t, g in x.values() if g != f])

@@ -1,10 +1,9 @@
 """End-to-end pipelines (the reference's two entry points).
 
 ``run_analysis`` — load -> profile -> clean -> KPIs -> summaries -> insights.
-The cleaned KPI table is the one reuse point: it is checkpointed once (a
-reliable checkpoint in the shared checkpoint folder, so executor loss does
-not force a recompute of the cleaning chain) and every report is a lazy
-DataFrame over it.  Per-key reports share one rollup per key.
+The cleaned KPI table is the one reuse point: it is written once (into the
+shared checkpoint folder, so executor loss does not force a recompute of the
+cleaning chain).  All grouped reports share one grouping-sets pass over it.
 
 ``run_ml`` — features -> split -> model search -> evaluation -> attribution
 -> diagnostics, all as DataFrames over the same KPI table.
@@ -12,6 +11,8 @@ DataFrame over it.  Per-key reports share one rollup per key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from adperf.operators import aggregate as A
@@ -19,7 +20,7 @@ from adperf.operators import clean as C
 from adperf.operators import insights as I
 from adperf.operators import profile as P
 from adperf.operators.kpi import compute_kpis
-from adperf.operators.rollup import rollups
+from adperf.operators.rollup import Rollups, rollups
 from adperf.session import materialize
 
 
@@ -32,46 +33,54 @@ def build_clean_stages(raw: DataFrame, approx: bool = False) -> dict[str, DataFr
     return st
 
 
+def report_makers(raw: DataFrame, stages: dict[str, DataFrame], r: Rollups, approx: bool = False) -> dict[str, Callable[[], DataFrame]]:
+    """Every analysis report, made on call; grouped ones read the rollups of the KPI table."""
+    kpi = stages["kpi"]
+    return {
+        "profile_shape": lambda: P.shape(raw),
+        "profile_missing": lambda: P.missing(raw),
+        "profile_duplicates": lambda: P.duplicates(raw, stages["std"]),
+        "profile_describe": lambda: P.describe(raw),
+        "clean_report": lambda: C.cleaning_report(raw, approx=approx, std=stages["std"], fills=stages["fills"], clean=kpi),
+        "overall_summary": lambda: A.overall_summary(r),
+        "summary_by_campaign": lambda: A.summarize_by(r, "campaign"),
+        "summary_by_channel": lambda: A.summarize_by(r, "channel"),
+        "summary_by_device": lambda: A.summarize_by(r, "device"),
+        "campaign_spend_revenue": lambda: A.campaign_spend_revenue(r),
+        "channel_share": lambda: A.channel_share(r),
+        "device_means": lambda: A.device_means(r),
+        "roi_by_key": lambda: A.roi_by_key(r),
+        "weekly_ctr": lambda: A.weekly_ctr(r),
+        "monthly_trend": lambda: A.monthly_trend(r),
+        "correlation": lambda: A.correlation(kpi),
+        "channel_efficiency": lambda: I.channel_efficiency(r),
+        "channel_extremes": lambda: I.channel_extremes(r),
+        "campaign_score": lambda: I.campaign_scores(r),
+        "campaign_profit": lambda: I.campaign_profit(r),
+        "budget": lambda: I.budget_allocation(r),
+        "best_device": lambda: I.best_device(r),
+        "best_weekday": lambda: I.best_weekday(r),
+        "spend_revenue_points": lambda: A.spend_revenue_points(kpi),
+        "distinct_values": lambda: A.distinct_values(kpi),
+        "device_stats": lambda: I.device_stats(r),
+        "weekday_stats": lambda: I.weekday_stats(r),
+        "executive_summary": lambda: I.executive_summary(r),
+    }
+
+
 def run_analysis(raw: DataFrame, approx: bool = False, stages: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Every analysis report as a lazy DataFrame (nothing collected)."""
+    """Every analysis report as a DataFrame.
+
+    ``describe`` and the correlation are computed at once (a few rows each), the others when they are read.
+    """
     if stages is None:
         # The raw view feeds four profiles and the cleaning chain: read the
         # driver tables and run the fixture join once.
         raw = materialize(raw)
         stages = build_clean_stages(raw, approx=approx)
-    kpi = stages["kpi"]
     # one scan for all grouped reports
-    r = rollups(kpi)
-    return {
-        "profile_shape": P.shape(raw),
-        "profile_missing": P.missing(raw),
-        "profile_duplicates": P.duplicates(raw, stages["std"]),
-        "profile_describe": P.describe(raw),
-        "clean_report": C.cleaning_report(raw, approx=approx, std=stages["std"], fills=stages["fills"], clean=kpi),
-        "overall_summary": A.overall_summary(r),
-        "summary_by_campaign": A.summarize_by(r, "campaign"),
-        "summary_by_channel": A.summarize_by(r, "channel"),
-        "summary_by_device": A.summarize_by(r, "device"),
-        "campaign_spend_revenue": A.campaign_spend_revenue(r),
-        "channel_share": A.channel_share(r),
-        "device_means": A.device_means(r),
-        "roi_by_key": A.roi_by_key(r),
-        "weekly_ctr": A.weekly_ctr(r),
-        "monthly_trend": A.monthly_trend(r),
-        "correlation": A.correlation(kpi),
-        "channel_efficiency": I.channel_efficiency(r),
-        "channel_extremes": I.channel_extremes(r),
-        "campaign_score": I.campaign_scores(r),
-        "campaign_profit": I.campaign_profit(r),
-        "budget": I.budget_allocation(r),
-        "best_device": I.best_device(r),
-        "best_weekday": I.best_weekday(r),
-        "spend_revenue_points": A.spend_revenue_points(kpi),
-        "distinct_values": A.distinct_values(kpi),
-        "device_stats": I.device_stats(r),
-        "weekday_stats": I.weekday_stats(r),
-        "executive_summary": I.executive_summary(r),
-    }
+    makers = report_makers(raw, stages, rollups(stages["kpi"]), approx)
+    return {name: make() for name, make in makers.items()}
 
 
 def run_ml(kpi: DataFrame, target: str = "high_roi", mode: str = "strict", cv_folds: int = 5,

@@ -319,6 +319,8 @@ REGISTRY: dict[str, Query] = {
     "target_revenue": _kpi(lambda d: FE.add_target(d, "revenue")),
     "target_high_roi": _kpi(lambda d: FE.add_target(d, "high_roi")),
     "derived_features": _kpi(FE.add_derived),
+    # F5 where the ratios are absent and have to be made
+    "derived_from_base": _kpi(lambda d: FE.add_derived(d.drop("ctr", "cpc", "cpm", "conversion_rate"))),
     "interactions": _kpi(FE.add_interactions),
     "time_features": _kpi(FE.add_time),
     "feature_frame": _kpi(lambda d: FE.feature_frame(d, "high_roi")),
@@ -344,6 +346,7 @@ REGISTRY: dict[str, Query] = {
     "attr_direction": _attr(X.direction),
     "attr_extremes": _attr(X.extremes),
     "attr_top10": _attr(X.top_features),
+    "attr_bar": _attr(lambda a: X.top_features(a, 15)),
     "attr_summary": _attr(X.summary_points),
     "attr_waterfall": _attr(X.waterfall),
     # diagnostics

@@ -506,3 +506,7 @@ FROM (SELECT *, ((n + alpha) * c1 - n * r * c2) / ((n + alpha) ** 2 - (n * r) **
             FROM (SELECT *, (instr('0123456789abcdef', substr(row_id, 9, 1)) % 5) AS fold FROM tr) t
             JOIN (SELECT CAST(unnest([-1, 0, 1, 2, 3, 4]) AS INTEGER) AS fold) f ON t.fold <> f.fold GROUP BY f.fold)
       CROSS JOIN (SELECT CAST(unnest([0.5, 20.0, 3000.0]) AS DOUBLE) AS alpha))""", _SPLIT)
+
+# the same columns, whether the ratios were there or had to be made
+Q["derived_from_base"] = Q["derived_features"]
+Q["attr_bar"] = Q["attr_top10"].replace("LIMIT 10", "LIMIT 15")

@@ -16,7 +16,7 @@ from tools.compare import compare
 DEFAULT = [
     "clean_report", "kpis", "summary_by_channel", "overall_summary", "correlation", "profile_describe",
     "budget", "executive_summary", "split_exact", "roc_auc", "model_comparison", "attr_waterfall",
-    "residual_hist",
+    "residual_hist", "zscore", "rare_categories", "ridge_coefficients", "tree_attribution", "attr_bar", "target_high_conversion",
 ]
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from adperf.llm import align, exact_dedup, hard_negatives, host_quality, neardup, pii, warc
 from adperf.llm.common import scanned
+from adperf.llm.oracle import ORACLE
+from tools.compare import compare
 
 A, B = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 
@@ -225,6 +227,12 @@ def test_empty_tables(spark):
     assert warc.read_archive(warc.write_archive(pages, warc.new_archive(spark))).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_queries_equal_their_sql(spark, name):
+    got = compare(spark, "/root/testdata/sf0.001", [name], verbose=True)
+    assert got[name][0] == "OK", got[name]
+
+
 # ------------------------------------------------ frames derived from files
 @pytest.fixture()
 def stored_docs(spark, tmpdir_path):

@@ -174,6 +174,54 @@ def confirmed(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.mapInArrow(run, "a long, b long")
 
 
+def linked_sets(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, label: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+    """Links between the non-empty sets of ``one`` and of ``two`` (masks) that join sets of unequal ``label``: a spanning forest.
+
+    Linked sets share one of their rarest shingles: with the shingles of every
+    set in one order, rare ones first, a set of n that needs at least c common
+    ones shares one of its first n - c + 1.  Only sets that meet there, are of a
+    possible size and are not joined yet are compared, on all their shingles.
+    """
+    size = np.array([len(s) for s in sets])
+    _, shingle, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(seen), np.int64)
+    place[np.argsort(seen, kind="stable")] = np.arange(len(seen))
+    of = np.repeat(np.arange(len(sets)), size)
+    shingle = place[shingle]
+    shingle = shingle[np.lexsort((shingle, of))]
+    start = np.cumsum(size) - size
+    need = np.maximum((percent * size + 99) // 100, 1)
+    ahead = np.arange(len(shingle)) - start[of] <= (size - need)[of]
+    posted = np.flatnonzero(ahead & two[of])
+    posted = posted[np.argsort(shingle[posted], kind="stable")]
+    postings, holder = shingle[posted], of[posted]
+    joined = np.unique(label, return_inverse=True)[1]
+    left, right = [], []
+    for i in np.flatnonzero(one).tolist():
+        mine = shingle[start[i] : start[i] + size[i]]
+        asked = mine[: size[i] - need[i] + 1]
+        met = holder[_ranges(np.searchsorted(postings, asked), np.searchsorted(postings, asked, "right"))]
+        met = np.unique(met[joined[met] != joined[i]])
+        met = met[percent * np.maximum(size[met], size[i]) <= 100 * np.minimum(size[met], size[i])]
+        if not len(met):
+            continue
+        theirs = shingle[_ranges(start[met], start[met] + size[met])]
+        both = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        common = np.add.reduceat(both, np.cumsum(size[met]) - size[met], dtype=np.int64)
+        for j in met[100 * common >= percent * (size[i] + size[met] - common)].tolist():
+            if joined[i] != joined[j]:
+                joined[joined == joined[j]] = joined[i]
+                left.append(i)
+                right.append(j)
+    return left, right
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges begin..end, one range after the other."""
+    n = end - begin
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def searched(members: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) that join components within the buckets (key, unit, label), a spanning forest of each block.
 
@@ -183,8 +231,8 @@ def searched(members: DataFrame, labels: DataFrame, sizes: DataFrame, texts: Dat
     kinds = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     family = kinds.groupBy("key").agg(F.max("c").alias("c"), F.max_by("label", F.col("c")).alias("family"), F.count(F.lit(1)).alias("kinds"))
     family = family.where("kinds > 1").select("key", "family")
-    strangers = stored(members.join(family, "key").where("label <> family").select("family", "unit").distinct())
-    own = labels.join(strangers.select(F.col("family").alias("label")).distinct(), "label").select(F.col("label").alias("family"), "unit")
+    strangers = stored(members.join(family, "key").where("label <> family").select("family", "unit", "label").distinct())
+    own = labels.join(strangers.select(F.col("family").alias("label")).distinct(), "label").select(F.col("label").alias("family"), "unit", "label")
     rows = strangers.withColumn("stranger", F.lit(True)).unionByName(own.withColumn("stranger", F.lit(False))).join(sizes, "unit")
     parts = rows.groupBy("family").agg(*[
         F.ceil(F.sum(F.when(F.col("stranger") == x, F.col("n")).otherwise(0)) / PART).cast("int").alias(c) for x, c in ((True, "xs"), (False, "ys"))
@@ -197,41 +245,17 @@ def searched(members: DataFrame, labels: DataFrame, sizes: DataFrame, texts: Dat
     mine = F.concat(F.transform(each("ys"), lambda y: block(part, y)), F.transform(each("xs"), lambda x: block(F.least(part, x), -1 - F.greatest(part, x))))
     theirs = F.transform(each("xs"), lambda x: block(x, part))
     rows = rows.withColumn("block", F.explode(F.when(F.col("stranger"), mine).otherwise(theirs)))
-    rows = rows.select("family", "block.x", "block.y", "stranger", "part", "unit").join(texts, "unit")
+    rows = rows.select("family", "block.x", "block.y", "stranger", "part", "unit", "label").join(texts, "unit")
 
     def compare(table: pa.Table) -> pa.Table:
         words = WordIds()
-        unit, part, stranger = (table.column(c).to_numpy() for c in ("unit", "part", "stranger"))
+        unit, part, stranger, label = (table.column(c).to_numpy() for c in ("unit", "part", "stranger", "label"))
         sets = [shingles(t, words, k) for t in binary_values(table.column("text"))]
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        one = np.flatnonzero(stranger & (part == x))
-        two = np.flatnonzero(~stranger if y >= 0 else part == -1 - y)
-        # postings of the second part: shingle -> sets that have it
-        size = np.array([len(s) for s in sets])
-        flat, of = np.concatenate([sets[i] for i in two]), np.repeat(np.arange(len(two)), size[two])
-        order = np.argsort(flat, kind="stable")
-        flat, of = flat[order], of[order]
-        root = {int(u): int(u) for u in unit}
-
-        def top(u: int) -> int:
-            while root[u] != u:
-                root[u] = root[root[u]]
-                u = root[u]
-            return u
-
-        out = []
-        for i in one.tolist():
-            lo, hi = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], "right")
-            n = hi - lo
-            hits = of[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            common = np.bincount(hits, minlength=len(two))
-            for j in np.flatnonzero(100 * common >= percent * (size[i] + size[two] - common)).tolist():
-                a, b = top(int(unit[i])), top(int(unit[two[j]]))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    out.append((int(unit[i]), int(unit[two[j]])))
-        a, b = ([p[z] for p in out] for z in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        one = stranger & (part == x)
+        two = ~stranger if y >= 0 else part == -1 - y
+        a, b = linked_sets(sets, one, two, label, percent)
+        return pa.table({"a": pa.array(unit[a], pa.int64()), "b": pa.array(unit[b], pa.int64())})
 
     return rows.groupBy("family", "x", "y").applyInArrow(compare, "a long, b long")
 

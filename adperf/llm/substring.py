@@ -46,6 +46,8 @@ ROUNDS = 6
 RUN = 4
 #: Entries that a task gathers before it sends them.
 CHUNK = 600_000
+#: Bytes of text for which there is a bucket of entries, which one task settles.
+BUCKET = 64 << 20
 #: Extents of one name within a task from which they are grouped by name and extent.
 MANY = 16
 ENTRY = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("row", "<u4"), ("at", "<u4"), ("n", "<u4"), ("f", "u1")])
@@ -384,12 +386,15 @@ def remove_repeats(
     stored table; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = "kept_sha256" if digest else "kept_text"
     rows = located(scanned(docs)).select(
         F.xxhash64(FILE).alias("file"), F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
     )
 
+    # a bucket is one task's work: their number follows the texts
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+
     def out(text: bytes) -> str:
         return hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace")
 

@@ -317,8 +317,51 @@ def test_drop_near_copies_odd_ids(spark):
     assert found == ["5", "5", "None", "a5", "b5", "c5", "dNone", "eNone"]
 
 
-@pytest.mark.parametrize("window,chunk,many", [(35, 600_000, 16), (35, 60, 1), (6, 60, 2)])
-def test_remove_repeats(spark, texts, window, chunk, many, monkeypatch):
+@pytest.mark.parametrize("percent", [1, 50, 80, 100])
+def test_linked_sets(percent):
+    """The forest joins what all pairs of the two sides join, and each of its links holds."""
+    rng = np.random.default_rng(percent)
+    base = [rng.choice(1 << 40, 60, replace=False) for _ in range(3)]
+    sets = []
+    for i in range(90):
+        have = rng.choice(base[i % 3], rng.integers(1, 60), replace=False) if i % 5 else base[i % 3][:55]
+        sets.append(np.unique(np.concatenate([have, rng.integers(0, 1 << 40, rng.integers(0, 9))]).astype(np.uint64)))
+    one, two, label = np.arange(90) < 60, np.arange(90) >= 40, np.where(np.arange(90) % 7 == 0, 0, np.arange(90))
+
+    def joined(pairs):
+        of = label.copy()
+        for a, b in pairs:
+            of[of == of[a]] = of[b]
+        return len(set(of.tolist())), {frozenset(np.flatnonzero(of == x).tolist()) for x in of}
+
+    def linked(a, b):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        return 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)
+
+    found = list(zip(*neardup.linked_sets(sets, one, two, label, percent), strict=True))
+    assert all(one[a] and two[b] and linked(a, b) for a, b in found)
+    want = joined([(a, b) for a in np.flatnonzero(one) for b in np.flatnonzero(two) if linked(a, b)])
+    assert joined(found) == want and len(found) == joined([])[0] - want[0]
+
+
+@pytest.mark.parametrize("part", [400_000, 3_000])
+def test_pages_of_one_template(spark, part, monkeypatch):
+    """Pages about 0.6 alike share buckets but no link; the copies among them are found."""
+    monkeypatch.setattr(neardup, "PART", part)
+    rng = np.random.default_rng(1)
+    page = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(300):
+        own = rng.integers(0, 78)
+        texts.append(" ".join(page[:own] + [f"p{i}x{j}" for j in range(22)] + page[own + 22 :]))
+    texts += [t + " end" for t in texts[::10]]
+    rows = neardup.near_duplicates(frame(spark, texts), shingle=2).collect()
+    assert {r.id: r.component_id for r in rows} == {i: i if i < 300 else 10 * (i - 300) for i in range(330)}
+
+
+@pytest.mark.parametrize("window,chunk,many,size", [(35, 600_000, 16, 64 << 20), (35, 60, 1, 500), (6, 60, 2, 64 << 20)])
+def test_remove_repeats(spark, texts, window, chunk, many, size, monkeypatch):
+    monkeypatch.setattr(substring, "BUCKET", size)
     monkeypatch.setattr(substring, "CHUNK", chunk)
     monkeypatch.setattr(substring, "MANY", many)
     words = [re.findall(WORD, t or "") for t in texts]

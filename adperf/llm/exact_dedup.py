@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adperf.llm.common import FILE, ROW, binary_values, located, scanned, shared_path, stored, without
+from adperf.llm.common import FILE, ROW, binary_values, frugal, located, scanned, shared_path, stored, without
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,7 +50,7 @@ def arrivals(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[byte
                 names=["digest", "id", FILE, ROW],
             )
 
-    return rows.mapInArrow(digests, f"digest string, id long, {FILE} string, {ROW} long")
+    return rows.mapInArrow(frugal(digests), f"digest string, id long, {FILE} string, {ROW} long")
 
 
 def keep_state(stream: DataFrame) -> DataFrame:

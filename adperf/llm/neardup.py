@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adperf.llm.common import FILE, ROW, WordIds, binary_values, located, scanned, slices, stored, without
+from adperf.llm.common import FILE, ROW, WordIds, binary_values, frugal, located, scanned, slices, stored, without
 
 BANDS, ROWS = 48, 5
 SIMILARITY = 80  # percent
@@ -127,7 +127,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, ro
                 names=["id", FILE, ROW, "n", "digest", "bands"],
             )
 
-    return narrow.mapInArrow(run, f"id long, {FILE} string, {ROW} long, n long, digest binary, bands array<long>")
+    return narrow.mapInArrow(frugal(run), f"id long, {FILE} string, {ROW} long, n long, digest binary, bands array<long>")
 
 
 def units(rows: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def confirmed(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 words.trim()
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(hits, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(frugal(run), "a long, b long")
 
 
 def linked_sets(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, label: np.ndarray, percent: int) -> tuple[list[int], list[int]]:

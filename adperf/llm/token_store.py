@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adperf.llm.common import binary_values, shared_path, slices, stored
+from adperf.llm.common import binary_values, frugal, shared_path, slices, stored
 
 ENTRY = np.dtype([("offset", "<u8"), ("size", "<u4"), ("crc", "<u4"), ("doc_id", "<i8"), ("start", "<u8"), ("tokens", "<u4")])
 FOOTER = np.dtype([("frames", "<u8"), ("crc", "<u4"), ("width", "u1"), ("magic", "S8")])
@@ -140,6 +140,12 @@ class Tokenizer:
                 yield raw[begin:stop]
                 begin = stop
 
+    def forget(self) -> None:
+        """Forget all words; the library stays."""
+        self.number.clear()
+        self.number.new.clear()
+        self.ids.clear()
+
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         last = np.array([end], "<u4").tobytes()
         if not self.by_word:
@@ -229,16 +235,27 @@ class Reader:
 
 def token_lengths(
     docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", by_word: bool = True,
+    remember: bool = True,
 ) -> DataFrame:
-    """(id, n_tokens) of every row, as :func:`write_tokens` would store them; nothing is written."""
+    """(id, n_tokens) of every row, as :func:`write_tokens` would store them; nothing is written.
+
+    With ``remember`` a Python worker keeps the words it has seen for its next task, and so their memory
+    while it idles or runs another operator; without, it gives that back at the end of each task.
+    """
 
     def run(batches):
-        for b in slices(batches, "text", 2 << 20):
-            ids = _tokenizer(tokenizer_path, by_word).encode(binary_values(b.column("text")), end_id)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in ids], pa.int64())], names=["id", "n_tokens"])
+        tokenizer = None
+        try:
+            for b in slices(batches, "text", 2 << 20):
+                tokenizer = _tokenizer(tokenizer_path, by_word)
+                ids = tokenizer.encode(binary_values(b.column("text")), end_id)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in ids], pa.int64())], names=["id", "n_tokens"])
+        finally:
+            if tokenizer and not remember:
+                tokenizer.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long")
+    return rows.mapInArrow(run if remember else frugal(run), "id long, n_tokens long")
 
 
 def write_tokens(

@@ -38,7 +38,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document's place in the packed sequences, its length in tokens with the end token."""
-    lengths = token_store.token_lengths(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # the executors run other stages too: no words stay in idle Python workers
+    lengths = token_store.token_lengths(docs, public_tokenizers.path("word_bpe_49k.json"), remember=False)
     return packing.pack(lengths, id_col="id", length_col="n_tokens").withColumnRenamed("id", "doc_id")
 
 

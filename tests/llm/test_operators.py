@@ -507,3 +507,27 @@ def test_joined_words_have_the_library_ids():
     ours, library = Tokenizer(path), Tokenizer(path).library
     got = ours.encode([t.encode() for t in texts], 1)
     assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_pipeline_leaves_no_words_in_workers(spark, monkeypatch):
+    """After a task of the packing stage its Python worker holds no words; the lengths are the library's each time."""
+    import sys
+
+    import corpus_pipeline
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = ["Some words, some more.", None, "", "words Words wörds " + "x" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tasks = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: tasks.append(run) or self)
+    monkeypatch.setattr(packing, "pack", lambda lengths, **_: lengths)
+    corpus_pipeline.packed(spark, docs, "")
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+    for _ in range(2):
+        batch = pa.RecordBatch.from_pydict({"id": pa.array(range(4), pa.int64()), "text": pa.array(texts, pa.string())})
+        out = [x for b in tasks[0](iter([batch])) for x in b.column("n_tokens").to_pylist()]
+        assert out == want
+        assert not sys.modules["_kept_by_worker"].tokenizer.ids
+        assert not sys.modules["_kept_by_worker"].tokenizer.number

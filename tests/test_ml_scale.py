@@ -69,3 +69,35 @@ def test_shares_equal_scored_hybrid_rows(spark, monkeypatch, holes):
     for key, w in want.items():
         g = got[key]
         assert g.feature_value == w.feature_value and (math.isnan(g.shap) if math.isnan(w.shap) else math.isclose(g.shap, w.shap, abs_tol=1e-12)), key
+
+
+def test_curvature_serves_every_penalty():
+    rng = np.random.default_rng(0)
+    rows = rng.normal(size=(40, 13))
+    rows[:, 3] = rows[:, 4]
+    matrix, v = rows.T @ rows, rng.normal(size=13)
+    found = linear.Curvature(matrix)
+    for penalty in (0.01, 5.0, 100.0):
+        whole = matrix + np.diag([penalty] * 12 + [0.0])
+        assert np.allclose(found.solve(penalty, v), np.linalg.solve(whole + 1e-9 * np.trace(whole) / 13 * np.eye(13), v), rtol=1e-6)
+    assert np.isnan(linear.Curvature(np.full((3, 3), np.nan)).solve(1.0, np.ones(3))).all()
+
+
+def test_search_holds_no_matrix_per_draw(spark):
+    """What the driver holds beside the coefficients does not grow with the draws, and each sum reaches it as one array."""
+    import tracemalloc
+
+    df = frame(spark, 400).withColumn("k", F.concat(F.lit("l"), F.pmod(F.xxhash64("row_id"), F.lit(60)))).withColumn("_fold", F.pmod(F.xxhash64("row_id"), F.lit(3)).cast("int"))
+    enc = encoder(["a", "b"], ["k"]).fit(df)
+    rows, width = linear.design(enc.transform(df)), len(slot_names(enc))
+    tracemalloc.start()
+    try:
+        peaks = []
+        for n in (1, 60):
+            tracemalloc.reset_peak()
+            linear.logistic(rows, [linear.Draw(0.01 * (k + 1), k % 2 == 0) for k in range(n)], width, scaled_slots(enc), 3, most_passes=6)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+    finally:
+        tracemalloc.stop()
+    per_draw = (peaks[1] - peaks[0]) / 59
+    assert per_draw < 4 * (width + 1) ** 2 * 8 / 2, (peaks, width)

@@ -101,3 +101,44 @@ def test_search_holds_no_matrix_per_draw(spark):
         tracemalloc.stop()
     per_draw = (peaks[1] - peaks[0]) / 59
     assert per_draw < 4 * (width + 1) ** 2 * 8 / 2, (peaks, width)
+
+
+def test_tasks_of_a_pass_do_not_grow_with_the_parts(spark, monkeypatch):
+    monkeypatch.setattr(linear, "MOST_TASKS", 5)
+    most = max(5, 3 * spark.sparkContext.defaultParallelism)
+    rows = spark.range(300, numPartitions=60).select(F.lit(1.0).alias("x"))
+
+    def partial(batches):
+        return np.array([1.0, sum(b.num_rows for b in batches)])
+
+    seen = linear.added(rows, ["x"], 2, partial)
+    assert seen[0] <= most and seen[1] == 300
+
+
+def test_shuffle_files_go_before_the_fits(spark, monkeypatch):
+    """What a step shuffled is not kept beside the tables of the next; the search asks for that before each table it stores."""
+    import time
+    from pathlib import Path
+
+    from adperf import session
+
+    dirs = [Path(str(p)) for p in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def held():
+        return sum(p.stat().st_size for d in dirs for p in d.glob("*/shuffle_*.data"))
+
+    df = frame(spark, 3000)
+    pad = F.expr("concat_ws('', transform(sequence(1, 40), i -> md5(concat(row_id, i))))")
+    session.materialize(df.withColumn("pad", pad).repartition(3, "pad").withColumn("a", F.col("a") + 0 * F.length("pad")).drop("pad"))
+    session.release(spark)
+    end = time.time() + 15
+    while held() > 500_000 and time.time() < end:
+        time.sleep(0.2)
+    assert held() <= 500_000  # 3.7 MB were shuffled
+    made = []
+    for name in ("materialize", "release"):
+        original = getattr(train, name)
+        monkeypatch.setattr(train, name, lambda *a, name=name, original=original: (made.append(name), original(*a))[1])
+    prep = Prepared(df, df.where("is_test = 0").drop("is_test"), df.where("is_test = 1").drop("is_test"), ["a", "b", "k"], ["a", "b"], ["k"], "regression", "t")
+    train.train_all_models(prep, cv_folds=2, models=["Ridge Regression"], params={"Ridge Regression": [{"alpha": 1.0}]})
+    assert made[:4] == ["release", "materialize", "materialize", "release"]
